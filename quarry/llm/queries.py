@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact, packing, simhash, urls, warc
+from quarry.llm import decontam, exact, packing, simhash, substring, urls, warc
 
 #: The rules that op4 is judged by.
 URL_RULES = [
@@ -22,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op4_url_filters, op5_simhash, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination]
+    found = [op1_substring_dedup, op4_url_filters, op5_simhash, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
@@ -58,6 +62,15 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_HEX.f
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+low AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM low WHERE m < doc_id),
+g AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
     "op4_url_filters": f"""
 WITH u AS (
   SELECT page_id, coalesce(contains(url, '://'), false) AS ok,
