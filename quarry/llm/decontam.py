@@ -146,7 +146,8 @@ def _scan(docs: DataFrame, index: dict, id_col: str, text_col: str) -> DataFrame
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated.
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated,
+    and text_key, the hash of the text, which tells rows of one id apart.
 
     A document word inside any occurrence of an item's window is hit; contaminated means n_hit > 0
     and 20 * n_hit >= n_words. Null texts have no words and are never contaminated. Items without
@@ -183,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return (
         merged.withColumn("n_hit", covered)
         .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-        .select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "contaminated")
+        .select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "contaminated", "text_key")
     )
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact, packing, simhash, substring, urls, warc
+from quarry.llm import decontam, exact, license, packing, pii, simhash, substring, toxicity, urls, warc
 
 #: The rules that op4 is judged by.
 URL_RULES = [
@@ -17,6 +17,9 @@ URL_RULES = [
     urls.Rule("block", "org", "/es/"),
 ]
 
+#: The key of op6; a caller of the operator brings its own secret.
+PII_KEY = b"registered query"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +29,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -34,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_pii(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_substring_dedup, op4_url_filters, op5_simhash, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination]
+    found = [op1_substring_dedup, op2_license_scan, op3_toxicity, op4_url_filters, op5_simhash, op6_pii, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
