@@ -11,12 +11,12 @@ or when a round merges next to nothing.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,79 +29,72 @@ SLACK = 4
 #: Pieces sorted and packed at a time in a partition; bins that one task of a later round takes.
 CHUNK, FAN_IN = 16_384, 8_192
 
-#: The split of the word tokenizer, as its file states it.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# The tokenizer file's split, here for text of ASCII and Latin letters in lower case alone.
+LETTERS, NUMBERS = "a-zªµºß-öø-ž", "0-9²³¹¼-¾"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
 class WordTokenizer:
-    """Ids of a tokenizers file, from caches of what lies between ASCII white space.
-
-    The file's normalizer (NFC, white space, lower case) and split never join text across ASCII
-    white space, so a text's ids are its chunks' ids in a row. A chunk not seen before is split
-    likewise, and the new words of a batch are encoded together; each word ends in one token that
-    has the end-of-word suffix, which tells them apart again. Chunks with characters whose
-    lower-casing or composition could differ (all but ASCII and Latin letters already composed)
-    or with a special token's mark go to the tokenizer whole. Both caches are bounded and only
-    save time.
+    """Ids of a tokenizers file, from a cache of its words.
+
+    The file's normalizer (NFC, white space, lower case) and split never join text across ASCII white
+    space, so a text's ids are its words' ids in a row. Words not seen before are encoded together, a
+    batch at a time; each ends in the one token that has the end-of-word suffix, which tells them
+    apart again. Text outside ASCII and the composed Latin letters, or with a special token's mark,
+    goes to the tokenizer itself, from white space to white space. The cache is bounded; when full,
+    it keeps the words of the current batch.
     """
 
-    PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-ňŊ-ž]+")
-    MOST = 250_000
+    PLAIN = re.compile(r"[\t-\r\x20-\x7E¡-¬®-įı-ňŊ-ž]*")
+    MOST = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.suffix = self.tokenizer.model.end_of_word_suffix or ""
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = bool(self.suffix) and token.endswith(self.suffix)
-        self.chunks: dict[bytes, bytes] = {}
+            self.last[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
-            ids = np.frombuffer(self._encode([" ".join(part)])[0], "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            raw = self._encode([" ".join(part)])[0]
+            ends = (4 * (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
             if len(ends) == len(part):
-                cuts = np.concatenate(([0], ends))
-                raw = ids.tobytes()
-                self.words.update((w, raw[4 * cuts[k] : 4 * cuts[k + 1]]) for k, w in enumerate(part))
+                self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
             else:  # no such suffix: one by one
                 self.words.update(zip(part, self._encode(part), strict=True))
 
-    def _learn(self, new: list[bytes]) -> None:
-        split, odd = {}, []
-        for chunk in new:
-            text = chunk.decode()
-            if self.PLAIN.fullmatch(text) and "<|" not in text:
-                split[chunk] = PIECES.findall(text.lower())
-            else:
-                odd.append(chunk)
-        self.chunks.update(zip(odd, self._encode([x.decode() for x in odd]), strict=True))
-        if len(self.words) > self.MOST:
-            self.words.clear()
-        known = self.words
-        self._learn_words([*{w for words in split.values() for w in words if w not in known}])
-        self.chunks.update((c, b"".join([known[w] for w in words])) for c, words in split.items())
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _split(self, text: str) -> list[str]:
+        """Words; what isn't plain stays whole, with a leading blank, which no word has."""
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return PIECES.findall(text.lower())
+        out: list[str] = []
+        for chunk in text.encode().split():
+            part = chunk.decode()
+            out += PIECES.findall(part.lower()) if self.PLAIN.fullmatch(part) and "<|" not in part else [" " + part]
+        return out
+
+    def encode(self, texts: list[bytes], step: int = 256) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), 64):
-            parts = [t.split() for t in texts[i : i + 64]]
-            if len(self.chunks) > self.MOST:
-                self.chunks.clear()
-            known = self.chunks
-            new = [*{c for p in parts for c in p if c not in known}]
-            if new:
-                self._learn(new)
+        for i in range(0, len(texts), step):
+            parts = [self._split(t.decode()) for t in texts[i : i + step]]
+            known = self.words
+            new = [*{w for p in parts for w in p if w not in known}]
+            if len(known) + len(new) > self.MOST:
+                known = self.words = {w: known[w] for p in parts for w in p if w in known}
+            odd = [w for w in new if w[0] == " "]
+            self._learn([w for w in new if w[0] != " "])
+            known.update(zip(odd, self._encode([w[1:] for w in odd]), strict=True))
             for p in parts:
-                yield b"".join([known[c] for c in p])
+                yield b"".join(map(known.__getitem__, p))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
