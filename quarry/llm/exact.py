@@ -19,7 +19,7 @@ PREFIX = 256
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and text_key (a 64-bit hash).
 
     Texts are equal when their bytes are; null counts as the empty text, which forms a group like
     any other. Of a group the largest id stays; null ids are below all others, and where all are
@@ -33,6 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.octet_length(text).alias("len"),
             F.xxhash64(F.substring(text, 1, prefix)).alias("pre"),
             F.sha2(text.cast("binary"), 256).alias("sha"),
+            F.xxhash64(text).alias("text_key"),
         ),
         "exact",
     )
@@ -49,4 +50,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "text_key",
     )

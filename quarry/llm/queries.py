@@ -55,7 +55,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
