@@ -14,7 +14,11 @@ from quarry.functions import chunking
 from quarry.functions import text as T
 from quarry.operators import answers as A
 from quarry.operators import evaluation as E
+from quarry.operators import sampling
+from quarry.operators import scoring as C
 from quarry.operators import search as S
+from quarry.plans import models, rag, reports
+from quarry.sources import tables
 
 SIZE, OVERLAP = 600, 50
 SWEEP = (512, 1024)
@@ -437,11 +441,136 @@ def ablation_table(spark, d):
     return rows.select("config", F.round("m", 6).alias("ndcg"), F.round(F.col("m") - F.col("base"), 6).alias("gain"), F.round(F.when(F.col("base") == 0, 0.0).otherwise((F.col("m") - F.col("base")) / F.col("base") * 100), 4).alias("gain_pct"))
 
 
+def _sweep_sql(size: int) -> str:
+    """One row of the sweep: chunks take the documents' place, sparse lists of 20 are judged to the tenth."""
+    chunk = _chunk_sql(size, size // 10, "sweep")
+    return f"""(WITH ch AS ({chunk}), docs AS (SELECT chunk_id AS doc_id, chunk AS text FROM ch), {_bm25_sql(_RAW, False, 20).replace("documents", "docs")},
+qr AS (SELECT item_id AS query_id, chunk_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN ch USING (doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM qr GROUP BY 1), {_metric_sql("bm", k=10)}
+SELECT {size} AS chunk_size, {size // 10} AS chunk_overlap, (SELECT count(*) FROM ch) AS num_chunks, round((SELECT avg(length(chunk)) FROM ch), 6) AS avg_chunk_length,
+  round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(f1), 6) AS f1 FROM me)"""
+
+
+def _sweep(spark, d):
+    return rag.sweep(_docs(spark, d), _items(spark, d), _qrels(spark, d), SWEEP)
+
+
+@_q(" UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s)}" for s in SWEEP))
+def chunk_size_sweep(spark, d):
+    return _sweep(spark, d).select("chunk_size", "chunk_overlap", "num_chunks", _r("avg_chunk_length"), *[_r(m) for m in ("ndcg", "precision", "recall", "mrr", "f1")])
+
+
+@_q("SELECT chunk_size, chunk_overlap, ndcg FROM (" + " UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s)}" for s in SWEEP) + ") ORDER BY ndcg DESC, chunk_size LIMIT 1")
+def chunk_size_best(spark, d):
+    return rag.best_size(_sweep(spark, d)).select("chunk_size", "chunk_overlap", _r("ndcg"))
+
+
+def representative_queries(spark, d):
+    """Items clustered by their vectors; k-means has no SQL."""
+    asked = _items(spark, d).join(_vectors(spark, d), F.col("query_id") == F.col("doc_id")).select("query_id", "embedding")
+    return sampling.representatives(asked)
+
+
+def rag_answers(spark, d):
+    """Plan, retrieve, rerank and answer every item by rules instead of a model: shows the plan, has no SQL."""
+    return rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient()).select("query_id", F.size("documents").alias("n_documents"), F.sha2(F.col("answer").cast("binary"), 256).alias("answer"), "status")
+
+
+def rag_quality(spark, d):
+    """The answers of rag_answers judged, with their retrieval metrics; each item is its own truth."""
+    answered = rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient())
+    truths = _items(spark, d).withColumnRenamed("text", "ground_truth")
+    return rag.evaluate(answered, truths, models.RuleClient(), E.rank_metrics(_bm25(spark, d), _qrels(spark, d)))
+
+
+_JUDGED_SQL = f"""WITH {_ANSWERS_SQL}, s AS (SELECT *, {_set_sql('answer')} AS aw, {_set_sql('context')} AS cw, {_set_sql('query')} AS qw FROM a),
+j AS (SELECT conv_id, turn, query, answer, CASE WHEN len(aw) > 0 THEN len(list_intersect(aw, cw)) / len(aw) ELSE 0 END AS fa, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, aw)) / len(qw) ELSE 0 END AS ac,
+  CASE WHEN len(cw) > 0 THEN len(list_intersect(cw, aw)) / len(cw) ELSE 0 END AS cp, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, cw)) / len(qw) ELSE 0 END AS cr FROM s),
+o AS (SELECT *, CASE WHEN cp + cr > 0 THEN 2 * cp * cr / (cp + cr) ELSE 0 END AS cf, (fa + ac) / 2 AS gq FROM j)"""
+
+
+def _judged(spark, d):
+    """Word overlaps stand in for a judge's metrics."""
+    w = A.word_set
+    return _answers(spark, d).withColumns({
+        "fa": A.share(w(F.col("answer")), w(F.col("context"))), "ac": A.share(w(F.col("query")), w(F.col("answer"))),
+        "cp": A.share(w(F.col("context")), w(F.col("answer"))), "cr": A.share(w(F.col("query")), w(F.col("context"))),
+    })
+
+
+@_q(_JUDGED_SQL + " SELECT conv_id, turn, round(gq, 6) AS generation_quality, round(0.3 * cf + 0.2 * cf + 0.5 * gq, 6) AS overall_quality FROM o")
+def end_to_end_score(spark, d):
+    j, none = _judged(spark, d), F.lit(None).cast("double")
+    c = {x: F.col(x) for x in ("cp", "cr", "fa", "ac")}
+    return j.select("conv_id", "turn", _r(C.generation_quality(c["fa"], c["ac"])).alias("generation_quality"), _r(C.end_to_end(none, none, c["cp"], c["cr"], c["fa"], c["ac"])).alias("overall_quality"))
+
+
+@_q(_JUDGED_SQL + " SELECT conv_id, turn, CASE WHEN gq >= 0.6 THEN 'positive' WHEN gq >= 0.3 THEN 'partial' ELSE 'negative' END AS tier, CASE WHEN length(query) > 500 THEN substr(query, 1, 500) || '...' ELSE query END AS inputs, CASE WHEN length(answer) > 500 THEN substr(answer, 1, 500) || '...' ELSE answer END AS outputs FROM o")
+def reflection_records(spark, d):
+    gq = C.generation_quality(F.col("fa"), F.col("ac"))
+    j = _judged(spark, d).withColumn("r", C.reflection("generator", F.col("query"), F.col("answer"), C.answer_note(F.col("fa"), F.col("ac")), gq))
+    return j.select("conv_id", "turn", C.tier(gq, "generator").alias("tier"), F.col("r.Inputs").alias("inputs"), F.col("r.Generated Outputs").alias("outputs"))
+
+
+@_q(f"WITH {_ANSWERS_SQL} SELECT conv_id, turn, CASE WHEN trim(context) <> '' THEN context ELSE 'No context retrieved.' END AS context, CASE WHEN trim(coalesce(answer, '')) <> '' THEN answer ELSE 'No answer generated.' END AS answer FROM a")
+def evaluation_inputs(spark, d):
+    return _answers(spark, d).select("conv_id", "turn", F.element_at(C.contexts_or_default(F.array("context")), 1).alias("context"), C.text_or_default(F.col("answer"), C.NO_ANSWER).alias("answer"))
+
+
+@_q(f"WITH {_bm25_sql()}, n AS (SELECT query_id, count(*) AS n FROM bm GROUP BY 1) SELECT query_id, rank, round(1 - (rank - 1) / n, 6) AS score, round(1 / rank, 6) AS fallback FROM bm JOIN n USING (query_id)")
+def rank_to_score(spark, d):
+    lists = _bm25(spark, d).groupBy("query_id").agg(F.count("*").alias("n"))
+    both = lists.select("query_id", F.posexplode(F.arrays_zip(C.rank_scores(F.col("n")).alias("s"), C.fallback_scores(F.col("n")).alias("f"))).alias("i", "x"))
+    return both.select("query_id", (F.col("i") + 1).cast("long").alias("rank"), _r(F.col("x.s")).alias("score"), _r(F.col("x.f")).alias("fallback"))
+
+
+@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, {_metric_sql('fu')}, k AS (SELECT query_id, count(*) FILTER (fu.rank <= 5 AND qr.doc_id IS NOT NULL) / 5 AS p5 FROM fu LEFT JOIN qr USING (query_id, doc_id) GROUP BY 1) SELECT item_id AS query_id, round(coalesce(ndcg, 0.5), 6) AS planner, round(0.6 * ndcg + 0.2 * mrr + 0.2 * p5, 6) AS reranker FROM benchmark LEFT JOIN me ON item_id = me.query_id LEFT JOIN k ON item_id = k.query_id")
+def module_scores(spark, d):
+    q, run = _qrels(spark, d), _fused(spark, d)
+    at5 = E.metrics_at(run, q, (5,)).select("query_id", "precision_at_5")
+    m = _items(spark, d).select("query_id").join(E.rank_metrics(run, q), "query_id", "left").join(at5, "query_id", "left")
+    return m.select("query_id", _r(C.planner_score(F.col("ndcg"))).alias("planner"), _r(C.reranker_score(F.col("ndcg"), F.col("mrr"), F.col("precision_at_5"))).alias("reranker"))
+
+
+@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, p AS (SELECT min(doc_id) AS pos, substr(text, 1, 200) AS key FROM documents WHERE text <> '' GROUP BY 2) SELECT query_id, doc_id, coalesce(pos, -1) AS pos FROM fu JOIN documents USING (doc_id) LEFT JOIN p ON substr(text, 1, 200) = key")
+def prefix_lookup(spark, d):
+    keyed = _docs(spark, d).withColumn("key", F.substring("text", 1, 200))
+    run = _fused(spark, d).select("query_id", "doc_id").join(keyed.select("doc_id", "key"), "doc_id")
+    return tables.lookup(run, keyed.select("key", F.col("doc_id").alias("pos")), "key", "pos", "pos").select("query_id", "doc_id", "pos")
+
+
+@_q(f"WITH {_QRELS_SQL} SELECT item_id AS query_id, coalesce(array_to_string(list_sort(list(DISTINCT doc_id) FILTER (doc_id IS NOT NULL)), ','), '') AS doc_ids FROM benchmark LEFT JOIN qr ON item_id = query_id GROUP BY 1")
+def label_lists(spark, d):
+    lists = _qrels(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("l"))
+    return _items(spark, d).join(lists, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.col("l").cast("array<string>"), ","), F.lit("")).alias("doc_ids"))
+
+
+@_q(f"WITH g AS (SELECT item_id // 4 AS parent_id, item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM benchmark), o AS (SELECT parent_id, arg_min(w, item_id) AS ow, count(*) AS n, round(avg(len(w)), 6) AS mean_words, list_distinct(flatten(list(w))) AS al FROM g GROUP BY 1) SELECT parent_id, n, mean_words, round(len(list_intersect(list_distinct(ow), al)) / len(list_distinct(ow)), 6) AS coverage FROM o")
+def query_structure(spark, d):
+    g = _items(spark, d).select(F.floor(F.col("query_id") / 4).cast("long").alias("parent_id"), "query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+    o = g.groupBy("parent_id").agg(F.min_by("w", "query_id").alias("ow"), F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), F.array_distinct(F.flatten(F.collect_list("w"))).alias("al"))
+    return o.select("parent_id", "n", _r(F.col("mean")).alias("mean_words"), _r(A.share(F.array_distinct("ow"), F.col("al"))).alias("coverage"))
+
+
+@_q("SELECT substr(md5('Question: ' || text), 1, 12) AS prompt_hash, item_id AS query_id FROM benchmark")
+def prompt_hash(spark, d):
+    return _items(spark, d).select(F.substring(F.md5(F.concat(F.lit("Question: "), "text").cast("binary")), 1, 12).alias("prompt_hash"), "query_id")
+
+
+@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, {_metric_sql('fu')}, s AS (SELECT count(*) AS n, avg(ndcg) AS mean, coalesce(stddev_samp(ndcg), 0) AS sd FROM me), t AS (SELECT *, CASE WHEN n >= 2 THEN {_T_SQL} * sd / sqrt(n) ELSE 0 END AS h FROM s) SELECT 'hybrid' AS configuration, printf('%.4f', mean) AS score, printf('[%.4f, %.4f]', mean - h, mean + h) AS ci, printf('%+.4f', 0.0) AS gain, 'No' AS significant FROM t")
+def report_table(spark, d):
+    i = E.interval(E.rank_metrics(_fused(spark, d), _qrels(spark, d)), "ndcg")
+    rows = i.select(F.lit("hybrid").alias("config"), F.col("mean").alias("score"), "ci_low", "ci_high", F.lit(0.0).alias("gain"), F.lit(1.0).alias("p_value"), F.lit(False).alias("is_significant"))
+    t = reports.ablation_table(rows)
+    return t.select(F.col("Configuration").alias("configuration"), F.col("Test Score").alias("score"), F.col("95% CI").alias("ci"), F.col("vs Baseline").alias("gain"), F.col("Significant").alias("significant"))
+
+
 _ALL = [
     chunk_index, chunk_sweep, normalize_digits, tokenize_a, tokenize_b, query_hash, doc_key_dedup, prefix_key, bm25_stats, bm25_topk, bm25_sweep_topk, dense_topk, l2_normalize,
     multiquery_dedup, wrrf_fusion, wrrf_sweep, distinct_docs_first_seen, qrels, qrels_chunk, qrels_stats, queries_without_relevant, corpus_semi, rank_metrics, ndcg_at_10,
     rank_metrics_at_k, rerank_improvement, weight_grid, weight_best, weight_per_query, metric_mean_std, confidence_interval, paired_t, split_counts, retrieval_pattern,
     generation_basic, context_usage, query_addressing, hedging, query_diversity, position_changes, query_overlap, length_bias, numbered_docs, text_preview, ablation_table,
+    chunk_size_sweep, chunk_size_best, representative_queries, rag_answers, rag_quality, end_to_end_score, reflection_records, evaluation_inputs, rank_to_score, module_scores,
+    prefix_lookup, label_lists, query_structure, prompt_hash, report_table,
 ]
 
 
@@ -450,4 +579,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f.sql for f in _ALL}
+    return {f.__name__: f.sql for f in _ALL if hasattr(f, "sql")}
