@@ -200,14 +200,14 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int
     return prints.join(of, F.col("print") == F.col("p")).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_k: int = 2, words: int = 8, block_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", most: int = MEET) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_k: int = 2, words: int = 8, block_words: int = 12, block_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", most: int = MEET) -> DataFrame:
     """doc_id, keep_id (the smallest id of its group) for every document whose near-duplicate group has more than one id.
 
     Two documents are near when the SimHashes of their distinct k-word shingles (64 * words bits)
     differ in at most the share of bits that a Jaccard similarity of ``similarity`` has on average,
     and a standard deviation more: few pairs above the similarity are lost to the estimate's error.
     At 0.8 that share is 15 %, where few whole blocks survive; so the blocks are cut from a second
-    fingerprint, of shorter shingles, of which an edit breaks fewer. Candidates that share none of
+    fingerprint, of 64 * block_words bits and shorter shingles, of which an edit breaks fewer. Candidates that share none of
     these blocks are missed; the README gives the measured recall. Texts without words and rows
     with a null id are in no group.
     """
@@ -216,11 +216,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_k: i
     radius = int(words * 64 * share + np.sqrt(words * 64 * share * (1 - share)))
 
     def make(text: bytes) -> tuple[bytes, bytes]:
-        return wide_fingerprint(text, block_k, words), wide_fingerprint(text, k, words)
+        return wide_fingerprint(text, block_k, block_words), wide_fingerprint(text, k, words)
 
     prints = materialize(_prints(docs, make, "wide binary, print binary", [pa.binary(), pa.binary()], id_col, text_col).where("doc_id is not null and length(print) > 0"), "simhash")
     nodes = prints.groupBy("wide", "print").agg(F.min("doc_id").alias("node"))
-    blocks = words * 64 // block_bits
+    blocks = block_words * 64 // block_bits
     weights = (np.uint64(1) << np.arange(block_bits, dtype=np.uint64))[None, None, :]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
