@@ -10,8 +10,8 @@
    two of its chunks meet in a task of their own.
 5. Components of the links.
 
-The same steps serve wider fingerprints, where a key is a block of one fingerprint and the distance
-is taken on another (see near_groups).
+Near copies by Jaccard similarity (near_groups) are searched exactly, by the prefixes of their sets of
+shingles, and have no fingerprint.
 """
 
 from __future__ import annotations
@@ -61,24 +61,6 @@ def fingerprint(text: bytes, k: int = 4, seed: int = 42) -> int:
     return int(votes(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def spread(hashes: np.ndarray, words: int) -> np.ndarray:
-    """(n,) hashes to (n, words) independent ones, by the finalizer of SplitMix64 over a counter."""
-    with np.errstate(over="ignore"):
-        z = hashes[:, None] + _MIX[0] * np.arange(1, words + 1, dtype=np.uint64)[None, :]
-        z = (z ^ (z >> np.uint64(30))) * _MIX[1]
-        z = (z ^ (z >> np.uint64(27))) * _MIX[2]
-        return z ^ (z >> np.uint64(31))
-
-
-def wide_fingerprint(text: bytes, k: int, words: int, seed: int = 42) -> bytes:
-    """64 * words bits over the distinct k-word shingles; empty for a text without words."""
-    hashes = np.unique(shingle_hashes(text, k, seed))
-    return votes(spread(hashes, words)).tobytes() if len(hashes) else b""
-
-
 def block_keys(radius: int, blocks: int, bits: int = 64) -> list[list[tuple[int, int]]]:
     """Each key as a list of (shift, width) of the blocks that it joins."""
     edges = [bits * i // blocks for i in range(blocks + 1)]
@@ -136,32 +118,38 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
 
 
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key long, node long, ...) with a part: a key of over most rows is cut into chunks, and every two of them meet in one part."""
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most), "hot-keys")
+    if counts.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    chunks = F.ceil(F.col("n_rows") / F.lit(most // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
+    parts = F.when(F.col("n_rows").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))
+    return rows.join(counts, "key", "left").withColumn("part", F.explode(parts)).drop("n_rows")
+
+
 def meet(rows: DataFrame, radius: int, most: int = MEET) -> DataFrame:
     """Links a, b among rows (key long, node long, print binary): all within radius that share a key are joined."""
-    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot-keys")
-    if counts.isEmpty():
-        cut = rows.withColumn("part", F.lit(0))
-    else:
-        joined = rows.join(counts, "key", "left")
-        chunks = F.ceil(F.col("n") / F.lit(most // 2)).cast("int")
-        own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
-        cut = joined.withColumn("part", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs)))).select("key", "part", "node", "print")
+    cut = _dealt(rows, most)
     dealt = cut.select(F.xxhash64("key", "part").alias("meet"), "key", "part", "node", "print").repartition("meet").sortWithinPartitions("key", "part", "node")
     keyed = dealt.select(F.struct("key", "part").alias("k"), "node", "print")
     return map_arrow(keyed, _linker(radius), "a long, b long")
 
 
-def _prints(docs: DataFrame, make: Callable[[bytes], tuple], fields: str, arrow: list, id_col: str, text_col: str) -> DataFrame:
+def _prints(docs: DataFrame, make: Callable[[bytes], tuple], fields: str, arrow: list, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id and what make gives for each text; columns of more (longs) go along, after the fields."""
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [make(t) for t in blobs(batch.column(1))]
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", *names, *more])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t")), run, f"doc_id long, {fields}")
+    schema = "".join(f", {m} long" for m in more)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"), *more), run, f"doc_id long, {fields}{schema}")
 
 
 def _signed(value: int) -> int:
@@ -200,40 +188,256 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int
     return prints.join(of, F.col("print") == F.col("p")).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_k: int = 2, words: int = 8, block_words: int = 12, block_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", most: int = MEET) -> DataFrame:
-    """doc_id, keep_id (the smallest id of its group) for every document whose near-duplicate group has more than one id.
+#: Documents whose shingles are counted to tell common ones from rare ones, and common shingles that are kept.
+COUNTED, COMMON = 20_000, 500_000
+#: Rows (two longs each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that sets of n and m must share to be similar; rounding errors never raise it."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
+
 
-    Two documents are near when the SimHashes of their distinct k-word shingles (64 * words bits)
-    differ in at most the share of bits that a Jaccard similarity of ``similarity`` has on average,
-    and a standard deviation more: few pairs above the similarity are lost to the estimate's error.
-    At 0.8 that share is 15 %, where few whole blocks survive; so the blocks are cut from a second
-    fingerprint, of 64 * block_words bits and shorter shingles, of which an edit breaks fewer. Candidates that share none of
-    these blocks are missed; the README gives the measured recall. Texts without words and rows
-    with a null id are in no group.
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in an order that all sets share: rare before common (sorted, with a rank each), then by hash.
+
+    Two sets that share similarity of their union share one of these: each lacks less than its prefix's length.
     """
-    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
-    share = np.arccos(cosine) / np.pi
-    radius = int(words * 64 * share + np.sqrt(words * 64 * share * (1 - share)))
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    order = np.lexsort((hashes, np.where(known, rank[at], 0) if len(common) else known))
+    return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]]
+
+
+def _common(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one of some COUNTED documents have, sorted, and in how many. They only order the prefixes: any choice is right."""
+    share = min(1.0, COUNTED / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("counted")), F.lit(1_000_000)) < int(share * 1_000_000)).select(whole(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in blobs(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, k)).view(np.int64))], ["key"])
+
+    counts = map_arrow(some, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).toArrow()
+    hashes, n = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _buckets(fields: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]]:
+    """Rows sorted by key and part, as columns of whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(f)).astype(np.int64) for f in fields]
+            cuts = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            start = cuts[-1] + 1 if len(cuts) else 0  # where the last bucket, which may go on, begins
+            same = bool(held) and held[0][0][-1] == now[0][0] and held[0][1][-1] == now[1][0]
+            if not start and (same or not held):
+                held.append(now)
+                continue
+            if held and not same:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            if start:
+                yield [np.concatenate(c) for c in zip(*held, [c[:start] for c in now], strict=True)]
+            held = [[c[start:] for c in now]]
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    return run
+
+
+_ROW = ("key", "part", "node", "n", "pos")
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j can be similar if this is the first shingle that they share: what is left of both suffices."""
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i], n[j], similarity)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that two nodes or more have."""
+    for columns in _buckets(_ROW)(batches):
+        key = columns[0]
+        new = np.append(True, (key[1:] != key[:-1]) | (columns[2][1:] != columns[2][:-1]))  # repeated rows give a node again
+        key, node, n, pos = (c[new] for c in (key, *columns[2:]))
+        again = key[1:] == key[:-1]
+        kept = np.append(again, False) | np.insert(again, 0, False)
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, node, n.astype(np.int32), pos.astype(np.int32))], ["key", "node", "n", "pos"])
 
-    def make(text: bytes) -> tuple[bytes, bytes]:
-        return wide_fingerprint(text, block_k, block_words), wide_fingerprint(text, k, words)
 
-    prints = materialize(_prints(docs, make, "wide binary, print binary", [pa.binary(), pa.binary()], id_col, text_col).where("doc_id is not null and length(print) > 0"), "simhash")
-    nodes = prints.groupBy("wide", "print").agg(F.min("doc_id").alias("node"))
-    blocks = block_words * 64 // block_bits
-    weights = (np.uint64(1) << np.arange(block_bits, dtype=np.uint64))[None, None, :]
+def _neighbours(similarity: float, steps: int = 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates few steps apart in their key, in the order of size and node, which all keys share: in proportion to the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, node, n, pos in _buckets(_ROW)(batches):
+            found = []
+            for step in range(1, steps + 1):
+                i = np.flatnonzero((key[step:] == key[:-step]) & (part[step:] == part[:-step]))
+                i = i[_may(n, pos, i, i + step, similarity)]
+                found.append((node[i], node[i + step]))
+            yield _pair_rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    return run
+
+
+def _across(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All candidates of a key that aren't in one group yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, node, n, pos, group in _buckets((*_ROW, "grp"))(batches):
+            edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            a, b, size = [], [], 0
+            for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True):
+                if (group[lo:hi] == group[lo]).all():
+                    continue
+                for i in range(lo, hi - 1):
+                    j = np.arange(i + 1, hi)
+                    j = j[(group[j] != group[i]) & _may(n, pos, np.full(len(j), i), j, similarity)]
+                    a.append(np.full(len(j), node[i]))
+                    b.append(node[j])
+                    size += len(j)
+                    if size > 200_000:
+                        yield _pair_rows(np.concatenate(a), np.concatenate(b))
+                        a, b, size = [], [], 0
+            if size:
+                yield _pair_rows(np.concatenate(a), np.concatenate(b))
+
+    return run
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """1024 bits, each the parity of the hashes that fall on it: two sets differ in as many hashes at least as these do in bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
+def _able(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b whose sizes and parities (node, n, bits) let them be similar; no similar pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (4, 5))
+            kept = np.bitwise_count(x ^ y).sum(axis=1) <= n + m - 2 * least_overlap(n, m, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
+
+    left = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
+    both = left.join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a long, b long")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole sets (node, hashes: sorted longs as bytes) overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                shared = int((both[1:] == both[:-1]).sum())
+                kept.append(shared >= similarity * (len(both) - shared) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
+
+
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = MEET) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), keep_id, keep_key for every document whose near-duplicate group has more than one.
+
+    A document is an id with a text: two texts of one id are two documents, in one group only if they
+    are near. keep_id and keep_key are those of the group's document of the smallest id, then key.
+
+    Two documents are near when the Jaccard similarity of their sets of distinct k-word shingles (by
+    64-bit hash) is ``similarity`` or more; groups are connected. The search is exact:
+
+    1. Equal sets are one node. A node's prefix is its first shingles in an order that all nodes share,
+       rare ones first; two near nodes share a shingle of their prefixes.
+    2. Nodes at most 16 steps apart in a shingle's list are candidates; those whose whole sets overlap
+       enough are linked. That joins most of a large group without its pairs.
+    3. All other pairs of a list, of two groups and by size and place able to be near, follow.
+
+    Before whole sets are fetched, pairs meet by 128 bytes of parities, which bound the overlap from above.
+
+    Texts without words and rows with a null id are in no group.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, k, id_col, text_col))
+
+    def make(text: bytes) -> tuple[int, int, bytes, bytes]:
+        hashes = np.unique(shingle_hashes(text, k))
+        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), prefix(hashes, *held.value, similarity).tobytes() if len(hashes) else b"", parity(hashes)
+
+    source = docs.where(F.col(id_col).isNotNull()).withColumn("text_key", F.xxhash64(whole(text_col)))
+    made = _prints(source, make, "node long, n int, first binary, bits binary", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], id_col, text_col, "text_key")
+    made = materialize(made.where("n > 0"), "prefixes")
+    nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count("*").alias("n_rows"))
+    nodes = materialize(nodes.select("node", F.col("least.doc_id").alias("x_id"), F.col("least.text_key").alias("x_key"), "n_rows"), "nodes")
+    many = nodes.where("n_rows > 1").withColumnRenamed("node", "m_node")
+    others = made.select("doc_id", "text_key", "node").join(many, F.col("node") == F.col("m_node")).where("doc_id <> x_id or text_key <> x_key")
+    others = materialize(others.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key")).distinct(), "others")
+    alone = made.join(_small(others), (F.col("doc_id") == F.col("o_id")) & (F.col("text_key") == F.col("o_key")), "left_anti")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.asarray(batch.column(2)).astype(np.int64)
-            values = batch.column(1).to_pylist()
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(node), -1)
-            for i in range(0, len(node), 1000):
-                bits = np.unpackbits(raw[i : i + 1000], axis=1, bitorder="little")[:, : blocks * block_bits].reshape(-1, blocks, block_bits)
-                keys = (bits.astype(np.uint64) * weights).sum(axis=2) | (np.arange(blocks, dtype=np.uint64) << np.uint64(block_bits))[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[i : i + 1000], blocks)), pa.array([v for v in values[i : i + 1000] for _ in range(blocks)], pa.binary())], ["key", "node", "print"])
-
-    links = meet(map_arrow(nodes, expand, "key long, node long, print binary"), radius, most)
-    same = prints.join(nodes, ["wide", "print"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.unionByName(same))
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+            node, n, firsts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+            lengths = np.array([len(x) // 8 for x in firsts], np.int64)
+            pos = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if len(lengths) else np.empty(0, np.int32)
+            columns = [np.frombuffer(b"".join(firsts), np.int64), np.repeat(node, lengths), np.repeat(n, lengths), pos]
+            for i in range(0, len(pos), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], ["key", "node", "n", "pos"])
+
+    def sort(rows: DataFrame, *more: str) -> DataFrame:
+        dealt = rows.select(F.xxhash64("key", "part").alias("meet"), "key", "part", "node", "n", "pos", *more).repartition("meet")
+        return dealt.sortWithinPartitions("key", "part", "n", "node").drop("meet")
+
+    rows = map_arrow(alone.select("node", "n", "first"), expand, "key long, node long, n int, pos int")
+    lists = rows.repartition("key").sortWithinPartitions("key", "node").withColumn("part", F.lit(0)).select(*_ROW)
+    shared = materialize(map_arrow(lists, _shared, "key long, node long, n int, pos int"), "shared")
+    cut = _dealt(shared, most)
+    bits = made.select("node", "n", "bits").join(_small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
+    bits = materialize(bits.groupBy("node", "n").agg(F.first("bits").alias("bits")), "bits")
+
+    def whole_set(text: bytes) -> tuple[int, bytes]:
+        hashes = np.unique(shingle_hashes(text, k))
+        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), hashes.tobytes()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_able(pairs, bits, similarity), "able")
+        asked = pairs.select(F.col("a").alias("p_node")).union(pairs.select("b")).distinct()
+        needed = materialize(nodes.join(asked, F.col("node") == F.col("p_node"), "left_semi").select("x_id", "x_key"), "needed")
+        again = source.join(_small(needed), (F.col(id_col).cast("long") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
+        sets = _prints(again, whole_set, "node long, hashes binary", [pa.int64(), pa.binary()], id_col, text_col)
+        return _verified(pairs, materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets"), similarity)
+
+    near = materialize(map_arrow(sort(cut), _neighbours(similarity), "a long, b long").distinct(), "neighbours")
+    links = verified(near)
+    groups = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("grp"))
+    grouped = cut.join(groups, F.col("node") == F.col("g_node"), "left").withColumn("grp", F.coalesce("grp", "node"))
+    rest = map_arrow(sort(grouped, "grp"), _across(similarity), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(rest))
+
+    found = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("c"))
+    of = made.select("doc_id", "text_key", "node").join(found, F.col("node") == F.col("g_node"), "left").select("doc_id", "text_key", F.coalesce("c", "node").alias("c"))
+    of = materialize(of.distinct(), "grouped")
+    least = of.groupBy(F.col("c").alias("c2")).agg(F.min(F.struct("doc_id", "text_key")).alias("keep"), F.count("*").alias("n_docs")).where("n_docs > 1")
+    return of.join(least, F.col("c") == F.col("c2")).select("doc_id", "text_key", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"))

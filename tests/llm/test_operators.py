@@ -217,3 +217,49 @@ def test_empty_tables(spark):
     docs = table(spark, [])
     for frame in (substring.substring_dedup(docs), simhash.simhash_components(docs), exact.exact_dedup(docs), packing.pack(docs, PATH), pii.surrogate_pii(docs, "k"), license.scan_licenses(docs), decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))):
         assert frame.count() == 0
+
+
+def near_copies(seed=6):
+    """Texts and edited copies of them: passages appended, cut and replaced, single words changed; and a passage that many share."""
+    rng = random.Random(seed)
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows, line = [], new(40)
+    for kind in ("append", "cut", "replace", "words"):
+        for i in range(30):
+            base = new(rng.randint(60, 300))
+            n = int(len(base) * rng.uniform(0.03, 0.25))
+            at = rng.randrange(len(base) - n)
+            if kind == "words":
+                other = [w if rng.random() > 0.04 else "edited" for w in base]
+            else:
+                other = base + new(n) if kind == "append" else base[:at] + (new(n) if kind == "replace" else []) + base[at + n :]
+            rows += [" ".join(base), " ".join(other)]
+    rows += [" ".join(new(35) + line) for _ in range(40)] + [" ".join(line + new(9) if i % 3 else line + new(3)) for i in range(40)] + ["one two", "One  TWO", "one two three"]
+    rng.shuffle(rows)
+    return list(enumerate(rows, 10))
+
+
+def brute_groups(rows, similarity=0.8):
+    """The smallest id near each id, over all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    label = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) * 10 >= round(similarity * 10) * len(sets[a] | sets[b])]
+    for _ in range(len(near)):
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    many = {d for p in near for d in p}
+    return {d: c for d, c in label.items() if d in many}
+
+
+def test_near_groups_against_all_pairs(spark):
+    rows = near_copies()
+    want = brute_groups(rows)
+    assert len(want) > 100
+    for most in (simhash.MEET, 8):
+        assert {r.doc_id: r.keep_id for r in simhash.near_groups(table(spark, rows), most=most).collect()} == want
