@@ -21,7 +21,7 @@ from quarry.plans import models, rag, reports
 from quarry.sources import tables
 
 SIZE, OVERLAP = 600, 50
-SWEEP = (512, 1024)
+SWEEP = (256, 512, 1024, 2048)
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:

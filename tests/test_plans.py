@@ -146,3 +146,12 @@ def test_report_tables(spark, tmp_path):
     reports.write_csv(table, f"file://{tmp_path}/csv")
     reports.write_examples(a.select("config", "score"), f"file://{tmp_path}/ex")
     assert spark.read.json(f"file://{tmp_path}/ex").first().config == "x_1"
+
+
+def test_registered_sweep_tries_every_size(spark):
+    from quarry import catalog
+
+    found = catalog.queries()["chunk_size_sweep"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.chunk_size, r.chunk_overlap) for r in found) == [(256, 25), (512, 51), (1024, 102), (2048, 204)]
+    best = catalog.queries()["chunk_size_best"](spark, "/root/testdata/sf0.001").first()
+    assert best.chunk_size == min(found, key=lambda r: (-r.ndcg, r.chunk_size)).chunk_size
