@@ -263,3 +263,9 @@ def test_near_groups_against_all_pairs(spark):
     assert len(want) > 100
     for most in (simhash.MEET, 8):
         assert {r.doc_id: r.keep_id for r in simhash.near_groups(table(spark, rows), most=most).collect()} == want
+
+
+def test_pii_names_after_punctuation():
+    for text in ("(Mr. Smith) spoke", 'said "Dr. Jones', "and/or Mrs. White", "die \u2013Frau Weber"):
+        new, kinds, _ = pii.Surrogates(b"k").replace(text)
+        assert kinds == ["name"] and new.split()[-1] != text.split()[-1] or "Smith" not in new and kinds == ["name"], text
