@@ -2,7 +2,7 @@
 
 A candidate block is a line with a license word, and the neighbouring lines that read like license
 text. Each block is compressed alone and with every template as zstandard raw dictionary; the
-templates are ranked by how much they shorten it. The best few are confirmed by their exact wording:
+templates are ranked by how much they shorten it. All that do are confirmed by their exact wording:
 the words of the template that the block lacks and those it has in excess, along the best alignment.
 All of it is map-side; the templates are a constant.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +54,8 @@ TEMPLATES = {
 
 HINT = re.compile(r"licen[sc]e|copyright|all rights reserved|redistribut|permission (?:is hereby|to use)|creative commons|cc[ -]?by|cc0|spdx", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Lines that a block grows in either direction, templates that are confirmed by wording, words that may differ (share).
-GROW, RANKED, DIFFERENT = 40, 4, 0.1
+#: Lines that a block grows in either direction, words that may differ (share).
+GROW, DIFFERENT = 40, 0.1
 #: Characters of a block beyond which only the surroundings of its license words are compared.
 LONG = 6000
 LEVEL = 3
@@ -101,11 +102,35 @@ class Scanner:
                 continue
             end = -1  # long lines: what lies about each hint
             for m in HINT.finditer(block):
-                if m.start() >= end:
+                if m.start() >= end - LONG // 4:  # windows overlap by more than the longest template
                     end = m.end() + LONG // 2
                     start = block.find(" ", max(0, m.start() - LONG // 2)) + 1 if m.start() > LONG // 2 else 0
                     yield first, words(block[min(start, m.start()) : end])
 
+    @staticmethod
+    def _lacking(block: list[str], template: list[str]) -> int:
+        """Words of the template that the block hasn't anywhere: no alignment misses fewer."""
+        return (Counter(template) - Counter(block)).total()
+
+    @classmethod
+    def aligned(cls, block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
+        """wording, and where in the block it begins and ends: about each place where the template may lie, the best."""
+        n, found = len(template), None
+        places = {0: len(block)}
+        if len(block) > n:
+            index: dict[str, list[int]] = {}
+            for at, w in enumerate(template):
+                index.setdefault(w, []).append(at)
+            votes = Counter((at - x) // 8 for at, w in enumerate(block) for x in index.get(w, ()))
+            places |= {max(0, 8 * v - n // 8 - 8): min(len(block), 8 * v + n + n // 8 + 16) for v, _ in votes.most_common(4)}
+        for lo, hi in places.items():
+            part = block[lo:hi]
+            missing, extra = cls.wording(part, template)
+            if found is None or len(missing) + len(extra) < len(found[0]) + len(found[1]):
+                shared = [m for m in difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if m.size]
+                found = missing, extra, lo + (shared[0].b if shared else 0), lo + (shared[-1].b + shared[-1].size if shared else 0)
+        return found
+
     @staticmethod
     def wording(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
         """The template's words that the block lacks, and what the block has between the first and last that it shares."""
@@ -119,25 +144,33 @@ class Scanner:
         return missing, extra
 
     def scan(self, text: str) -> Iterator[dict]:
+        """One row for each notice confirmed in a block, or one without a license: a notice's words are taken out and the rest is judged again."""
         for first, block in self.blocks(text):
-            joined = b" ".join(w.encode() for w in block)
-            alone = len(self.alone(joined))
-            gains = sorted(((alone - len(c(joined)), -i) for i, c in enumerate(self.given)), reverse=True)
-            row = {"line": first, "n_words": len(block), "license": None, "reduction": max(0.0, gains[0][0] / alone), "missing": [], "extra": [], "candidate": self.templates[-gains[0][1]][0]}
-            best = None
-            for gain, i in gains[:RANKED]:
-                name, _, template = self.templates[-i]
-                if gain <= 0:
+            n_words, any_found = len(block), False
+            while block:
+                joined = b" ".join(w.encode() for w in block)
+                alone = len(self.alone(joined))
+                gains = sorted(((alone - len(c(joined)), -i) for i, c in enumerate(self.given)), reverse=True)
+                best = None
+                for gain, i in gains:
+                    name, _, template = self.templates[-i]
+                    if gain <= 0:
+                        break
+                    if self._lacking(block, template) > DIFFERENT * len(template):
+                        continue
+                    # The block may hold more than the notice: what lies outside the alignment doesn't count.
+                    missing, extra, lo, hi = self.aligned(block, template)
+                    rank = (len(missing) + len(extra)) / len(template)
+                    if rank <= DIFFERENT and (best is None or (rank, -len(template)) < best[0]):
+                        best = (rank, -len(template)), name, gain / alone, missing, extra, lo, hi
+                row = {"line": first, "n_words": n_words, "license": None, "reduction": max(0.0, gains[0][0] / alone), "missing": [], "extra": [], "candidate": self.templates[-gains[0][1]][0]}
+                if best is None:
+                    if not any_found:
+                        yield row
                     break
-                # The block may hold more than the notice: what lies outside the alignment doesn't count.
-                missing, extra = self.wording(block, template)
-                rank = (len(missing) + len(extra)) / len(template)
-                if rank <= DIFFERENT and (best is None or (rank, -len(template)) < best[0]):
-                    best = (rank, -len(template)), name, gain / alone, missing, extra
-            if best:
-                row |= {"license": best[1], "reduction": best[2], "missing": best[3], "extra": best[4]}
-            yield row
-
+                any_found = True
+                yield row | {"license": best[1], "reduction": best[2], "missing": best[3], "extra": best[4]}
+                block = block[: best[5]] + block[best[6] :]
 
 FOUND = "blocks array<struct<line: int, n_words: int, candidate: string, license: string, reduction: double, missing: array<string>, extra: array<string>>>"
 _BLOCK = pa.struct([("line", pa.int32()), ("n_words", pa.int32()), ("candidate", pa.string()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])

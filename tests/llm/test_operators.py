@@ -269,3 +269,10 @@ def test_pii_names_after_punctuation():
     for text in ("(Mr. Smith) spoke", 'said "Dr. Jones', "and/or Mrs. White", "die \u2013Frau Weber"):
         new, kinds, _ = pii.Surrogates(b"k").replace(text)
         assert kinds == ["name"] and new.split()[-1] != text.split()[-1] or "Smith" not in new and kinds == ["name"], text
+
+
+def test_licenses_side_by_side(spark):
+    full = {k: v[-1] for k, v in license.TEMPLATES.items()}
+    rows = [(1, full["MIT"] + "\n" + full["Apache-2.0"]), (2, "All rights reserved.\n" + full["BSD-3-Clause"]), (3, "\n".join(full[x] for x in ("ISC", "MPL-2.0", "CC0-1.0", "GPL-2.0", "CC-BY-4.0", "Proprietary"))), (4, "license " + "x " * 3500 + full["MIT"] + " y" * 3500)]
+    got = {r.doc_id: set(r.licenses) for r in license.scan_licenses(table(spark, rows)).collect()}
+    assert got == {1: {"MIT", "Apache-2.0"}, 2: {"Proprietary", "BSD-3-Clause"}, 3: {"ISC", "MPL-2.0", "CC0-1.0", "GPL-2.0", "CC-BY-4.0", "Proprietary"}, 4: {"MIT"}}
