@@ -276,3 +276,12 @@ def test_licenses_side_by_side(spark):
     rows = [(1, full["MIT"] + "\n" + full["Apache-2.0"]), (2, "All rights reserved.\n" + full["BSD-3-Clause"]), (3, "\n".join(full[x] for x in ("ISC", "MPL-2.0", "CC0-1.0", "GPL-2.0", "CC-BY-4.0", "Proprietary"))), (4, "license " + "x " * 3500 + full["MIT"] + " y" * 3500)]
     got = {r.doc_id: set(r.licenses) for r in license.scan_licenses(table(spark, rows)).collect()}
     assert got == {1: {"MIT", "Apache-2.0"}, 2: {"Proprietary", "BSD-3-Clause"}, 3: {"ISC", "MPL-2.0", "CC0-1.0", "GPL-2.0", "CC-BY-4.0", "Proprietary"}, 4: {"MIT"}}
+
+
+def test_near_copies_of_one_id(spark):
+    import corpus_pipeline
+
+    words = [f"q{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["more"])), (2, " ".join(f"clean{i}" for i in range(50))), (3, " ".join(["less"] + words))]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()}
+    assert got == {rows[0], rows[2]}
