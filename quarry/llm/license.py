@@ -114,7 +114,7 @@ class Scanner:
 
     @classmethod
     def aligned(cls, block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
-        """wording, and where in the block it begins and ends: about each place where the template may lie, the best."""
+        """wording, and where in the block it begins and ends: about each place where the template can lie, the best."""
         n, found = len(template), None
         places = {0: len(block)}
         if len(block) > n:
@@ -122,7 +122,7 @@ class Scanner:
             for at, w in enumerate(template):
                 index.setdefault(w, []).append(at)
             votes = Counter((at - x) // 8 for at, w in enumerate(block) for x in index.get(w, ()))
-            places |= {max(0, 8 * v - n // 8 - 8): min(len(block), 8 * v + n + n // 8 + 16) for v, _ in votes.most_common(4)}
+            places |= {max(0, 8 * v - n // 8 - 8): min(len(block), 8 * v + n + n // 8 + 16) for v, c in votes.items() if c >= (1 - DIFFERENT) * n / (DIFFERENT * n / 8 + 2)}  # a confirmed notice has so many in one of its diagonals
         for lo, hi in places.items():
             part = block[lo:hi]
             missing, extra = cls.wording(part, template)
