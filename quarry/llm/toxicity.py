@@ -1,10 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: the ordinary one holds the words most common
-in ordinary documents, the toxic one the same words and after them the word beginnings that mark
-toxic text. A window of words that shortens more under the toxic dictionary than under the ordinary
-one is evidence; how much it takes is calibrated by a logistic regression on labelled documents that
-the dictionaries have not seen.
+Two zstandard dictionaries are trained on labelled text, one for each class, and every window of a text
+is compressed under both. A window that comes out shorter under the toxic dictionary is evidence; how
+much of it makes a text toxic is calibrated by a logistic regression on labelled documents that the
+dictionaries have not seen.
+
+A toxic document is ordinary text but for a few places, so its whole text would make a dictionary that
+differs from the ordinary one by chance alone. Training finds those places by compression too: several
+pairs of provisional dictionaries, each of random windows of the two classes, compress every word of
+the training documents they don't hold; the words that come out shorter as toxic under nearly all pairs,
+beyond what words of ordinary documents do, are the residue of their document. The toxic dictionary is
+trained on the residues, the ordinary one on ordinary windows; either stands behind one base that is
+trained on ordinary windows, so that ordinary words cost the same under both.
 
 Learning reads a bounded sample: at most ``per_class`` labelled rows a class, the first by a hash of
 their id, of texts of at most ``most_bytes``. Scoring reads every whole text, map-side.
@@ -13,8 +20,8 @@ their id, of texts of at most ``most_bytes``. Scoring reads every whole text, ma
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -28,21 +35,21 @@ from quarry.llm.common import blobs, map_arrow, whole
 
 #: Bound of the training sample.
 PER_CLASS, MOST_BYTES = 1500, 16_384
-#: Words in a window; bytes of common words, and of markers at most, in a dictionary. WINDOW, min_match and ODDS
-#: were chosen on learnable rows alone: those of crc32 remainder 1 judged what 2, 3 and 4 had taught.
-WINDOW, COMMON_BYTES, MARKER_BYTES = 12, 2048, 2048
+#: Words in a scored window and in a window that dictionaries are trained on; bytes of the base and of a class's part.
+#: These and what follows were chosen on learnable rows alone: those of crc32 remainder 1 judged what 2, 3 and 4 had taught.
+WINDOW, TRAINED_WINDOW, BASE_BYTES, PART_BYTES = 3, 12, 32_768, 2048
+#: Provisional pairs and their bytes; folds of the documents that are judged by the others; the share of ordinary words that may pass for residue.
+PAIRS, PAIR_BYTES, FOLDS, CHANCE = 16, 32_768, 3, 0.0002
 #: Ends both dictionaries and begins each window, so that every window has a match and is never stored raw.
 PRIMER = bytes(range(0x80, 0xA8))
 #: Ends each window: the last eight bytes are never searched for a match.
 TAIL = bytes(range(0xB0, 0xBA))
-#: Plain matching without entropy-coded literals: a length changes by matches alone.
-PARAMETERS = dict(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, window_log=16, chain_log=6, hash_log=14, search_log=1, write_content_size=False, write_dict_id=False)
+_PLAIN = dict(min_match=5, window_log=18, write_content_size=False, write_dict_id=False)
+#: Scored: the best of many matches. Provisional: one match a place, which costs a third. Literals are too few to be entropy-coded.
+SCORED = dict(_PLAIN, strategy=zstandard.STRATEGY_LAZY2, chain_log=16, hash_log=16, search_log=6)
+PROVISIONAL = dict(_PLAIN, strategy=zstandard.STRATEGY_FAST, target_length=1, chain_log=6, hash_log=17, search_log=1)
 #: Gains whose windows are counted.
-STEPS = (1, 2, 3, 4, 5, 7)
-#: Lengths of word beginnings that can mark a class.
-LENGTHS = (5, 6, 7, 9, 12)
-#: Least odds, as a logarithm, of a marker.
-ODDS = 3.3
+STEPS = (1, 2, 3, 4, 5, 6, 8, 10)
 
 
 @dataclass
@@ -52,59 +59,31 @@ class Model:
     weights: list[float]  # of the features, the constant last
 
 
-def _beginnings(text: bytes) -> set[bytes]:
-    out = set()
-    for w in set(text.lower().split()):
-        w = b" " + w.rstrip(b".,;:!?\"'()*#%&$")
-        out.update(w[:n] for n in LENGTHS if n <= len(w))
-        out.add(w[:24])
-    return out
+def windows(text: bytes, size: int) -> list[bytes]:
+    """The text's words, A-Z lower-cased, size at a time, between blanks."""
+    words = text.lower().split()
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
-def _markers(of: Counter, n_of: int, other: Counter, n_other: int, most: int) -> bytes:
-    """The beginnings that are frequent in one class and rare in the other, the strongest last."""
-    ranked = []
-    for w, n in of.items():
-        if n < max(4, 0.004 * n_of) or len(w) < 4:
-            continue
-        # The odds that are left at the unfavourable end of both counts.
-        o = other[w]
-        odds = math.log((n - 1.5 * math.sqrt(n) + 0.5) / (n_of + 1)) - math.log((o + 1.5 * math.sqrt(o) + 1.5) / (n_other + 1))
-        if odds > ODDS:
-            ranked.append((n * odds, w))
-    ranked.sort(reverse=True)
-    chosen: list[bytes] = []
-    size = 0
-    for _, w in ranked:
-        if any(c.startswith(w) for c in chosen):
-            continue
-        if size + len(w) > most:
-            break
-        chosen.append(w)
-        size += len(w)
-    return b"".join(reversed(chosen))
+def compressor(content: bytes, parameters: dict) -> Callable[[bytes], int]:
+    """The compressed length of a window given content."""
+    held = zstandard.ZstdCompressionParameters(**parameters)
+    given = zstandard.ZstdCompressionDict(content + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    given.precompute_compress(compression_params=held)
+    compress = zstandard.ZstdCompressor(dict_data=given, compression_params=held).compress
+    return lambda window: len(compress(PRIMER + window + TAIL))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.weights = np.array(model.weights)
-        self.pair = []
-        parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
-        for content in (model.toxic, model.ordinary):
-            held = zstandard.ZstdCompressionDict(content + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=parameters)
-            self.pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress)
+        self.toxic, self.ordinary = (compressor(c, SCORED) for c in (model.toxic, model.ordinary))
 
     def features(self, text: bytes) -> list[float]:
-        """How many windows gain each of STEPS bytes (logarithms, and as shares of all windows), and 1."""
-        words = text.lower().split()
-        toxic, ordinary = self.pair
-        gains = []
-        for i in range(0, len(words), WINDOW):
-            window = PRIMER + b" " + b" ".join(words[i : i + WINDOW]) + b" " + TAIL
-            gains.append(len(ordinary(window)) - len(toxic(window)))
-        over = [sum(g >= t for g in gains) for t in STEPS]
-        return [*(math.log1p(x) for x in over), *(x / max(8, len(gains)) * 10 for x in over), 1.0]
+        """How many windows gain each of STEPS bytes (logarithms, and as shares of all windows), how many there are, their mean gain, and 1."""
+        gains = [self.ordinary(w) - self.toxic(w) for w in windows(text, WINDOW)]
+        over, n = [sum(g >= t for g in gains) for t in STEPS], max(8, len(gains))
+        return [*(math.log1p(x) for x in over), *(x / n * 10 for x in over), math.log1p(len(gains)), sum(gains) / n, 1.0]
 
     def score(self, text: bytes) -> float:
         z = float(np.dot(self.weights, self.features(text)))
@@ -125,6 +104,51 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
     return w.tolist()
 
 
+def _trained(samples: list[bytes], size: int, segment: int, part: int) -> bytes:
+    """A dictionary that zstandard trains on samples; their own ends where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=part, steps=4).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _provisional(toxic: list[bytes], ordinary: list[bytes], rng: random.Random) -> tuple:
+    """A pair of compressors given random windows of either class, equally many bytes."""
+    most = min(PAIR_BYTES, sum(map(len, toxic)), sum(map(len, ordinary)))
+    contents = []
+    for whole_class in (toxic, ordinary):
+        picked, size = [], 0
+        for w in rng.sample(whole_class, len(whole_class)):
+            if size >= most:
+                break
+            picked.append(w)
+            size += len(w)
+        contents.append(b"".join(picked))
+    return tuple(compressor(c, PROVISIONAL) for c in contents)
+
+
+def residues(rows: list[tuple[int, bytes, int]]) -> list[bytes]:
+    """For each toxic document that has any, its words that are shorter as toxic under nearly all provisional pairs."""
+    rng, found = random.Random(1), []
+    cut = [(crc32(b"fold %d" % i) % FOLDS, windows(t, TRAINED_WINDOW), windows(t, 1), y) for i, t, y in rows]
+    for fold in range(FOLDS):
+        of = [[w for f, ws, _, label in cut if f != fold and label == y for w in ws] for y in (1, 0)]
+        judged = [(words, y) for f, _, words, y in cut if f == fold]
+        if not all(of) or not judged:
+            continue
+        pairs = [_provisional(*of, rng) for _ in range(PAIRS)]
+        distinct = sorted({w for words, _ in judged for w in words if len(w) > _PLAIN["min_match"]})
+        gains = np.array([[max(-8, min(8, ordinary(w) - toxic(w))) for w in distinct] for toxic, ordinary in pairs], float)
+        evidence = dict(zip(distinct, gains.mean(axis=0) / (gains.std(axis=0) + 0.7), strict=True))
+        usual = [evidence.get(w, 0.0) for words, y in judged if not y for w in words]
+        least = max(float(np.quantile(usual, 1 - CHANCE)), 0.0) if usual else 0.0
+        for words, y in judged:
+            kept = [w.strip() for w in words if evidence.get(w, 0.0) > least] if y else []
+            if kept:
+                found.append(b" " + b" ".join(kept) + b" ")
+    return found
+
+
 def train(rows: list[tuple[int, bytes, int]], prior: float | None = None) -> Model:
     """rows: (id, text, label). Two of three rows make the dictionaries, the third calibrates.
 
@@ -132,23 +156,18 @@ def train(rows: list[tuple[int, bytes, int]], prior: float | None = None) -> Mod
     rows, undoes the sample's balance.
     """
     if len({y for _, _, y in rows}) < 2:
-        return Model(b" ", b" ", [0.0] * (2 * len(STEPS)) + [-30.0])
-    fit = [r for r in rows if crc32(b"%d" % r[0]) % 3] or rows
-    counts, sizes, common = (Counter(), Counter()), [0, 0], Counter()
-    for _, text, y in fit:
-        counts[y].update(_beginnings(text))
-        sizes[y] += 1
-        if not y:
-            common.update(set(text.lower().split()))
-    toxic = _markers(counts[1], sizes[1], counts[0], sizes[0], MARKER_BYTES)
-    shared = b""
-    for w, _ in common.most_common(COMMON_BYTES):
-        if len(shared) >= COMMON_BYTES:
-            break
-        shared = b" " + w + shared
-    # Of one length, so that the common words cost the same in both.
-    model = Model(shared + toxic, shared + b"\n" * len(toxic), [0.0] * (2 * len(STEPS) + 1))
-    scorer = Scorer(model)
+        return Model(b" ", b" ", [0.0] * (2 * len(STEPS) + 2) + [-30.0])
+    fit = [r for r in rows if crc32(b"%d" % r[0]) % 3]
+    fit = [*{r[1]: r for r in fit}.values()]  # a copy is no further evidence
+    if len({y for _, _, y in fit}) < 2:
+        fit = rows
+    ordinary = [w for _, t, y in fit if not y for w in windows(t, TRAINED_WINDOW)]
+    base = _trained(ordinary, BASE_BYTES, 48, 8)
+    part = _trained(found, PART_BYTES, 32, 6) if (found := residues(fit)) else b""
+    other = random.Random(2).sample(ordinary, len(ordinary))
+    # Of one length, so that the base is as far away in both.
+    model = Model(base + part, base + b"".join(other)[: len(part)].rjust(len(part)), [])
+    scorer = Scorer(Model(model.toxic, model.ordinary, [0.0]))
     held = [r for r in rows if not crc32(b"%d" % r[0]) % 3]
     if len({y for _, _, y in held}) < 2:
         held = rows
@@ -165,6 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id"
     """The bounded training sample, and the share of label 1 among all learnable rows.
 
     learnable is a predicate on the column doc_id. Labels other than 0 and 1, and null ids, are left out.
+    Of several texts of one id the least is learned from: at most 2 * per_class rows reach the driver.
     """
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(learnable)
     told = told.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -175,7 +195,8 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id"
         ids = some if ids is None else ids.unionByName(some)
     texts = docs.select(F.col(id_col).cast("long").alias("l_id"), whole(text_col).alias("t")).where(F.octet_length("t") <= most_bytes)
     joined = texts.join(F.broadcast(ids), F.col("l_id") == F.col("doc_id"))  # at most 2 * per_class ids
-    rows = sorted({(r.doc_id, r.t.encode(), r.y) for r in joined.select("doc_id", "t", "y").toLocalIterator()})
+    one = joined.groupBy("doc_id", "y").agg(F.min("t").alias("t"))
+    rows = sorted((r.doc_id, r.t.encode(), r.y) for r in one.toLocalIterator())
     n = sum(total.values())
     return rows, (total.get(1, 0) / n if n else None)
 
