@@ -4,8 +4,11 @@ Entities are found map-side. A surrogate is the image of the entity's canonical
 permutation of all forms of that shape (digits stay digits, letters letters of their case and
 script, names in the name lists stay in the list of their gender and script). A permutation keeps
 distinct entities distinct and one entity one, in all documents and on all executors, with no table
-of what has been seen; it has no fixed point, so nothing stays as it was. Each document checks that
-its entities and surrogates are equally many.
+of what has been seen; it has no fixed point, so nothing stays as it was. ``collisions`` checks that
+over a whole corpus: no two entities of a kind with one surrogate, no entity with two.
+
+Names are found after an honorific, and where a listed first name precedes a capitalised word; their
+words are then replaced wherever they stand alone in the same document, each by the same surrogate.
 
 The permutation of a set of n forms, numbered 0 to n - 1, is x -> D(E(x) + c mod n), where E is a
 Feistel network with keyed rounds, walked until it falls below n, D its inverse and c a keyed shift
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,10 +44,33 @@ ALPHABETS = {
     "latin_vowel": "aeiou", "latin": "bcdfghjklmnpqrstvwxyz",
     "marked_vowel": "àáâäèéêëìíîïòóôöùúûü", "marked": "çñß",
     "cyrillic_vowel": "аеиоуыэюя", "cyrillic": "бвгджзйклмнпрстфхцчшщъь",
-    "greek_vowel": "αεηιουω", "greek": "βγδζθκλμνξπρσςτφχψ",
+    "greek_vowel": "αεηιουω", "greek": "βγδζθκλμνξπρστφχψ",
+    "wide_vowel": "ａｅｉｏｕ", "wide": "ｂｃｄｆｇｈｊｋｌｍｎｐｑｒｓｔｖｗｘｙｚ",
 }
 _CLASS = {c: letters for letters in ALPHABETS.values() for c in letters}
 
+
+def low(text: str) -> str:
+    """Lower case, character by character: letters whose lower case is longer stay."""
+    return text if text.isascii() and text.islower() else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _steady(c: str, category: str) -> bool:
+    """A letter that is its own lower case and comes back from its upper case, or stays without one."""
+    return unicodedata.category(c) == category and c not in _CLASS and c.lower() == c and (len(c.upper()) > 1 or low(c.upper()) == c)
+
+
+@lru_cache(10_000)
+def letters_like(c: str) -> str | None:
+    """The letters that c may become: its alphabet, or those of its category in its row of 64 code points; None: it stays."""
+    if c in _CLASS:
+        return _CLASS[c]
+    category, row = unicodedata.category(c), ord(c) // 64 * 64
+    if category not in ("Ll", "Lo") or not _steady(c, category):
+        return None
+    return "".join(x for x in map(chr, range(row, row + 64)) if _steady(x, category))
+
+
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+(?!\w)"
 #: Patterns in order of precedence where two begin at one place; the group "it", where there is one, is the entity.
 PATTERNS = {
@@ -54,8 +81,13 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "number": r"(?<![\w.-])\d(?:[ -]?\d){8,18}(?![\w-])",
+    "passport": r"(?i:\bpassport(?: no\.?| number)?)[:#\s]{1,3}(?P<it>[A-Z]{1,2}\d{6,8})(?!\w)",
+    "address": r"(?<![\w.-])\d{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|Avenue|Road|Lane|Boulevard|Drive)\b",
     "name": rf"(?i:\b(?:{'|'.join(HONORIFICS)})\b)\.?\s(?P<it>(?=[^\W\d_])(?-i:{_NAME}(?:\s{_NAME}){{0,2}}))",
 }
+#: Two or three capitalised words on one line.
+_CAPITALISED = re.compile(rf"(?<!\w)(?=[^\W\d_])(?:{_NAME})(?:[ \t\xa0](?:{_NAME})){{1,2}}")
+_WORD = re.compile(rf"(?<![\w])(?:{_NAME})")
 
 
 def _round(key: bytes, tweak: str, i: int, value: int) -> int:
@@ -102,7 +134,7 @@ def _mixed(key: bytes, tweak: str, radices: list[int], digits: list[int]) -> lis
 
 def _shape(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str:
     """Permutes the digits and letters of a lower-case text, each within its class; all else stays and is part of the shape."""
-    classes = ["0123456789abcdef" if hexadecimal and c in "0123456789abcdef" else "0123456789" if c in "0123456789" else _CLASS.get(c) for c in text]
+    classes = ["0123456789abcdef" if hexadecimal and c in "0123456789abcdef" else "0123456789" if c in "0123456789" else letters_like(c) for c in text]
     places = [i for i, c in enumerate(classes) if c]
     if not places:
         return text
@@ -154,13 +186,14 @@ def _phone(key: bytes, old: str) -> str:
 
 
 def _ip(key: bytes, old: str) -> str:
-    return ".".join(map(str, _mixed(key, "ip", [256] * 4, [int(x) for x in old.split(".")])))
+    return ".".join(map(str, _mixed(key, "ip", [256] * 4, [int(x) for x in old.split(".")])))  # 01 is 1
 
 
 def _iban(key: bytes, old: str) -> str:
     flat = old.replace(" ", "")
     body = _shape(key, "iban" + flat[:2], flat[4:].lower()).upper()
-    check = 98 - int("".join(str(int(c, 36)) for c in body + flat[:2] + "00")) % 97
+    right = lambda b: 98 - int("".join(str(int(c, 36)) for c in b + flat[:2] + "00")) % 97
+    check = (right(body) + int(flat[2:4]) - right(flat[4:])) % 100  # as wrong as it was
     new = iter(flat[:2] + f"{check:02d}" + body)
     return "".join(c if c == " " else next(new) for c in old)
 
@@ -174,21 +207,35 @@ def _email(key: bytes, old: str) -> str:
 
 
 def _secret(key: bytes, old: str) -> str:
-    low = old.lower()
-    return _like(_shape(key, "secret", low, all(c in "0123456789abcdef" for c in low)), old)
+    hexadecimal = lambda x: all(c in "0123456789abcdef" for c in x)
+    now, is_hex = old.lower(), hexadecimal(old.lower())
+    while True:  # others map to others
+        now = _shape(key, "secret", now, is_hex)
+        if hexadecimal(now) == is_hex:
+            return _like(now, old)
+
+
+def _passport(key: bytes, old: str) -> str:
+    return _like(_shape(key, "passport", old.lower()), old)
 
 
-_LISTED = {name.lower(): (group, i) for group, names in FIRST_NAMES.items() for i, name in enumerate(names)}
+def _address(key: bytes, old: str) -> str:
+    """House number and street, whose kind stays; numbers of one length map among themselves."""
+    number, *street, kind = old.split(" ")
+    return " ".join([_digits(key, "house", number), *(_word(key, w) for w in street), kind])
+
+
+_LISTED = {low(name): (group, i) for group, names in FIRST_NAMES.items() for i, name in enumerate(names)}
 
 
 def _word(key: bytes, old: str) -> str:
     """A word of a name: a listed first name within its list, another to another unlisted one of its shape."""
-    low = old.lower()
-    if low in _LISTED:
-        group, i = _LISTED[low]
+    plain = low(old)
+    if plain in _LISTED:
+        group, i = _LISTED[plain]
         new = FIRST_NAMES[group][permute(key, f"first|{group}", len(FIRST_NAMES[group]), i)]
         return new.upper() if old.isupper() and len(old) > 1 else new.lower() if old.islower() else new
-    new = _shape(key, "name", low)
+    new = _shape(key, "name", plain)
     while new in _LISTED:
         new = _shape(key, "name", new)
     return _like(new, old)
@@ -198,7 +245,7 @@ def _name(key: bytes, old: str) -> str:
     return re.sub(_NAME, lambda m: _word(key, m[0]), old)
 
 
-MAKERS: dict[str, Callable[[bytes, str], str]] = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "ssn": lambda k, x: _pour(_digits(k, "ssn", x.replace("-", "")), x), "phone": _phone, "number": _number, "name": _name}
+MAKERS: dict[str, Callable[[bytes, str], str]] = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "ssn": lambda k, x: _pour(_digits(k, "ssn", x.replace("-", "")), x), "phone": _phone, "number": _number, "passport": _passport, "address": _address, "name": _name}
 
 
 def canonical(kind: str, text: str) -> str:
@@ -206,7 +253,14 @@ def canonical(kind: str, text: str) -> str:
     if kind in ("ssn", "phone", "number"):
         digits = "".join(c for c in text if c.isdigit())
         return digits[-10:] if kind == "phone" else digits
-    return re.sub(r"\s+", "" if kind == "iban" else " ", text.lower())
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
+    return re.sub(r"\s+", "" if kind == "iban" else " ", low(text))
+
+
+def _opens(word: str) -> bool:
+    """Whether a word may be a name's: it begins with a capital, or its script has none."""
+    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
 
 
 _DIGIT, _SECRET_MARKS = re.compile(r"[0-9]"), ("token", "secret", "passw", "key")
@@ -221,8 +275,8 @@ class Surrogates:
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the entities, none overlapping: the earliest first, then by precedence."""
         found = []
-        low, digits = text.lower(), _DIGIT.search(text) is not None
-        may = {"email": "@" in text, "secret": any(x in low for x in _SECRET_MARKS), "name": True}
+        plain, digits = text.lower(), _DIGIT.search(text) is not None
+        may = {"email": "@" in text, "secret": any(x in plain for x in _SECRET_MARKS), "name": True, "passport": digits and "passport" in plain}
         for rank, (kind, pattern) in enumerate(self.patterns):
             if not may.get(kind, digits):  # what every match must hold
                 continue
@@ -231,36 +285,80 @@ class Surrogates:
                 if kind == "name":
                     kept = re.match(rf"{_NAME}(?:\s{_NAME})*", text[start:end])
                     words = kept[0].split() if kept else []
-                    n = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
+                    n = next((i for i, w in enumerate(words) if not _opens(w)), len(words))
                     if not n:
                         continue
                     end = start + len(re.match(rf"{_NAME}(?:\s{_NAME}){{{n - 1}}}", text[start:end])[0])
                 found.append((start, rank, end, kind))
+        found += self._bare_names(text)
         out, at = [], 0
         for start, _, end, kind in sorted(found):
             if start >= at:
                 out.append((start, end, kind))
                 at = end
-        return out
+        return self._carried(text, out)
+
+    def _bare_names(self, text: str) -> Iterator[tuple[int, int, int, str]]:
+        """A listed first name and the capitalised words after it, where no honorific tells."""
+        for m in _CAPITALISED.finditer(text):
+            words = [*_WORD.finditer(text, *m.span())]
+            for i, w in enumerate(words):
+                if low(w[0]) in _LISTED and w[0][0].isupper() and i + 1 < len(words) and words[i + 1][0][0].isupper() and words[i + 1][0] != w[0]:
+                    last = i + 2 if i + 2 < len(words) and words[i + 2][0][0].isupper() else i + 1
+                    yield w.start(), len(self.patterns), words[last].end(), "name"
+                    break
+
+    def _carried(self, text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """found, and the other places of the words of the names in it."""
+        known = {w[0] for a, b, kind in found if kind == "name" for w in _WORD.finditer(text, a, b) if len(w[0]) > 2}
+        if not known:
+            return found
+        out, i = [], 0
+        for w in _WORD.finditer(text):
+            while i < len(found) and found[i][1] <= w.start():
+                out.append(found[i])
+                i += 1
+            if w[0] in known and not (i < len(found) and found[i][0] < w.end()):
+                out.append((w.start(), w.end(), "name"))
+        return out + found[i:]
 
     def replace(self, text: str) -> tuple[str, list[str], int]:
         """The text with surrogates, the kinds in order, and how many entities are distinct."""
-        parts, kinds, at, seen = [], [], 0, {}
+        parts, kinds, at, seen = [], [], 0, set()
         for start, end, kind in self.find(text):
             old = text[start:end]
-            new = self.make(kind, old)
-            seen.setdefault((kind, canonical(kind, old)), canonical(kind, new))
-            parts += [text[at:start], new]
+            seen.add((kind, canonical(kind, old)))
+            parts += [text[at:start], self.make(kind, old)]
             kinds.append(kind)
             at = end
-        by_kind: dict[str, set] = {}
-        for (kind, _), new in seen.items():
-            if new in by_kind.setdefault(kind, set()):
-                raise ValueError(f"two entities of kind {kind} have one surrogate")
-            by_kind[kind].add(new)
         parts.append(text[at:])
         return "".join(parts), kinds, len(seen)
 
+    def pairs(self, text: str) -> set[tuple[str, str, str]]:
+        """(kind, entity, surrogate) of a text, in canonical form."""
+        found = ((kind, text[start:end]) for start, end, kind in self.find(text))
+        return {(kind, canonical(kind, old), canonical(kind, self.make(kind, old))) for kind, old in found}
+
+
+def collisions(docs: DataFrame, key: bytes | str, text_col: str = "text") -> DataFrame:
+    """kind, digest, n: surrogates (or entities) by digest that n > 1 entities (or surrogates) of their kind share; no row if all is well.
+
+    Only digests leave a task, each (entity, surrogate) once a batch; both counts are aggregations.
+    """
+    secret = key.encode() if isinstance(key, str) else key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogates = Surrogates(secret)
+        short = lambda side, x: hashlib.blake2b(x.encode(), key=surrogates.key[:32], person=side, digest_size=16).hexdigest()
+        for batch in batches:
+            found = set().union(*(surrogates.pairs(t) for t in batch.column(0).to_pylist() if t))
+            rows = [(kind, short(b"entity", old), short(b"surrogate", new)) for kind, old, new in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
+
+    pairs = map_arrow(docs.select(F.col(text_col).alias("text")), run, "kind string, entity string, surrogate string").distinct()
+    sides = F.explode(F.array(F.struct(F.concat(F.lit("s"), "surrogate").alias("digest"), F.col("entity").alias("other")), F.struct(F.concat(F.lit("e"), "entity").alias("digest"), F.col("surrogate").alias("other"))))
+    return pairs.select("kind", sides.alias("x")).groupBy("kind", "x.digest").agg(F.count("*").alias("n")).where("n > 1")
+
 
 def surrogate_pii(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text (with surrogates), n_entities, n_distinct, kinds (sorted, distinct).
