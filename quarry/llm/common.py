@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows (two longs each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
+#: A key with more than this share's inverse of all rows is hot; there are at most so many.
+HOT_KEYS = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The shared folder in spark.checkpoint.dir; where it is unset, a new one if all runs in one process (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = "file://" + tempfile.mkdtemp(prefix="quarry-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,6 +49,39 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores before them until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return tuple(out)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of two longs a row, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], n: str, how: str = "inner") -> DataFrame:
+    """left joined to right (inner or left), a written table with one row a key and n, how many rows of left have the key.
+
+    Keys with over 1 / HOT_KEYS of the rows, at most HOT_KEYS of them, are broadcast and their rows stay
+    where they are; the rest is shuffled by key, where no key is large. left is read twice; it should be
+    light and written.
+    """
+    total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    keys = [F.col(a) == F.col(b) for a, b in on]
+    if most <= max(1, total / HOT_KEYS):
+        return left.join(right, keys, how)
+    hot = F.col(n) > total / HOT_KEYS
+    often = F.broadcast(right.where(hot))
+    rest = left.join(often, keys, "left_anti").join(right.where(~hot), keys, how)
+    return left.join(often, keys).unionByName(rest)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER_AZ, blobs, map_arrow, materialize, whole
+from quarry.llm.common import LOWER_AZ, blobs, join_counted, map_arrow, materialize, small, whole
 from quarry.llm.graph import components
 
 #: Rows of one key that meet in one task; beyond it the key is cut into chunks of half as many.
@@ -165,7 +165,7 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int
     Repeated rows are judged each. An empty table gives an empty one.
     """
     prints = materialize(_prints(docs, lambda t: (_signed(fingerprint(t, k, seed)),), "print long", [pa.int64()], id_col, text_col), "simhash")
-    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "nodes")
     keys = block_keys(radius, blocks)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +180,17 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int
             prints8 = [node[i : i + 1].tobytes() for i in range(len(node))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(node, len(keys))), pa.array(prints8 * len(keys), pa.binary())], ["key", "node", "print"])
 
-    rows = map_arrow(nodes.select("print"), expand, "key long, node long, print binary")
+    spread = nodes.select("print").repartition(max(1, -(-nodes.count() // 20_000)), "print")  # a row becomes many
+    rows = map_arrow(spread, expand, "key long, node long, print binary")
     found = components(meet(rows, radius, most))
-    labelled = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("c"))
-    smallest = labelled.groupBy(F.col("c").alias("c2")).agg(F.min("least").alias("component_id"))
-    of = materialize(labelled.join(smallest, F.col("c") == F.col("c2")).select(F.col("print").alias("p"), "component_id"), "labels")
-    return prints.join(of, F.col("print") == F.col("p")).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = materialize(nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", "n_rows", F.coalesce("component", "print").alias("c")), "labelled")
+    smallest = materialize(labelled.groupBy(F.col("c").alias("c2")).agg(F.min("least").alias("component_id"), F.count("*").alias("n_prints")), "smallest")
+    of = materialize(join_counted(labelled, smallest, [("c", "c2")], "n_prints").select(F.col("print").alias("p"), "component_id", "n_rows"), "labels")
+    return join_counted(prints, of, [("print", "p")], "n_rows").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Documents whose shingles are counted to tell common ones from rare ones, and common shingles that are kept.
 COUNTED, COMMON = 20_000, 500_000
-#: Rows (two longs each) that are broadcast at most.
-BROADCAST_ROWS = 500_000
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -340,11 +339,6 @@ def _able(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a long, b long")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose whole sets (node, hashes: sorted longs as bytes) overlap enough."""
 
@@ -387,15 +381,15 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
         hashes = np.unique(shingle_hashes(text, k))
         return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), prefix(hashes, *held.value, similarity).tobytes() if len(hashes) else b"", parity(hashes)
 
-    source = docs.where(F.col(id_col).isNotNull()).withColumn("text_key", F.xxhash64(whole(text_col)))
-    made = _prints(source, make, "node long, n int, first binary, bits binary", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], id_col, text_col, "text_key")
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"), F.xxhash64(whole(text_col)).alias("text_key"))
+    made = _prints(source, make, "node long, n int, first binary, bits binary", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], "doc_id", "t", "text_key")
     made = materialize(made.where("n > 0"), "prefixes")
     nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count("*").alias("n_rows"))
     nodes = materialize(nodes.select("node", F.col("least.doc_id").alias("x_id"), F.col("least.text_key").alias("x_key"), "n_rows"), "nodes")
     many = nodes.where("n_rows > 1").withColumnRenamed("node", "m_node")
-    others = made.select("doc_id", "text_key", "node").join(many, F.col("node") == F.col("m_node")).where("doc_id <> x_id or text_key <> x_key")
+    others = join_counted(made.select("doc_id", "text_key", "node"), many, [("node", "m_node")], "n_rows").where("doc_id <> x_id or text_key <> x_key")
     others = materialize(others.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key")).distinct(), "others")
-    alone = made.join(_small(others), (F.col("doc_id") == F.col("o_id")) & (F.col("text_key") == F.col("o_key")), "left_anti")
+    alone = made.join(small(others), (F.col("doc_id") == F.col("o_id")) & (F.col("text_key") == F.col("o_key")), "left_anti")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,7 +408,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     lists = rows.repartition("key").sortWithinPartitions("key", "node").withColumn("part", F.lit(0)).select(*_ROW)
     shared = materialize(map_arrow(lists, _shared, "key long, node long, n int, pos int"), "shared")
     cut = _dealt(shared, most)
-    bits = made.select("node", "n", "bits").join(_small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
+    bits = made.select("node", "n", "bits").join(small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
     bits = materialize(bits.groupBy("node", "n").agg(F.first("bits").alias("bits")), "bits")
 
     def whole_set(text: bytes) -> tuple[int, bytes]:
@@ -425,8 +419,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
         pairs = materialize(_able(pairs, bits, similarity), "able")
         asked = pairs.select(F.col("a").alias("p_node")).union(pairs.select("b")).distinct()
         needed = materialize(nodes.join(asked, F.col("node") == F.col("p_node"), "left_semi").select("x_id", "x_key"), "needed")
-        again = source.join(_small(needed), (F.col(id_col).cast("long") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
-        sets = _prints(again, whole_set, "node long, hashes binary", [pa.int64(), pa.binary()], id_col, text_col)
+        again = source.join(small(needed), (F.col("doc_id") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
+        sets = _prints(again, whole_set, "node long, hashes binary", [pa.int64(), pa.binary()], "doc_id", "t")
         return _verified(pairs, materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets"), similarity)
 
     near = materialize(map_arrow(sort(cut), _neighbours(similarity), "a long, b long").distinct(), "neighbours")
@@ -437,7 +431,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     links = links.unionByName(verified(rest))
 
     found = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("c"))
-    of = made.select("doc_id", "text_key", "node").join(found, F.col("node") == F.col("g_node"), "left").select("doc_id", "text_key", F.coalesce("c", "node").alias("c"))
+    labelled = materialize(nodes.join(found, F.col("node") == F.col("g_node"), "left").select(F.col("node").alias("l_node"), F.coalesce("c", "node").alias("c"), "n_rows"), "labelled")
+    of = join_counted(made.select("doc_id", "text_key", "node"), labelled, [("node", "l_node")], "n_rows").select("doc_id", "text_key", "c")
     of = materialize(of.distinct(), "grouped")
     least = of.groupBy(F.col("c").alias("c2")).agg(F.min(F.struct("doc_id", "text_key")).alias("keep"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    return of.join(least, F.col("c") == F.col("c2")).select("doc_id", "text_key", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"))
+    return join_counted(of, materialize(least, "kept"), [("c", "c2")], "n_docs").select("doc_id", "text_key", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"))

@@ -201,8 +201,8 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id"
     return rows, (total.get(1, 0) / n if n else None)
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column score (0 to 1) of its whole texts; null and empty texts have no window and a score of the constant alone."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col (0 to 1, a name that docs hasn't) of its whole texts; null and empty texts have no window and a score of the constant alone."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -212,9 +212,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         scorer = Scorer(held.value)
         for batch in batches:
             scores = [scorer.score(t) for t in blobs(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, score_col])
 
-    return map_arrow(docs, run, f"{kinds}, `__score` double")
+    return map_arrow(docs, run, f"{kinds}, `{score_col}` double")
 
 
 def held_out(doc_id):
@@ -230,4 +230,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     model = train(*sample(docs, labels, ~held_out(F.col("doc_id")), id_col, text_col, label_col))
     scored = score_documents(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

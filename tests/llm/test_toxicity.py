@@ -64,7 +64,7 @@ def test_residues_are_the_marked_words():
 
 def test_edge_cases(spark, model):
     rows = [(1, None, 0.5, "a", 1), (1, None, 0.5, "a", 1), (2, "", 0.1, "b", 0), (None, "zorkface grimblewort", 0.0, "c", 0), (4, "ban " * 200_000 + "grimblewort zorkface Zorkish", 0.0, "d", 0)]
-    got = toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), model).collect()
+    got = toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), model, score_col="p").collect()
     assert len(got) == 5 and len({r[-1] for r in got if r.text is None or r.text == ""}) == 1
     assert all(0 <= r[-1] <= 1 for r in got)
     empty = spark.createDataFrame([], SCHEMA)
