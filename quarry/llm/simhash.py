@@ -119,20 +119,23 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _dealt(rows: DataFrame, most: int) -> DataFrame:
-    """rows (key long, node long, ...) with a part: a key of over most rows is cut into chunks, and every two of them meet in one part."""
-    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most), "hot-keys")
-    if counts.isEmpty():
-        return rows.withColumn("part", F.lit(0))
-    chunks = F.ceil(F.col("n_rows") / F.lit(most // 2)).cast("int")
+    """rows (key long, node long, n_rows: how many have the key, ...) with a part: a key of over most rows is cut into chunks, and every two of them meet in one part."""
+    chunks = F.ceil(F.col("n_rows") / F.lit(max(1, most // 2))).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
-    parts = F.when(F.col("n_rows").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))
-    return rows.join(counts, "key", "left").withColumn("part", F.explode(parts)).drop("n_rows")
+    parts = F.when(F.col("n_rows") <= most, F.array(F.lit(0))).otherwise(F.array_distinct(pairs))
+    return rows.withColumn("part", F.explode(parts)).drop("n_rows")
 
 
 def meet(rows: DataFrame, radius: int, most: int = MEET) -> DataFrame:
     """Links a, b among rows (key long, node long, print binary): all within radius that share a key are joined."""
-    cut = _dealt(rows, most)
+    hot = materialize(rows.groupBy(F.col("key").alias("h_key")).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most), "hot-keys")
+    if hot.isEmpty():
+        cut = rows.withColumn("part", F.lit(0))
+    else:
+        often = small(hot)
+        cut = rows.join(often, F.col("key") == F.col("h_key"), "left_anti").withColumn("part", F.lit(0))
+        cut = cut.unionByName(_dealt(rows.join(often, F.col("key") == F.col("h_key")).drop("h_key"), most))
     dealt = cut.select(F.xxhash64("key", "part").alias("meet"), "key", "part", "node", "print").repartition("meet").sortWithinPartitions("key", "part", "node")
     keyed = dealt.select(F.struct("key", "part").alias("k"), "node", "print")
     return map_arrow(keyed, _linker(radius), "a long, b long")
@@ -226,34 +229,13 @@ def _common(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.nda
     return hashes[order], n[order]
 
 
-def _buckets(fields: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]]:
-    """Rows sorted by key and part, as columns of whole buckets."""
+def _longs(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.asarray(batch.column(x)).astype(np.int64) for x in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.asarray(batch.column(f)).astype(np.int64) for f in fields]
-            cuts = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            start = cuts[-1] + 1 if len(cuts) else 0  # where the last bucket, which may go on, begins
-            same = bool(held) and held[0][0][-1] == now[0][0] and held[0][1][-1] == now[1][0]
-            if not start and (same or not held):
-                held.append(now)
-                continue
-            if held and not same:
-                yield [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = []
-            if start:
-                yield [np.concatenate(c) for c in zip(*held, [c[:start] for c in now], strict=True)]
-            held = [[c[start:] for c in now]]
-        if held:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-    return run
 
-
-_ROW = ("key", "part", "node", "n", "pos")
+def _may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j can be similar if this is the first shingle that they share: what is left of both suffices."""
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i], n[j], similarity)
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -261,58 +243,80 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def _may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rows i and j can be similar if this is the first shingle that they share: what is left of both suffices."""
-    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i], n[j], similarity)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of keys that two nodes or more have."""
-    for columns in _buckets(_ROW)(batches):
-        key = columns[0]
-        new = np.append(True, (key[1:] != key[:-1]) | (columns[2][1:] != columns[2][:-1]))  # repeated rows give a node again
-        key, node, n, pos = (c[new] for c in (key, *columns[2:]))
-        again = key[1:] == key[:-1]
-        kept = np.append(again, False) | np.insert(again, 0, False)
-        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, node, n.astype(np.int32), pos.astype(np.int32))], ["key", "node", "n", "pos"])
+#: Steps in a shingle's list within which every two nodes are candidates at once.
+STEPS = 16
 
 
-def _neighbours(similarity: float, steps: int = 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _neighbours(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidates few steps apart in their key, in the order of size and node, which all keys share: in proportion to the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, node, n, pos in _buckets(_ROW)(batches):
+        tail = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = _longs(batch, ("key", "node", "n", "pos"))
+            key, node, n, pos = now if tail is None else [np.concatenate(c) for c in zip(tail, now, strict=True)]
             found = []
-            for step in range(1, steps + 1):
-                i = np.flatnonzero((key[step:] == key[:-step]) & (part[step:] == part[:-step]))
+            for step in range(1, min(STEPS, len(key) - 1) + 1):
+                i = np.flatnonzero(key[step:] == key[:-step])
                 i = i[_may(n, pos, i, i + step, similarity)]
                 found.append((node[i], node[i + step]))
-            yield _pair_rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            if found:
+                yield _pair_rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            tail = [key[-STEPS:], node[-STEPS:], n[-STEPS:], pos[-STEPS:]]
 
     return run
 
 
 def _across(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All candidates of a key that aren't in one group yet."""
+    """Pairs of a bucket (key and part, sorted) that aren't in one group and by size, place and parities may be near."""
+
+    def pairs(node, n, pos, group, bits):
+        if (group == group[0]).all():
+            return
+        order = np.argsort(n, kind="stable")
+        node, n, pos, group, bits = (x[order] for x in (node, n, pos, group, bits))
+        for i in range(len(n) - 1):
+            end = np.searchsorted(n, n[i] / similarity + 1e-6, "right")  # sizes further apart can't be near
+            j = np.arange(i + 1, end)
+            j = j[group[j] != group[i]]
+            j = j[_may(n, pos, np.full(len(j), i), j, similarity)]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], similarity)]
+            if len(j):
+                yield np.full(len(j), node[i]), node[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, node, n, pos, group in _buckets((*_ROW, "grp"))(batches):
+        held: list[list[np.ndarray]] = []  # parts of one bucket, which has a bounded number of rows
+        a, b, size = [], [], 0
+
+        def judged():
+            nonlocal size
+            for x, y in pairs(*(np.concatenate(c) for c in zip(*held, strict=True))):
+                a.append(x)
+                b.append(y)
+                size += len(x)
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, node, n, pos, group = _longs(batch, ("key", "part", "node", "n", "pos", "grp"))
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
             edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-            a, b, size = [], [], 0
             for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True):
-                if (group[lo:hi] == group[lo]).all():
-                    continue
-                for i in range(lo, hi - 1):
-                    j = np.arange(i + 1, hi)
-                    j = j[(group[j] != group[i]) & _may(n, pos, np.full(len(j), i), j, similarity)]
-                    a.append(np.full(len(j), node[i]))
-                    b.append(node[j])
-                    size += len(j)
-                    if size > 200_000:
-                        yield _pair_rows(np.concatenate(a), np.concatenate(b))
-                        a, b, size = [], [], 0
-            if size:
-                yield _pair_rows(np.concatenate(a), np.concatenate(b))
+                if (key[lo], part[lo]) != last and held:
+                    judged()
+                    held = []
+                last = (key[lo], part[lo])
+                held.append([x[lo:hi] for x in (node, n, pos, group, bits)])
+                if size > 200_000:
+                    yield _pair_rows(np.concatenate(a), np.concatenate(b))
+                    a, b, size = [], [], 0
+        if held:
+            judged()
+        if size:
+            yield _pair_rows(np.concatenate(a), np.concatenate(b))
 
     return run
 
@@ -369,9 +373,9 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
        rare ones first; two near nodes share a shingle of their prefixes.
     2. Nodes at most 16 steps apart in a shingle's list are candidates; those whose whole sets overlap
        enough are linked. That joins most of a large group without its pairs.
-    3. All other pairs of a list, of two groups and by size and place able to be near, follow.
+    3. All other pairs of a longer list, of two groups and by size, place and parities able to be near, follow.
 
-    Before whole sets are fetched, pairs meet by 128 bytes of parities, which bound the overlap from above.
+    128 bytes of parities a node bound the overlap of two sets from above; only pairs that pass leave a task.
 
     Texts without words and rows with a null id are in no group.
     """
@@ -400,14 +404,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
             for i in range(0, len(pos), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], ["key", "node", "n", "pos"])
 
-    def sort(rows: DataFrame, *more: str) -> DataFrame:
-        dealt = rows.select(F.xxhash64("key", "part").alias("meet"), "key", "part", "node", "n", "pos", *more).repartition("meet")
-        return dealt.sortWithinPartitions("key", "part", "n", "node").drop("meet")
-
+    if alone.count() > nodes.count():  # rows that repeat both id and text
+        alone = alone.dropDuplicates(["node"])
     rows = map_arrow(alone.select("node", "n", "first"), expand, "key long, node long, n int, pos int")
-    lists = rows.repartition("key").sortWithinPartitions("key", "node").withColumn("part", F.lit(0)).select(*_ROW)
-    shared = materialize(map_arrow(lists, _shared, "key long, node long, n int, pos int"), "shared")
-    cut = _dealt(shared, most)
+    often = materialize(rows.groupBy(F.col("key").alias("s_key")).agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "shared-keys")
+    shared = materialize(join_counted(rows, often, [("key", "s_key")], "n_rows").select("key", "node", "n", "pos", "n_rows"), "shared")
     bits = made.select("node", "n", "bits").join(small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
     bits = materialize(bits.groupBy("node", "n").agg(F.first("bits").alias("bits")), "bits")
 
@@ -416,19 +417,28 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
         return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), hashes.tobytes()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(_able(pairs, bits, similarity), "able")
         asked = pairs.select(F.col("a").alias("p_node")).union(pairs.select("b")).distinct()
         needed = materialize(nodes.join(asked, F.col("node") == F.col("p_node"), "left_semi").select("x_id", "x_key"), "needed")
         again = source.join(small(needed), (F.col("doc_id") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
         sets = _prints(again, whole_set, "node long, hashes binary", [pa.int64(), pa.binary()], "doc_id", "t")
         return _verified(pairs, materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets"), similarity)
 
-    near = materialize(map_arrow(sort(cut), _neighbours(similarity), "a long, b long").distinct(), "neighbours")
-    links = verified(near)
+    # Short lists stay whole; a long one, which a third of all rows may share, goes on over many tasks.
+    short = shared.where(F.col("n_rows") <= STEPS + 1).repartition("key")
+    long = shared.where(F.col("n_rows") > STEPS + 1).repartitionByRange("key", "n", "node")
+    steps = [map_arrow(x.sortWithinPartitions("key", "n", "node").select("key", "node", "n", "pos"), _neighbours(similarity), "a long, b long") for x in (short, long)]
+    near = materialize(steps[0].unionByName(steps[1]).distinct(), "neighbours")
+    links = verified(materialize(_able(near, bits, similarity), "able"))
     groups = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("grp"))
-    grouped = cut.join(groups, F.col("node") == F.col("g_node"), "left").withColumn("grp", F.coalesce("grp", "node"))
-    rest = map_arrow(sort(grouped, "grp"), _across(similarity), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest))
+    # Short lists have no pair left, nor have those of a single group.
+    grouped = materialize(shared.where(F.col("n_rows") > STEPS + 1).join(groups, F.col("node") == F.col("g_node"), "left").select("key", "node", "n", "pos", F.coalesce("grp", "node").alias("grp")), "grouped")
+    of_key = grouped.groupBy(F.col("key").alias("m_key")).agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n_rows"))
+    mixed = materialize(of_key.where("low <> high").select("m_key", "n_rows"), "mixed")
+    left = join_counted(grouped, mixed, [("key", "m_key")], "n_rows").select("key", "node", "n", "pos", "grp", "n_rows")
+    left = _dealt(left, most).join(bits.select(F.col("node").alias("b_node"), "bits"), F.col("node") == F.col("b_node")).drop("b_node")
+    met = left.select(F.xxhash64("key", "part").alias("meet"), "*").repartition("meet").sortWithinPartitions("key", "part").drop("meet")
+    rest = map_arrow(met, _across(similarity), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(materialize(rest, "rest")))
 
     found = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("c"))
     labelled = materialize(nodes.join(found, F.col("node") == F.col("g_node"), "left").select(F.col("node").alias("l_node"), F.coalesce("c", "node").alias("c"), "n_rows"), "labelled")
