@@ -3,13 +3,15 @@
 Each partition tokenizes its documents, cuts what is longer than a sequence and packs the pieces
 best-fit, a chunk at a time: nearly full bins are emitted, the others stay open and take pieces of
 the next chunk. What is open at a partition's end becomes an item of the next round, where fewer
-and fewer tasks (each of a bounded number of bins) pack the open bins best-fit again. A bin too
-full for the smallest other open bin is closed, so rounds shrink; they end with one task's worth,
-or when a round merges next to nothing.
+and fewer tasks (each of a bounded number of bins) pack the open bins best-fit again, dealt anew. A
+bin too full for the smallest other open bin is closed, so rounds shrink; they end with one task's
+worth, or when a whole round merges nothing (each task then has one bin at most that is half empty).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import zlib
@@ -31,6 +33,8 @@ CHUNK, FAN_IN = 16_384, 8_192
 
 # The tokenizer file's split, here for text of ASCII and Latin letters in lower case alone.
 LETTERS, NUMBERS = "a-zªµºß-öø-ž", "0-9²³¹¼-¾"
+#: SHA-256 of that part of the file for which the split holds; of another file every text goes to the library.
+SPLIT_OF = "69b30970569b87d51c35dec9305472f3634a2ba2e3ff5648f3d6794ca0d319cc"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
@@ -53,6 +57,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known_split = split_digest(path) == SPLIT_OF
         suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -84,6 +89,10 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes], step: int = 256) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.known_split:
+            for i in range(0, len(texts), step):
+                yield from self._encode([t.decode() for t in texts[i : i + step]])
+            return
         for i in range(0, len(texts), step):
             parts = [self._split(t.decode()) for t in texts[i : i + step]]
             known = self.words
@@ -97,6 +106,14 @@ class WordTokenizer:
                 yield b"".join(map(known.__getitem__, p))
 
 
+def split_digest(path: str) -> str:
+    """SHA-256 of how a tokenizers file normalises and splits text, and of its tokens that stand for themselves."""
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    parts = [content.get(k) for k in ("normalizer", "pre_tokenizer", "added_tokens")] + [content["model"].get("end_of_word_suffix")]
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -129,11 +146,16 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-BINS = "bin long, size int, open boolean, pieces array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
+BINS = "bin long, size int, open boolean, pieces array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
 
 
 def _emit(bins: list[tuple[int, bool, list]], first: int) -> pa.RecordBatch:
+    for _, _, pieces in bins:
+        offset = 0
+        for piece in pieces:
+            piece["offset"] = offset
+            offset += piece["length"]
     return pa.RecordBatch.from_arrays(
         [pa.array(range(first, first + len(bins)), pa.int64()), pa.array([x[0] for x in bins], pa.int32()), pa.array([x[1] for x in bins], pa.bool_()), pa.array([x[2] for x in bins], pa.list_(PIECE))],
         ["bin", "size", "open", "pieces"],
@@ -220,15 +242,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
         merged = materialize(map_arrow(rest.repartition(tasks, F.xxhash64("bin", F.lit(number))), _later_round(number, capacity, slack), BINS), "packing")
         after = merged.count()
         rounds.append(merged)
-        if tasks == 1 or after > 0.98 * left:
+        if tasks == 1 or after == left:
             closed.append(merged)
             break
     out = closed[0]
     for frame in closed[1:]:
         out = out.unionByName(frame)
-    before = F.aggregate(F.slice("pieces", 1, F.col("k")), F.lit(0).cast("long"), lambda s, p: s + p["length"])
-    return (
-        out.select("bin", "pieces", F.posexplode("pieces").alias("k", "p"))
-        .withColumn("offset", before)
-        .select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", F.col("bin").alias("sequence_id"), "offset")
-    )
+    return out.select("bin", F.explode("pieces").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", F.col("bin").alias("sequence_id"), "p.offset")
