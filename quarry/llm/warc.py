@@ -1,7 +1,8 @@
 """WARC writing and sequential reading.
 
-An archive is a run of gzip members, one for each record. Writing is map-side after one join that
-finds each payload's first page; archives of bounded size are rows of a written table in shared
+An archive is a run of gzip members, one for each record. Writing is map-side: payloads that repeat are
+found by hash alone and, while they are few, told to every task; beyond that bound payloads are shuffled
+by hash, but for those of very many pages. Archives of bounded size are rows of a written table in shared
 storage, so a lost executor costs a task, not an archive. The reader goes through an archive once:
 it inflates member by member with zlib, frames the record by Content-Length, splits header from
 payload and checks block and payload digests. ``.warc.gz`` files from elsewhere are read by the
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, materialize
+from quarry.llm.common import BROADCAST_ROWS, join_counted, map_arrow, materialize
 
 #: An archive is closed at this size; a single larger record has its own.
 ARCHIVE_BYTES = 4 << 20
@@ -76,10 +78,29 @@ def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _text(raw: bytes) -> str:
+    """Header text: UTF-8, else Latin-1."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def _check(named: str, data: bytes, what: str) -> None:
+    """A digest as headers give it, algorithm first, in base32 or hexadecimal; algorithms that hashlib lacks aren't checked."""
+    name, _, value = named.rpartition(":")
+    name = (name or "sha1").lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return
+    found = hashlib.new(name, data).digest()
+    if value.rstrip("=").upper() not in (base64.b32encode(found).decode().rstrip("="), found.hex().upper()):
+        raise WarcError(f"wrong {what} digest")
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Headers (names in lower case), HTTP header and payload of one record; raises where a length or digest is wrong."""
     head, gap, rest = raw.partition(END)
-    lines = head.decode().split("\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", _text(head)).split("\r\n")  # a folded line goes on
     if not gap or not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -90,15 +111,15 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     block = rest[:length]
     if len(block) != length or rest[length:] != END:
         raise WarcError("the block is not as long as its header says")
-    if "warc-block-digest" in headers and headers["warc-block-digest"].removeprefix("sha1:") != digest(block):
-        raise WarcError("wrong block digest")
+    if "warc-block-digest" in headers:
+        _check(headers["warc-block-digest"], block, "block")
     http, _, payload = block.partition(END) if headers.get("content-type", "").startswith("application/http") else (b"", b"", block)
-    if headers.get("warc-type") != "revisit" and "warc-payload-digest" in headers and headers["warc-payload-digest"].removeprefix("sha1:") != digest(payload):
-        raise WarcError("wrong payload digest")
+    if headers.get("warc-type") != "revisit" and "warc-payload-digest" in headers:
+        _check(headers["warc-payload-digest"], payload, "payload")
     return headers, http, payload
 
 
-def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, most: int = BROADCAST_ROWS) -> DataFrame:
     """A written table archive(data binary): every row of pages as one record in one of the archives.
 
     Of records with equal payloads of at least min_revisit_bytes the smallest id is the response
@@ -106,21 +127,24 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "
     are responses too. A null html is an empty payload.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    firsts = rows.groupBy(F.col("key").alias("first_key")).agg(F.min("page_id").alias("first_id"))
-    revisit = (F.length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    marked = rows.join(firsts, F.col("key") == F.col("first_key"), "left").select("page_id", "url", F.when(revisit, F.col("first_id")).alias("refers"), revisit.alias("revisit"), "payload")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    firsts = rows.groupBy(F.col("key").alias("first_key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts, "repeated-payloads")
+    same = F.col("key") == F.col("first_key")
+    joined = rows.join(F.broadcast(firsts), same, "left") if firsts.count() <= most else join_counted(rows, firsts, [("key", "first_key")], "n", "left")
+    revisit = F.col("first_key").isNotNull() & (F.length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    marked = joined.select("page_id", "url", F.when(revisit, F.col("first_id")).alias("refers"), revisit.alias("revisit"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, refers, is_revisit, data = (batch.column(k)[i].as_py() for k in range(5))
-                parts.append(write_record(page_id, url, data, refers, is_revisit))
-                size += len(parts[-1])
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["data"])
-                    parts, size = [], 0
+            for i in range(0, batch.num_rows, 64):
+                for page_id, url, refers, is_revisit, data in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                    parts.append(write_record(page_id, url, data, refers, is_revisit))
+                    size += len(parts[-1])
+                    if size >= archive_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["data"])
+                        parts, size = [], 0
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["data"])
 
