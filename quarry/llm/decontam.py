@@ -13,7 +13,6 @@ than one block, the blocks' findings are merged by document.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -193,8 +192,3 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
-
-
-def items_digest(items: list[str]) -> str:
-    """What op10 puts in items_sha256, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -108,7 +108,7 @@ def _pass(sorted_urls: DataFrame, rules: list[Rule]) -> DataFrame:
 def _answer(batch: pa.RecordBatch, won: list[Rule | None]) -> pa.RecordBatch:
     columns = [
         batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array([r and r.host + r.path for r in won], pa.string()), pa.array([r and r.verdict for r in won], pa.string()),
-        pa.array([0 if r is None else 1 + 2 * ((len(r.host) + len(r.path)) * 1000 + len(r.host)) + (r.verdict == "allow") for r in won], pa.int64()),
+        pa.array([0 if r is None else 1 + 2 * ((len(r.host) + len(r.path) << 31) + len(r.host)) + (r.verdict == "allow") for r in won], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "rule", "rule_verdict", "rank"])
 
