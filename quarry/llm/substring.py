@@ -4,17 +4,16 @@ A window is ``size`` consecutive words of one document; its minimiser is the lea
 word m-grams. Consecutive windows with one minimiser form a super-k-mer, which lies in the
 minimiser's bucket, and so do all other occurrences of its windows.
 
-1. Buckets that documents of one id alone reach hold no repeat: a first pass sends only minimisers
-   (least and largest id of each, combined before the shuffle) and keeps those of two ids or more.
-2. A second pass sends (minimiser, content hash, document, position) of the super-k-mers in the
-   buckets kept. Equal super-k-mers are one row from here, with the least id: a group of copies, or a
-   passage in a third of all documents, shrinks to one row in each map task.
+1. One pass writes (minimiser, content hash, document, position) of every super-k-mer: light rows, no
+   text. Minimisers whose rows have one document id alone lie in buckets without a repeat.
+2. The rows of the other buckets stay. Equal super-k-mers are one row from here, with the least id: a
+   group of copies, or a passage in a third of all documents, shrinks to one row in each map task.
 3. Where a bucket has several different super-k-mers, each travels there once as one packed string
    of its words; its windows are sorted, and equal windows in a row get the least id of any.
-   A bucket of very many strings (a common passage in varying surroundings) is opened: its windows
+   A document is packed where it lies. A bucket of very many strings (a common passage in varying surroundings) is opened: its windows
    are spread over all tasks by digest and aggregated there.
 4. A window is struck in a document whose id is larger than that least id; what is left of each
-   text is joined and digested.
+   text is joined and digested; documents that lose nothing are not moved.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_BYTES, blobs, map_arrow, materialize, whole
+from quarry.llm.common import BROADCAST_ROWS, blobs, join_counted, map_arrow, materialize, small, whole
 
 SIZE, GRAM = 50, 12
 #: Windows in a super-k-mer at most; a longer run is several.
@@ -105,28 +104,6 @@ def super_kmers(words: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple
     return least[first], content, first, count
 
 
-def _minimisers(size: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
-                key = np.unique(super_kmers(text.split(), size, gram)[0])
-                keys.append(key)
-                ids.append(np.full(len(key), doc_id, np.int64))
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys), np.concatenate(ids)
-            if not len(key):
-                continue
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            end = np.append(at[1:], len(key)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(doc[at]), pa.array(doc[end])], ["key", "low", "high"])
-
-    return run
-
-
 def _occurrences(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,43 +232,52 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col:
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t")).withColumn("text_key", F.xxhash64("t"))
     told = source.where("doc_id is not null")
-    keys = map_arrow(told.select("doc_id", "t"), _minimisers(size, gram), "key long, low long, high long")
-    shared = materialize(keys.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(F.col("key").alias("s_key")), "shared-keys")
-    occurrences = map_arrow(told.select("doc_id", "text_key", "t"), _occurrences(size, gram), "key long, content long, doc_id long, text_key long, place long")
-    held = materialize(occurrences.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "super-k-mers")
+    every = map_arrow(told.select("doc_id", "text_key", "t"), _occurrences(size, gram), "key long, content long, doc_id long, text_key long, place long")
+    every = materialize(every, "super-k-mers")
+    keys = every.groupBy(F.col("key").alias("s_key")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    held = join_counted(every, materialize(keys.select("s_key", "n"), "shared-keys"), [("key", "s_key")], "n").select(*every.columns)
+    held = materialize(held, "shared-super-k-mers")
 
     first = F.min(F.struct("doc_id", "text_key", "place"))
-    distinct = held.groupBy("key", "content").agg(first.alias("first"), F.max("doc_id").alias("high"))
-    distinct = materialize(distinct.select("key", "content", F.col("first.doc_id").alias("least"), "first.text_key", "first.place", "high"), "distinct")
+    distinct = held.groupBy("key", "content").agg(first.alias("first"), F.max("doc_id").alias("high"), F.count("*").alias("n_rows"))
+    distinct = materialize(distinct.select("key", "content", F.col("first.doc_id").alias("least"), "first.text_key", "first.place", "high", "n_rows"), "distinct")
     several = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high").select(F.col("key").alias("m_key"), "n")
     several = materialize(several, "several")
-    asked = distinct.join(several, F.col("key") == F.col("m_key"))
+    asked = join_counted(distinct, several, [("key", "m_key")], "n")
     asked = asked.groupBy(F.col("least").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.collect_list(F.struct("key", "content", "least", "place")).alias("asked"))
     asked = materialize(asked, "asked")  # a document's own super-k-mers: as long as its text at most
     texts = told
-    if asked.count() * 16 <= BROADCAST_BYTES:  # spares the other documents the shuffle
-        texts = texts.join(F.broadcast(asked.select(F.col("a_id").alias("only"))), F.col("doc_id") == F.col("only"), "left_semi")
+    if asked.count() <= BROADCAST_ROWS:  # spares the other documents the shuffle
+        texts = texts.join(F.broadcast(asked.select(F.col("a_id").alias("only_id"), F.col("a_key").alias("only_key"))), (F.col("doc_id") == F.col("only_id")) & (F.col("text_key") == F.col("only_key")), "left_semi")
     wanted = texts.join(asked, (F.col("doc_id") == F.col("a_id")) & (F.col("text_key") == F.col("a_key")))
     packed = materialize(map_arrow(wanted.select("t", "asked"), _pack(size), "key long, content long, least long, packed binary"), "packed")
     hot = several.where(F.col("n") > bucket)
-    cool = packed.join(several.where(F.col("n") <= bucket), F.col("key") == F.col("m_key"), "left_semi")
+    often = small(hot)
+    cool = packed.join(often, F.col("key") == F.col("m_key"), "left_anti")
     lows = map_arrow(cool.repartition("key").sortWithinPartitions("key"), _sort_bucket(size), "v_key long, v_content long, lows array<long>")
     if not hot.isEmpty():
-        opened = map_arrow(packed.join(hot, F.col("key") == F.col("m_key"), "left_semi"), _open_bucket(size), "key long, content long, least long, i int, digest binary")
+        opened = map_arrow(packed.join(often, F.col("key") == F.col("m_key"), "left_semi"), _open_bucket(size), "key long, content long, least long, i int, digest binary")
         best = opened.groupBy(F.col("digest").alias("d")).agg(F.min("least").alias("low"))
         spread = opened.join(best, F.col("digest") == F.col("d")).groupBy(F.col("key").alias("v_key"), F.col("content").alias("v_content")).agg(F.array_sort(F.collect_set(F.struct("i", "low"))).alias("x"))
         lows = lows.unionByName(spread.select("v_key", "v_content", F.col("x.low").alias("lows")))
     lows = materialize(lows.dropDuplicates(["v_key", "v_content"]), "lows")  # repeated rows of a document ask twice
 
-    verdict = distinct.join(lows, (F.col("key") == F.col("v_key")) & (F.col("content") == F.col("v_content")), "left").select(F.col("key").alias("v_key"), F.col("content").alias("v_content"), "least", "lows", "high")
-    verdict = verdict.where("least < high or lows is not null")
+    verdict = distinct.join(lows, (F.col("key") == F.col("v_key")) & (F.col("content") == F.col("v_content")), "left").select(F.col("key").alias("v_key"), F.col("content").alias("v_content"), "least", "lows", "high", "n_rows")
+    verdict = materialize(verdict.where("least < high or lows is not null"), "verdict")
     count = F.col("place").bitwiseAND(4095).cast("int")
-    judged = held.join(verdict, (F.col("key") == F.col("v_key")) & (F.col("content") == F.col("v_content")))
+    judged = join_counted(held, verdict, [("key", "v_key"), ("content", "v_content")], "n_rows")
     chosen = F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("doc_id"), i)), lambda i: i.isNotNull())
     whole_run = F.when(F.col("lows").isNull(), F.col("least") < F.col("doc_id")).otherwise(F.forall("lows", lambda low: low < F.col("doc_id")))
     struck = judged.select("doc_id", "text_key", F.shiftright("place", 12).cast("int").alias("first"), count.alias("count"), F.when(whole_run, F.lit(None).cast("array<int>")).otherwise(F.coalesce(chosen, F.array().cast("array<int>"))).alias("windows"))
     struck = struck.where("windows is null or size(windows) > 0")
     per_doc = struck.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).agg(F.collect_list(F.struct("first", "count", "windows")).alias("struck"))
     per_doc = materialize(per_doc, "struck")
-    out = source.join(per_doc, (F.col("doc_id") == F.col("k_id")) & (F.col("text_key") == F.col("k_key")), "left").select("doc_id", "t", "struck")
+    ids = per_doc.select(F.col("k_id").alias("j_id"), F.col("k_key").alias("j_key"))
+    of_doc, listed = (F.col("doc_id") == F.col("k_id")) & (F.col("text_key") == F.col("k_key")), (F.col("doc_id") == F.col("j_id")) & (F.col("text_key") == F.col("j_key"))
+    if per_doc.count() <= BROADCAST_ROWS:
+        losing = source.join(F.broadcast(ids), listed, "left_semi").join(per_doc, of_doc).select("doc_id", "t", "struck")
+        others = source.join(F.broadcast(ids), listed, "left_anti").select("doc_id", "t", F.lit(None).cast(per_doc.schema["struck"].dataType).alias("struck"))
+        out = losing.unionByName(others)
+    else:
+        out = source.join(per_doc, of_doc, "left").select("doc_id", "t", "struck")
     return map_arrow(out, _strike(size, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -285,3 +285,65 @@ def test_near_copies_of_one_id(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words + ["more"])), (2, " ".join(f"clean{i}" for i in range(50))), (3, " ".join(["less"] + words))]
     got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()}
     assert got == {rows[0], rows[2]}
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Records as other writers make them: folded and Latin-1 headers, SHA-256 digests, no digest; from a file."""
+    import gzip
+
+    def record(body, *head):
+        return gzip.compress(b"\r\n".join([b"WARC/1.0", b"WARC-Type: resource", *head, b"Content-Length: %d" % len(body)]) + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    sha = hashlib.sha256(b"one").hexdigest().encode()
+    good = [record(b"one", b"WARC-Target-URI: http://a/\xe9", b"WARC-Block-Digest: sha256:" + sha), record(b"", b"WARC-Target-URI: http://\r\n b"), record(b"x" * 300_000, b"WARC-Block-Digest: crc9:77")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(good))
+    got = warc.read_files(spark, f"file://{tmp_path}/a.warc.gz").collect()
+    assert [(r.url, r.payload_bytes) for r in got] == [("http://a/\xe9", 3), ("http:// b", 0), (None, 300_000)]
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(next(warc.members(record(b"two", b"WARC-Block-Digest: sha256:" + sha))))
+
+
+def test_warc_beyond_the_broadcast(spark):
+    rows = [(i, "u", "same" if i % 3 else f"p{i}", "x") for i in range(60)] + [(None, None, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
+    a, b = (sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or -1, r.payload_digest) for r in warc.read_archives(warc.write_archives(pages, most=m)).collect()) for m in (500_000, 0))
+    assert a == b and len(a) == 61 and sum(r[2] == "revisit" for r in a) == 39
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_exact_beyond_the_broadcast(spark):
+    rows = texts()
+    a, b = (sorted(map(str, exact.exact_dedup(table(spark, rows), most=m).collect())) for m in (500_000, 0))
+    assert a == b
+
+
+def test_urls_edges(spark):
+    long = "http://" + "a." * 2000 + "com/en/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long, 1, "h", "r"), (1, long, 1, "h", "r"), (None, "http://com/en/", 2, "h", "r")], "page_id long, url string, key int, host string, rule string")
+    for block in (100, 1):
+        got = urls.filter_urls(pages, [*RULES, urls.Rule("allow", "a." * 2000 + "com", "/")], block_rules=block).collect()
+        assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "block"), (1, "allow"), (1, "allow")]
+    assert urls.filter_urls(pages.limit(0), RULES).count() == 0 and urls.filter_urls(pages, []).count() == 3
+
+
+def test_packing_goes_on_to_the_end(spark):
+    """Bins of many tasks: no two that are at most half full are left."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["one", "two", "tree"], k=rng.choice([900, 1100, 1300, 1500])))) for i in range(60)]
+    got = packing.pack(table(spark, rows).repartition(16), PATH, chunk=2, fan_in=4).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert sum(2 * s <= 2048 for s in sizes.values()) <= 1 and max(sizes.values()) <= 2048
+
+
+def test_another_tokenizers_file(tmp_path):
+    """A file that splits otherwise goes to the library, word by word cached or not."""
+    import json
+
+    content = json.load(open(PATH, encoding="utf-8"))
+    content["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(content))
+    mine, full = packing.WordTokenizer(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    for s in ("Some Text  here's 12", ""):
+        assert np.frombuffer(next(mine.encode([s.encode()])), "<u4").tolist() == full.encode(s, add_special_tokens=False).ids
