@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import storage
 from quarry.functions import chunking
 from quarry.functions import text as T
 from quarry.operators import answers as A
+from quarry.operators import bundles
 from quarry.operators import evaluation as E
-from quarry.operators import sampling
+from quarry.operators import feedback, sampling
 from quarry.operators import scoring as C
 from quarry.operators import search as S
 from quarry.plans import models, rag, reports
@@ -37,11 +39,24 @@ def _items(spark, d):
 
 
 def _qrels(spark, d):
-    return E.containment_qrels(_docs(spark, d), _items(spark, d))
+    return storage.once(spark, d, "qrels", lambda: E.containment_qrels(_docs(spark, d), _items(spark, d)))
 
 
-def _bm25(spark, d, **k):
-    return S.bm25(_docs(spark, d), _items(spark, d), **k)
+_INDEXES: dict[tuple, S.Index] = {}
+
+
+def _index(spark, d, tokenize=T.tokens):
+    """The index of the documents, built at its first use in the application: a corpus is indexed once, not for every query."""
+    key = (spark.sparkContext.applicationId, d, storage.stamp(spark, d), tokenize.__name__)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.Index.build(_docs(spark, d), tokenize)
+    return _INDEXES[key]
+
+
+def _bm25(spark, d, k=20, tokenize=T.tokens, positive_only=True):
+    """The sparse run of all items, found once for each setting in the application."""
+    make = lambda: S.bm25(_index(spark, d, tokenize), _items(spark, d), k, tokenize, positive_only)
+    return storage.once(spark, d, f"bm25-{k}-{tokenize.__name__}-{positive_only}", make)
 
 
 def _vectors(spark, d):
@@ -51,7 +66,7 @@ def _vectors(spark, d):
 def _dense(spark, d):
     """Each item's own vector is the one of its id."""
     asked = _items(spark, d).join(_vectors(spark, d), F.col("query_id") == F.col("doc_id")).select("query_id", "embedding")
-    return S.dense(_vectors(spark, d), asked)
+    return storage.once(spark, d, "dense", lambda: S.dense(_vectors(spark, d), asked))
 
 
 def _fused(spark, d, weight=0.5, k=20):
@@ -206,9 +221,11 @@ def prefix_key(spark, d):
     return _docs(spark, d).where("text <> ''").groupBy(F.substring("text", 1, 200).alias("prefix")).agg(F.min("doc_id").alias("first_doc"))
 
 
-@_q(f"WITH {_bm25_sql()} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@_q(f"""WITH t AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY 1),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM t, (SELECT count(*) AS n FROM documents)), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m""")
 def bm25_stats(spark, d):
-    return S.term_stats(*S.postings(_docs(spark, d))).select("term", "df", _r("idf"))
+    return _index(spark, d).stats.select("term", "df", _r("idf"))
 
 
 @_q(f"WITH {_bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
@@ -238,6 +255,16 @@ def multiquery_dedup(spark, d):
     return S.merge_subqueries(run).select("parent_id", "doc_id", _r("score"), "rank")
 
 
+_MERGED = "SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id // 4 AS parent_id, doc_id, max(score) AS score FROM {} GROUP BY ALL)"
+
+
+@_q(f"WITH {_BASE_SQL}, mb AS ({_MERGED.format('bm')}), md AS ({_MERGED.format('dn')}), {_fuse_sql(by='parent_id').replace('FROM bm', 'FROM mb').replace('FROM dn', 'FROM md')} SELECT parent_id, doc_id, rank, in_bm25, in_dense, round(fusion_score, 6) AS fusion_score FROM fu")
+def hybrid_subqueries(spark, d):
+    """Four items are the subqueries of one question: both lists merged by best score, then fused."""
+    of = lambda run: run.withColumn("parent_id", F.floor(F.col("query_id") / 4).cast("long"))
+    return S.hybrid(of(_bm25(spark, d)), of(_dense(spark, d))).select("parent_id", "doc_id", "rank", "in_bm25", "in_dense", _r("fusion_score"))
+
+
 @_q(f"WITH {_BASE_SQL}, {_fuse_sql()} SELECT query_id, doc_id, rank, in_bm25, in_dense, round(fusion_score, 6) AS fusion_score FROM fu")
 def wrrf_fusion(spark, d):
     return _fused(spark, d).select("query_id", "doc_id", "rank", "in_bm25", "in_dense", _r("fusion_score"))
@@ -472,12 +499,12 @@ def representative_queries(spark, d):
 
 def rag_answers(spark, d):
     """Plan, retrieve, rerank and answer every item by rules instead of a model: shows the plan, has no SQL."""
-    return rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient()).select("query_id", F.size("documents").alias("n_documents"), F.sha2(F.col("answer").cast("binary"), 256).alias("answer"), "status")
+    return rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient(), index=_index(spark, d)).select("query_id", F.size("documents").alias("n_documents"), F.sha2(F.col("answer").cast("binary"), 256).alias("answer"), "status")
 
 
 def rag_quality(spark, d):
     """The answers of rag_answers judged, with their retrieval metrics; each item is its own truth."""
-    answered = rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient())
+    answered = rag.answer(_items(spark, d), _docs(spark, d), models.RuleClient(), index=_index(spark, d))
     truths = _items(spark, d).withColumnRenamed("text", "ground_truth")
     return rag.evaluate(answered, truths, models.RuleClient(), E.rank_metrics(_bm25(spark, d), _qrels(spark, d)))
 
@@ -564,13 +591,90 @@ def report_table(spark, d):
     return t.select(F.col("Configuration").alias("configuration"), F.col("Test Score").alias("score"), F.col("95% CI").alias("ci"), F.col("vs Baseline").alias("gain"), F.col("Significant").alias("significant"))
 
 
+@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, g AS (SELECT query_id, count(*) AS n, count(qr.doc_id) AS h FROM fu LEFT JOIN qr USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(h / n, 6) AS retrieval_precision, round(h / n_rel, 6) AS retrieval_recall, round(CASE WHEN h > 0 THEN 2 * (h / n) * (h / n_rel) / (h / n + h / n_rel) ELSE 0 END, 6) AS retrieval_f1, n AS chunks_retrieved, n_rel AS chunks_relevant, h AS chunks_hit, round(h / n, 6) AS id_precision, round(h / n_rel, 6) AS id_recall FROM g JOIN nr USING (query_id)")
+def retrieval_bundle(spark, d):
+    m = bundles.evaluate("retrieval", _fused(spark, d), _qrels(spark, d))
+    return m.select("query_id", *[_r(c) if dict(m.dtypes)[c] == "double" else c for c in m.columns[1:]])
+
+
+def _at5_sql(run: str, name: str) -> str:
+    return f"{name} AS (SELECT n.query_id, count(r.rank) FILTER (r.rank <= 5 AND q.doc_id IS NOT NULL) / 5 AS p5 FROM nr n LEFT JOIN {run} r ON r.query_id = n.query_id LEFT JOIN qr q ON q.query_id = r.query_id AND q.doc_id = r.doc_id GROUP BY 1)"
+
+
+def _gain_sql(c: str, old: str, new: str) -> str:
+    return f"round({new} - {old}, 6) AS {c}_improvement, round(CASE WHEN {old} = 0 THEN 0 ELSE ({new} - {old}) / {old} * 100 END, 4) AS {c}_improvement_pct"
+
+
+@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, {_metric_sql('bm', 'm0')}, {_metric_sql('fu', 'm1')}, {_at5_sql('bm', 'k0')}, {_at5_sql('fu', 'k1')} SELECT m0.query_id, {_gain_sql('ndcg', 'm0.ndcg', 'm1.ndcg')}, {_gain_sql('mrr', 'm0.mrr', 'm1.mrr')}, {_gain_sql('precision_at_5', 'k0.p5', 'k1.p5')} FROM m0 JOIN m1 USING (query_id) JOIN k0 USING (query_id) JOIN k1 USING (query_id)")
+def reranker_bundle(spark, d):
+    m = bundles.evaluate("reranker", _bm25(spark, d), _fused(spark, d), _qrels(spark, d))
+    return m.select("query_id", *[F.round(c, 4 if c.endswith("pct") else 6).alias(c) for c in m.columns if "improvement" in c])
+
+
+def _plans(spark, d):
+    """Four items as the queries of one plan; a question of its own where a plan has one."""
+    items = _items(spark, d).withColumn("parent_id", F.floor(F.col("query_id") / 4).cast("long"))
+    plans = items.groupBy(F.col("parent_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "text"))), lambda x: x["text"]).alias("queries"))
+    return plans.withColumn("mode", F.when(F.col("query_id") % 2 == 0, "decomposition").otherwise("reformulation"))
+
+
+@_q("SELECT item_id // 4 AS query_id, count(*) AS num_queries, CASE WHEN item_id // 4 % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_decomposition FROM benchmark GROUP BY 1")
+def planner_bundle(spark, d):
+    return bundles.evaluate("query_planner", _plans(spark, d))
+
+
+@_q(f"WITH {_ANSWERS_SQL}, s AS (SELECT *, {_set_sql('answer')} AS aw, {_set_sql('context')} AS cw, {_set_sql('query')} AS gw FROM a) SELECT conv_id, turn, length(answer) AS answer_length, round(CASE WHEN length(context) > 0 THEN length(answer) / length(context) ELSE 0 END, 6) AS answer_length_ratio, round(CASE WHEN len(aw) > 0 THEN len(list_intersect(aw, cw)) / len(aw) ELSE 0 END, 6) AS context_term_overlap, round(CASE WHEN len(gw) > 0 THEN len(list_intersect(gw, aw)) / len(gw) ELSE 0 END, 6) AS ground_truth_term_overlap FROM s")
+def generation_against_truth(spark, d):
+    """The user's turn stands in for the truth."""
+    found = bundles.generation_basic(F.col("answer"), F.col("query"), F.col("context"))
+    return _answers(spark, d).select("conv_id", "turn", *[(c if n == "answer_length" else F.round(c, 6)).alias(n) for n, c in found.items()])
+
+
+@_q(_JUDGED_SQL + ", b AS (SELECT role, gq AS score, gq >= 0.1 AS ok FROM (SELECT 'user' AS role, gq FROM o)) SELECT role, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(ok::INT), 6) AS success_rate, count(*) FILTER (NOT ok) AS n_errors FROM b GROUP BY 1")
+def batch_summary(spark, d):
+    gq = C.generation_quality(F.col("fa"), F.col("ac"))
+    m = bundles.batch_summary(_judged(spark, d).select(F.lit("user").alias("role"), gq.alias("score"), (gq >= 0.1).alias("success")), ("role",))
+    return m.select("role", "n", _r("mean_score"), _r("success_rate"), "n_errors")
+
+
+@_q(_JUDGED_SQL + " SELECT conv_id, turn, round(cp, 6) AS context_precision, round(cr, 6) AS context_recall, round(cf, 6) AS context_f1 FROM o")
+def context_scores(spark, d):
+    j = bundles.contexts(_judged(spark, d).select("conv_id", "turn", F.col("cp").alias("context_precision"), F.col("cr").alias("context_recall")))
+    return j.select("conv_id", "turn", _r("context_precision"), _r("context_recall"), _r("context_f1"))
+
+
+_FEEDBACK_SQL = rf"""{_JUDGED_SQL}, u AS (SELECT o.*, context, {_set_sql('answer', 4)} AS a4, {_set_sql('context', 4)} AS c4, {_set_sql('query', 3)} AS q3, list_filter(string_split_regex(lower(answer), '\s+'), lambda w: w <> '') AS w FROM o JOIN a USING (conv_id, turn, query, answer)),
+v AS (SELECT *, CASE WHEN len(a4) > 0 THEN len(list_intersect(a4, c4)) / len(a4) ELSE 0 END AS us, CASE WHEN len(q3) > 0 THEN len(list_filter(q3, lambda x: contains(lower(answer), x))) / len(q3) ELSE 1 END AS ad,
+  CASE WHEN len(w) > 0 THEN least(1, 10 * len(list_filter(w, lambda x: list_contains({A.HEDGES}, x))) / len(w)) ELSE 0 END AS he, regexp_matches(answer, '\d+') OR regexp_matches(answer, '\b[A-Z][a-z]+') AS sp FROM u),
+y AS (SELECT conv_id, turn, CASE WHEN gq >= 0.6 THEN concat_ws(' ', 'Works.', CASE WHEN us > 0.6 THEN 'It rests on the context.' END, CASE WHEN ad > 0.7 THEN 'It answers what was asked.' END, CASE WHEN he < 0.2 THEN 'It is plain.' END)
+  WHEN gq >= 0.3 THEN concat_ws(' ', 'Half way.', CASE WHEN fa < ac THEN concat_ws(' ', 'Say only what the context says.', CASE WHEN us < 0.5 THEN 'Use more of it.' END) WHEN ac < fa THEN concat_ws(' ', 'It rests on the context but misses the question.', CASE WHEN ad < 0.5 THEN 'Take up the question''s words.' END) ELSE 'Both sides need work.' END, CASE WHEN he > 0.3 THEN 'Hedge less.' END)
+  ELSE concat_ws(' ', 'Fails.', CASE WHEN fa < 0.3 THEN 'Most of it isn''t in the context.' END, CASE WHEN ac < 0.3 THEN 'It doesn''t answer the question.' END, CASE WHEN us < 0.3 THEN 'The context is hardly used.' END, CASE WHEN ad < 0.3 THEN 'The question is hardly taken up.' END, CASE WHEN he > 0.4 THEN 'It hedges too much.' END, CASE WHEN NOT sp THEN 'It names nothing specific.' END) END AS said FROM v)"""
+
+
+@_q(_FEEDBACK_SQL + " SELECT conv_id, turn, said AS feedback FROM y")
+def generator_feedback(spark, d):
+    """Without the figures, whose halves the two systems round differently."""
+    gq = C.generation_quality(F.col("fa"), F.col("ac"))
+    told = feedback.generator(gq, F.col("fa"), F.col("ac"), A.share(A.word_set(F.col("answer"), 4), A.word_set(F.col("context"), 4)), A.addressing(F.col("query"), F.col("answer")), A.hedging(F.col("answer")), A.specific(F.col("answer")))
+    return _judged(spark, d).select("conv_id", "turn", F.regexp_replace(told, "faithfulness [0-9.]+, accuracy [0-9.]+[.] ", "").alias("feedback"))
+
+
+@_q(_GRID_SQL + ", s AS (SELECT round(weight, 1) AS weight, count(*) AS n, avg(ndcg) AS mean, coalesce(stddev_samp(ndcg), 0) AS sd FROM me GROUP BY 1) SELECT weight, n, round(mean, 6) AS mean, round(mean - (SELECT mean FROM s WHERE weight = 0), 6) AS gain FROM s")
+def configurations_by_queries(spark, d):
+    """Every configuration (here: fusion weights) over every labelled query, against the first."""
+    means = _grid(spark, d).groupBy(F.round("weight", 1).alias("weight")).agg(F.count("*").alias("n"), F.avg("ndcg").alias("mean"))
+    first = F.first("mean").over(Window.partitionBy(F.lit(1)).orderBy("weight"))  # eleven rows
+    return means.select("weight", "n", _r("mean"), F.round(F.col("mean") - first, 6).alias("gain"))
+
+
 _ALL = [
     chunk_index, chunk_sweep, normalize_digits, tokenize_a, tokenize_b, query_hash, doc_key_dedup, prefix_key, bm25_stats, bm25_topk, bm25_sweep_topk, dense_topk, l2_normalize,
-    multiquery_dedup, wrrf_fusion, wrrf_sweep, distinct_docs_first_seen, qrels, qrels_chunk, qrels_stats, queries_without_relevant, corpus_semi, rank_metrics, ndcg_at_10,
+    multiquery_dedup, hybrid_subqueries, wrrf_fusion, wrrf_sweep, distinct_docs_first_seen, qrels, qrels_chunk, qrels_stats, queries_without_relevant, corpus_semi, rank_metrics, ndcg_at_10,
     rank_metrics_at_k, rerank_improvement, weight_grid, weight_best, weight_per_query, metric_mean_std, confidence_interval, paired_t, split_counts, retrieval_pattern,
     generation_basic, context_usage, query_addressing, hedging, query_diversity, position_changes, query_overlap, length_bias, numbered_docs, text_preview, ablation_table,
     chunk_size_sweep, chunk_size_best, representative_queries, rag_answers, rag_quality, end_to_end_score, reflection_records, evaluation_inputs, rank_to_score, module_scores,
-    prefix_lookup, label_lists, query_structure, prompt_hash, report_table,
+    prefix_lookup, label_lists, query_structure, prompt_hash, report_table, retrieval_bundle, reranker_bundle, planner_bundle, generation_against_truth, batch_summary, context_scores,
+    generator_feedback, configurations_by_queries,
 ]
 
 

@@ -1,7 +1,11 @@
-"""Sentence-aware chunkers as one native expression: a fold over as many steps as a text can need."""
+"""Sentence-aware chunkers: texts are cut in one pass, Arrow batch by batch; normalising stays in the JVM.
+
+A fold in SQL would take each chunk from the text's start again, which is quadratic in its length.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,30 @@ from quarry.functions import text as T
 MARKERS, BACK = (". ", "! ", "? ", "\n\n"), 100
 
 
+def cuts(text: str, size: int, overlap: int, kind: str) -> list[str]:
+    """The chunks of a text, not yet cleaned."""
+    out, start, n = [], 0, len(text)
+    while start + size < n:
+        low, end = max(start, start + size - BACK), start + size
+        found = [(m, text.rfind(m, low, end)) for m in MARKERS]
+        if kind == "index":
+            cut = next((at + len(m) for m, at in found if at >= 0), end)
+        else:
+            last = max(at for _, at in found)
+            cut = last + 1 if last >= 0 else end
+        out.append(text[start:cut])
+        start = cut - overlap
+    return [*out, text[start:]]
+
+
+def _cutter(size: int, overlap: int, kind: str):
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cuts(t, size, overlap, kind))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<string>")
+
+
 def chunks(column: str, size: int, overlap: int, kind: str) -> Column:
     """kind "index": the first marker in order that occurs, cut after it. "sweep": the last of any, cut after its first character.
 
@@ -19,20 +47,7 @@ def chunks(column: str, size: int, overlap: int, kind: str) -> Column:
     """
     if size < overlap + BACK:
         raise ValueError("chunk size must be at least the overlap and 100")
-    literal = {m: "'" + m.replace("\n", "\\n") + "'" for m in MARKERS}
-    back = {m: "'" + m[::-1].replace("\n", "\\n") + "'" for m in MARKERS}
-    at = {m: f"(length(b.w) - instr(reverse(b.w), {back[m]}) - {len(m)} + 1)" for m in MARKERS}
-    has = {m: f"instr(b.w, {literal[m]}) > 0" for m in MARKERS}
-    if kind == "index":
-        cut = "CASE " + " ".join(f"WHEN {has[m]} THEN b.p + {at[m]} + {len(m)}" for m in MARKERS) + " ELSE b.e END"
-    else:
-        best = "greatest(" + ", ".join(f"if({has[m]}, {at[m]}, -1)" for m in MARKERS) + ")"
-        cut = f"if({best} >= 0, b.p + {best} + 1, b.e)"
-    t, n = column, f"length({column})"
-    step = f"""transform(transform(array(a.s + {size}), e -> named_struct('e', e, 'p', greatest(a.s, e - {BACK}), 'w', substring({t}, greatest(a.s, e - {BACK}) + 1, e - greatest(a.s, e - {BACK})))),
-      b -> transform(array(if(b.e >= {n}, {n}, {cut})), k -> named_struct('s', k - {overlap}, 'd', b.e >= {n}, 'c', array_append(a.c, substring({t}, a.s + 1, k - a.s))))[0])[0]"""
-    steps = f"int(ceil({n} / {size - BACK + 1 - overlap}d))"
-    folded = F.expr(f"aggregate(sequence(0, {steps}), named_struct('s', 0, 'd', false, 'c', cast(array() as array<string>)), (a, i) -> CASE WHEN a.d THEN a ELSE {step} END, a -> a.c)")
+    folded = _cutter(size, overlap, kind)(F.col(column))
     cleaned = F.filter(F.transform(folded, T.strip), lambda x: x != "")
     text = F.col(column)
     if kind == "index":

@@ -6,17 +6,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import storage
+
 # Half-widths of a 95 % interval by sample size; 1.96 from 30 on, else 2.0.
 T_TABLE = {2: 12.71, 3: 4.30, 4: 3.18, 5: 2.78, 10: 2.26, 15: 2.13, 20: 2.09, 25: 2.06}
 WEIGHTS = [i / 10 for i in range(11)]
 QUERY_WEIGHTS = [0.0, 0.3, 0.5, 0.7, 0.9, 1.0]
 
 
-def containment_qrels(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, doc_id where a document holds an item's text: one pass over the texts with an automaton of all items."""
+#: Bytes of items' texts in one automaton.
+BLOCK_BYTES = 16 << 20
+
+
+def containment_qrels(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, doc_id where a document holds an item's text: a pass over the texts for each block of items, by an automaton."""
+    asked = items.where("text is not null and text <> ''").select("query_id", "text")
+    size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    out = None
+    for k in range(blocks):
+        part = _contained(docs, asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     import ahocorasick
 
-    rows = [(r.query_id, r.text) for r in items.where("text is not null and text <> ''").select("query_id", "text").toLocalIterator()]
+    rows = [(r.query_id, r.text) for r in items.toLocalIterator()]
     held = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches):
@@ -125,7 +142,14 @@ def pattern(p: Column, r: Column, ndcg: Column, mrr: Column) -> Column:
 
 def split(queries: DataFrame, seed: int = 42, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
     """train, validation and test by a seeded order: sizes are floors of the shares, the rest is test."""
-    n = queries.count()
+    ordered = queries.withColumn("__hash", F.xxhash64("query_id", F.lit(seed))).repartitionByRange("__hash", "query_id").sortWithinPartitions("__hash", "query_id")
+    ordered = storage.write(ordered.withColumn("__at", F.monotonically_increasing_id()), "split")  # part and place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    before, n = [], 0
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a task
+        before.append(f"WHEN {r.part} THEN {n}")
+        n += r["count"]
     bounds = [int(n * shares[0]), int(n * shares[0]) + int(n * shares[1])]
-    place = F.row_number().over(Window.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id"))
-    return queries.withColumn("place", place).withColumn("split", F.when(F.col("place") <= bounds[0], "train").when(F.col("place") <= bounds[1], "validation").otherwise("test")).drop("place")
+    first = F.expr(f"CASE shiftright(__at, 33) {' '.join(before)} END") if before else F.lit(0)
+    at = first + place
+    return ordered.withColumn("split", F.when(at < bounds[0], "train").when(at < bounds[1], "validation").otherwise("test")).drop("__hash", "__at")

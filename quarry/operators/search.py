@@ -5,13 +5,16 @@ A run has query_id, doc_id, score and rank; ties go to the smaller doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from quarry import storage
 from quarry.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,20 +23,51 @@ RRF_K = 60
 BLOCK = 4096
 
 
+#: Rows of query terms that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+class Index(NamedTuple):
+    """postings (doc_id, term, tf, dl), stats (term, df, idf) and documents (doc_id): written tables, or plans."""
+
+    postings: DataFrame
+    stats: DataFrame
+    documents: DataFrame
+    average: float  # tokens of a document
+    mean: float  # raw idf of a term
+
+    @classmethod
+    def build(cls, docs: DataFrame, tokenize=T.tokens, keep: Callable[[DataFrame, str], DataFrame] = storage.write, id_col: str = "doc_id", text_col: str = "text") -> Index:
+        """The index of a table of documents, whose ids are unique. keep writes a table and reads it again."""
+        tf, lengths = postings(docs, tokenize, id_col, text_col)
+        lengths = keep(lengths, "lengths")
+        tf = keep(tf, "postings")
+        total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+        stats = keep(term_stats(tf, lengths), "stats")
+        mean = stats.agg(F.avg("raw").alias("mean")).first().mean
+        return cls(tf, stats.drop("raw"), lengths.select("doc_id"), total.average or 0.0, mean or 0.0)
+
+
 def postings(docs: DataFrame, tokenize=T.tokens, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, tf) and (doc_id, dl); a document without tokens has a length of 0 and no posting."""
+    """(doc_id, term, tf, dl) and (doc_id, dl); a document without tokens has a length of 0 and no posting.
+
+    Terms are counted within their row, from its sorted tokens: nothing is shuffled.
+    """
     tokenized = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    tf = tokenized.select("doc_id", F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    lasts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == F.size("s")) | (F.get("s", i) != F.get("s", i - 1)))
+    ends = tokenized.select("doc_id", F.array_sort("ts").alias("s")).where(F.size("s") > 0).select("doc_id", "s", lasts.alias("ends"))
+    counted = F.transform("ends", lambda e, j: F.struct(F.get("s", e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get("ends", j - 1))).cast("long").alias("tf")))
+    tf = ends.select("doc_id", F.size("s").cast("long").alias("dl"), F.explode(counted).alias("t")).select("doc_id", "t.term", "t.tf", "dl")
     return tf, tokenized.select("doc_id", F.size("ts").cast("long").alias("dl"))
 
 
 def term_stats(tf: DataFrame, lengths: DataFrame) -> DataFrame:
-    """term, df, idf: negative ones become EPSILON times the mean over all terms."""
+    """term, df, idf, raw: a negative raw idf becomes EPSILON times the mean over all terms."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = lengths.agg(F.count("*").alias("n"))
     raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "raw")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -42,23 +76,27 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, tokenize=T.tokens, positive_only: bool = True) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 20, tokenize=T.tokens, positive_only: bool = True) -> DataFrame:
     """The k best documents of each query (query_id, text); query terms count as often as they occur.
 
-    With positive_only False, documents without any query term compete with a score of 0 (the sweep's
-    way); only the k smallest ids of them can matter, so no more than k are added to each query.
+    docs is a table or an Index of it. While the weighted query terms are few they are broadcast, and
+    the postings of a common term stay where they are. With positive_only False, documents without any
+    query term compete with a score of 0 (the sweep's way): of those only the smallest ids can matter.
     """
-    tf, lengths = postings(docs, tokenize)
-    stats = term_stats(tf, lengths)
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
+    index = docs if isinstance(docs, Index) else Index.build(docs, tokenize)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(stats, "term")
-    hit = weighted.join(tf, "term").join(lengths, "doc_id").crossJoin(F.broadcast(average))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weighted = asked.join(index.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    weighted = storage.write(weighted, "query-terms")
+    weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_ROWS else weighted
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average))
+    scored = index.postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     if positive_only:
         return top_k(scored.where("score > 0"), k)
-    least = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
+    below = 0
+    if index.mean < 0:  # scored documents may lie below those without a term: as many more of these can matter
+        scored = storage.write(scored, "scores")
+        below = scored.where("score < 0").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    least = index.documents.orderBy("doc_id").limit(2 * k + below)
     zero = queries.select("query_id").crossJoin(F.broadcast(least)).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(scored.unionByName(zero), k)
 
@@ -73,9 +111,13 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
     rows = queries.select("query_id", T.l2_normalize(F.col("embedding")).alias("v"))
     out = None
     chunk: list = []
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType
+    simple = query_type.simpleString() in ("bigint", "int", "string")
 
     def search(part: list) -> DataFrame:
-        held = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in part], np.array([r.v for r in part], float)))
+        ids = [r.query_id for r in part]
+        held = vectors.sparkSession.sparkContext.broadcast((ids if simple else range(len(ids)), np.array([r.v for r in part], float)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
@@ -83,18 +125,28 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                docs = np.asarray(batch.column(0))
+                docs = np.asarray(batch.column(0)) if kind != "string" else np.array(batch.column(0).to_pylist(), np.str_)
                 scores = np.round(matrix @ np.array(batch.column(1).to_pylist(), float).T, 12)
                 all_docs, all_scores = np.broadcast_to(docs, scores.shape), scores
                 if best is not None:
                     all_docs, all_scores = np.concatenate((best[0], all_docs), 1), np.concatenate((best[1], all_scores), 1)
+                if all_scores.shape[1] > 4 * k:  # the kth best score bounds what is sorted
+                    floor = np.partition(all_scores, -k, axis=1)[:, -k:].min(axis=1) - 1e-8
+                    wide = int((all_scores >= floor[:, None]).sum(axis=1).max())
+                    some = np.argpartition(-all_scores, wide - 1, axis=1)[:, :wide]
+                    all_docs, all_scores = np.take_along_axis(all_docs, some, 1), np.take_along_axis(all_scores, some, 1)
                 order = np.lexsort((all_docs, -np.round(all_scores, 9)), axis=1)[:, :k]
                 best = [np.take_along_axis(all_docs, order, 1), np.take_along_axis(all_scores, order, 1)]
             if best is not None:
                 n = best[0].shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], ["query_id", "doc_id", "score"])
 
-        return unit.mapInArrow(run, "query_id long, doc_id long, score double")
+        found = unit.mapInArrow(run, f"query_id {query_type.simpleString() if simple else 'bigint'}, doc_id {kind}, score double")
+        if simple:
+            return found
+        numbers = StructType([StructField("number", LongType()), StructField("asked", query_type)])
+        named = F.broadcast(vectors.sparkSession.createDataFrame(list(enumerate(ids)), numbers))  # one block
+        return found.join(named, F.col("query_id") == F.col("number")).select(F.col("asked").alias("query_id"), "doc_id", "score")
 
     for row in rows.toLocalIterator():
         chunk.append(row)
@@ -124,3 +176,13 @@ def merge_subqueries(run: DataFrame, parent: str = "parent_id") -> DataFrame:
     """Per parent and document the best score of any subquery, ranked anew: all of them stay."""
     best = run.groupBy(parent, "doc_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(F.round("score", 9).desc(), "doc_id")))
+
+
+def hybrid(sparse: DataFrame, dense_run: DataFrame | None, k: int = 20, weight: float = 0.5, parent: str = "parent_id") -> DataFrame:
+    """The fused list of each parent: both runs (with a column parent) merged over its subqueries, then fused to k.
+
+    Without a dense run the sparse list is fused with an empty one.
+    """
+    lists = merge_subqueries(sparse, parent)
+    other = lists.limit(0) if dense_run is None else merge_subqueries(dense_run, parent)
+    return fuse(lists, other, weight, k, (parent,))

@@ -37,13 +37,23 @@ class Client(Protocol):
     def ask(self, task: str, prompt: str, text: str) -> dict: ...
 
 
-def with_retry(call: Callable, tries: int = 5, delay: float = 1.0, most: float = 60.0, factor: float = 2.0, sleep: Callable = time.sleep):
-    """call(), and again after growing delays; the last failure is raised."""
+# What a passing failure's message holds.
+PASSING = ("429", "rate limit", "connection", "timeout")
+
+
+def retryable(problem: Exception) -> bool:
+    """Whether another try may help: limits of a service and broken connections, not faults of a program."""
+    told = str(problem).lower()
+    return isinstance(problem, ConnectionError | TimeoutError) or any(x in told for x in PASSING)
+
+
+def with_retry(call: Callable, tries: int = 5, delay: float = 1.0, most: float = 60.0, factor: float = 2.0, sleep: Callable = time.sleep, again: Callable[[Exception], bool] = retryable):
+    """call(), and after a failure that may pass again, with growing delays; the last failure is raised."""
     for attempt in range(tries):
         try:
             return call()
-        except Exception:
-            if attempt == tries - 1:
+        except Exception as problem:
+            if attempt == tries - 1 or not again(problem):
                 raise
             sleep(min(most, delay * factor**attempt))
 

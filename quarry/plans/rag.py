@@ -15,24 +15,29 @@ from quarry.operators import search as S
 from quarry.plans import models
 
 
-def retrieve(planned: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, text, doc_ids, documents: sparse results of every planned query, merged and best first."""
+def retrieve(planned: DataFrame, docs: DataFrame, k: int = 20, index: S.Index | None = None, dense: Callable[[DataFrame, int], DataFrame] | None = None, weight: float = 0.5) -> DataFrame:
+    """query_id, text, doc_ids, documents: sparse and dense results of every planned query, merged, fused, best first.
+
+    dense(queries, k) gives a run (query_id, doc_id, score, rank) for queries (query_id, text), whose ids
+    are structs here; without it the sparse list stands alone. Texts are joined to the k results last.
+    """
     asked = planned.select("query_id", F.posexplode("queries").alias("part", "q"))
     ids = asked.select(F.struct("query_id", "part").alias("query_id"), F.col("q").alias("text"))
-    run = S.bm25(docs, ids, k).withColumn("parent_id", F.col("query_id.query_id"))
-    merged = S.merge_subqueries(run)
-    best = merged.where(F.col("rank") <= k).join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id")
+    runs = [S.bm25(index or docs, ids, k), dense(ids, k) if dense else None]
+    runs = [r if r is None else r.withColumn("parent_id", F.col("query_id.query_id")) for r in runs]
+    fused = S.hybrid(runs[0], runs[1], k, weight)
+    best = fused.select("parent_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id")
     lists = best.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "doc"))).alias("l"))
     out = planned.select("query_id", "text").join(lists, F.col("query_id") == F.col("parent_id"), "left")
     empty = F.coalesce("l", F.array().cast(lists.schema["l"].dataType))
     return out.select("query_id", "text", F.transform(empty, lambda x: x["doc_id"]).alias("doc_ids"), F.transform(empty, lambda x: x["doc"]).alias("documents"))
 
 
-def answer(queries: DataFrame, docs: DataFrame, client: models.Client, prompts: dict[str, str] | None = None, k: int = 20, final_k: int = 10, **retry) -> DataFrame:
+def answer(queries: DataFrame, docs: DataFrame, client: models.Client, prompts: dict[str, str] | None = None, k: int = 20, final_k: int = 10, index: S.Index | None = None, dense=None, weight: float = 0.5, **retry) -> DataFrame:
     """query_id, text, documents, answer, reference, rationale, status, error of queries (query_id, text)."""
     p = models.PROMPTS | (prompts or {})
     planned = models.plan(queries, client, p["plan"], **retry)
-    ranked = models.rerank(retrieve(planned, docs, k), client, p["rerank"], final_k, **retry)
+    ranked = models.rerank(retrieve(planned, docs, k, index, dense, weight), client, p["rerank"], final_k, **retry)
     return models.generate(ranked.select("query_id", "text", "documents"), client, p["generate"], **retry)
 
 
@@ -71,6 +76,7 @@ def optimise(seed: str, score: Callable[[str], DataFrame], propose: Callable[[st
             best, best_scores, best_mean = candidate, scores, value
         else:
             scores.unpersist()
+    best_scores.unpersist()
     return best, tried
 
 

@@ -87,7 +87,7 @@ def test_retry():
     def call():
         calls.append(1)
         if len(calls) < 4:
-            raise ValueError
+            raise ValueError("429 too many")
         return 7
 
     assert models.with_retry(call, sleep=waits.append) == 7 and waits == [1.0, 2.0, 4.0]
