@@ -49,14 +49,33 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": [
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2."],
     "Proprietary": ["All rights reserved."],
 }
 
-HINT = re.compile(r"licen[sc]e|copyright|all rights reserved|redistribut|permission (?:is hereby|to use)|creative commons|cc[ -]?by|cc0|spdx", re.I)
+HINT = re.compile(r"licen[sc]|copyright|rights reserved|redistribut|permission (?:is|to)|creative commons|cc[ -]?by|cc0|spdx|public domain|unencumbered|eupl|as[ -]is\b|warrant|free software", re.I)
+#: A line that names its licenses: identifiers joined by AND, OR, WITH and brackets. What follows WITH is an exception.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() \t]+)")
+_NAMED = re.compile(r"(?<![A-Za-z0-9.+-])(WITH[ \t]+)?([A-Za-z0-9][A-Za-z0-9.+-]*)")
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Lines that a block grows in either direction, words that may differ (share).
-GROW, DIFFERENT = 40, 0.1
-#: Characters of a block beyond which only the surroundings of its license words are compared.
+#: Words that may differ (share).
+DIFFERENT = 0.1
+#: Characters of a block beyond which the surroundings of its license words are compared, on each side half as many:
+#: at least four times as many as the longest template has, so that no notice is cut.
 LONG = 6000
 LEVEL = 3
 
@@ -68,6 +87,7 @@ def words(text: str) -> list[str]:
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
         self.templates = [(name, k, words(t)) for name, texts in templates.items() for k, t in enumerate(texts)]
+        self.long = max(LONG, 4 * max((len(" ".join(t)) for _, _, t in self.templates), default=0))
         self.vocabulary = {w for _, _, t in self.templates for w in t}
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
         self.given = []
@@ -88,23 +108,23 @@ class Scanner:
             if i <= done or not HINT.search(line):
                 continue
             first, last, at = i, i, i
-            while at > max(0, i - GROW, done + 1) and (not lines[at - 1].strip() or self._reads_like(lines[at - 1])):
+            while at > max(0, done + 1) and (not lines[at - 1].strip() or self._reads_like(lines[at - 1])):
                 at -= 1
                 first = at if lines[at].strip() else first
             at = i
-            while at + 1 < min(len(lines), i + GROW) and (not lines[at + 1].strip() or HINT.search(lines[at + 1]) or self._reads_like(lines[at + 1])):
+            while at + 1 < len(lines) and (not lines[at + 1].strip() or HINT.search(lines[at + 1]) or self._reads_like(lines[at + 1])):
                 at += 1
                 last = at if lines[at].strip() else last
             done = last
             block = "\n".join(lines[first : last + 1])
-            if len(block) <= LONG:
+            if len(block) <= self.long:
                 yield first, words(block)
                 continue
             end = -1  # long lines: what lies about each hint
             for m in HINT.finditer(block):
-                if m.start() >= end - LONG // 4:  # windows overlap by more than the longest template
-                    end = m.end() + LONG // 2
-                    start = block.find(" ", max(0, m.start() - LONG // 2)) + 1 if m.start() > LONG // 2 else 0
+                if m.start() >= end - self.long // 4:  # windows overlap by more than the longest template
+                    end = m.end() + self.long // 2
+                    start = block.find(" ", max(0, m.start() - self.long // 2)) + 1 if m.start() > self.long // 2 else 0
                     yield first, words(block[min(start, m.start()) : end])
 
     @staticmethod
@@ -144,8 +164,16 @@ class Scanner:
         return missing, extra
 
     def scan(self, text: str) -> Iterator[dict]:
-        """One row for each notice confirmed in a block, or one without a license: a notice's words are taken out and the rest is judged again."""
-        for first, block in self.blocks(text):
+        """One row for each notice confirmed in a block, or one without a license: a notice's words are taken out and the rest is judged again.
+
+        An SPDX line names its licenses by itself, whatever the templates.
+        """
+        for at, line in enumerate(text.split("\n") if "SPDX-License-Identifier" in text else ()):
+            for named in SPDX.finditer(line):
+                for exception, name in _NAMED.findall(named[1]):
+                    if not exception and name not in ("AND", "OR"):
+                        yield {"line": at, "n_words": 1, "license": name, "reduction": 0.0, "missing": [], "extra": [], "candidate": name}
+        for first, block in self.blocks(SPDX.sub("", text)):
             n_words, any_found = len(block), False
             while block:
                 joined = b" ".join(w.encode() for w in block)
