@@ -85,8 +85,9 @@ PATTERNS = {
     "address": r"(?<![\w.-])\d{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|Avenue|Road|Lane|Boulevard|Drive)\b",
     "name": rf"(?i:\b(?:{'|'.join(HONORIFICS)})\b)\.?\s(?P<it>(?=[^\W\d_])(?-i:{_NAME}(?:\s{_NAME}){{0,2}}))",
 }
-#: Two or three capitalised words on one line.
-_CAPITALISED = re.compile(rf"(?<!\w)(?=[^\W\d_])(?:{_NAME})(?:[ \t\xa0](?:{_NAME})){{1,2}}")
+#: A listed first name, as it is or in capitals, before another capital (letters first: that makes the search fast), and up to three words of one line.
+_FIRST = re.compile("(?:" + "|".join(re.escape(x) for names in FIRST_NAMES.values() for name in names for x in (name, name.upper())) + r")(?=[ \t\xa0][^\W\d_a-z])")
+_ON_LINE = re.compile(rf"(?:{_NAME})(?:[ \t\xa0](?:{_NAME})){{1,2}}")
 _WORD = re.compile(rf"(?<![\w])(?:{_NAME})")
 
 
@@ -300,13 +301,13 @@ class Surrogates:
 
     def _bare_names(self, text: str) -> Iterator[tuple[int, int, int, str]]:
         """A listed first name and the capitalised words after it, where no honorific tells."""
-        for m in _CAPITALISED.finditer(text):
-            words = [*_WORD.finditer(text, *m.span())]
-            for i, w in enumerate(words):
-                if low(w[0]) in _LISTED and w[0][0].isupper() and i + 1 < len(words) and words[i + 1][0][0].isupper() and words[i + 1][0] != w[0]:
-                    last = i + 2 if i + 2 < len(words) and words[i + 2][0][0].isupper() else i + 1
-                    yield w.start(), len(self.patterns), words[last].end(), "name"
-                    break
+        for first in _FIRST.finditer(text):
+            start = first.start()
+            m = None if start and (text[start - 1].isalnum() or text[start - 1] in "_'’-") else _ON_LINE.match(text, start)
+            words = [*_WORD.finditer(text, start, m.end())] if m else []
+            if len(words) > 1 and words[0][0] == first[0] and words[1][0][0].isupper() and words[1][0] != words[0][0]:
+                last = 2 if len(words) > 2 and words[2][0][0].isupper() else 1
+                yield start, len(self.patterns), words[last].end(), "name"
 
     def _carried(self, text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """found, and the other places of the words of the names in it."""
