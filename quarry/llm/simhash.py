@@ -30,6 +30,8 @@ from quarry.llm.graph import components
 
 #: Rows of one key that meet in one task; beyond it the key is cut into chunks of half as many.
 MEET = 4096
+#: The same for rows of one shingle, which are heavier and compared by more.
+MEET_SETS = 1024
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -360,7 +362,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
 
 
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = MEET) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = MEET_SETS) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), keep_id, keep_key for every document whose near-duplicate group has more than one.
 
     A document is an id with a text: two texts of one id are two documents, in one group only if they
