@@ -39,26 +39,25 @@ class Index(NamedTuple):
     @classmethod
     def build(cls, docs: DataFrame, tokenize=T.tokens, keep: Callable[[DataFrame, str], DataFrame] = storage.write, id_col: str = "doc_id", text_col: str = "text") -> Index:
         """The index of a table of documents, whose ids are unique. keep writes a table and reads it again."""
-        tf, lengths = postings(docs, tokenize, id_col, text_col)
-        lengths = keep(lengths, "lengths")
-        tf = keep(tf, "postings")
+        tf, lengths = of_terms(keep(terms(storage.spread(docs), tokenize, id_col, text_col), "terms"))
         total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
         stats = keep(term_stats(tf, lengths), "stats")
         mean = stats.agg(F.avg("raw").alias("mean")).first().mean
         return cls(tf, stats.drop("raw"), lengths.select("doc_id"), total.average or 0.0, mean or 0.0)
 
 
-def postings(docs: DataFrame, tokenize=T.tokens, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, tf, dl) and (doc_id, dl); a document without tokens has a length of 0 and no posting.
-
-    Terms are counted within their row, from its sorted tokens: nothing is shuffled.
-    """
-    tokenized = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    lasts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == F.size("s")) | (F.get("s", i) != F.get("s", i - 1)))
-    ends = tokenized.select("doc_id", F.array_sort("ts").alias("s")).where(F.size("s") > 0).select("doc_id", "s", lasts.alias("ends"))
+def terms(docs: DataFrame, tokenize=T.tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, dl, terms: a document's length in tokens, and each of its terms with its count, from its sorted tokens; nothing is shuffled."""
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("s"))
+    last = F.filter(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda i: (i == F.size("s")) | (F.get("s", i) != F.get("s", i - 1)))
+    ends = ordered.select("doc_id", "s", last.alias("ends"))  # where the run of each term ends
     counted = F.transform("ends", lambda e, j: F.struct(F.get("s", e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get("ends", j - 1))).cast("long").alias("tf")))
-    tf = ends.select("doc_id", F.size("s").cast("long").alias("dl"), F.explode(counted).alias("t")).select("doc_id", "t.term", "t.tf", "dl")
-    return tf, tokenized.select("doc_id", F.size("ts").cast("long").alias("dl"))
+    return ends.select("doc_id", F.size("s").cast("long").alias("dl"), counted.alias("terms"))
+
+
+def of_terms(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term, tf, dl) and (doc_id, dl); a document without tokens has a length of 0 and no posting."""
+    return counted.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf", "dl"), counted.select("doc_id", "dl")
 
 
 def term_stats(tf: DataFrame, lengths: DataFrame) -> DataFrame:

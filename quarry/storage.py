@@ -49,3 +49,15 @@ def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFra
         df.write.option("compression", "zstd").parquet(path)
         _MADE[key] = path
     return spark.read.parquet(_MADE[key])
+
+
+#: Bytes a core up to which a table is dealt anew.
+LIGHT = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores: its file may be a single row group, which one task would read; large ones as they are."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= LIGHT * cores else df
