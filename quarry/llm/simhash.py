@@ -148,10 +148,12 @@ def _prints(docs: DataFrame, make: Callable[[bytes], tuple], fields: str, arrow:
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [make(t) for t in blobs(batch.column(1))]
-            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", *names, *more])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 500):  # what is made may be as large as the texts
+                batch = whole_batch.slice(at, 500)
+                made = [make(t) for t in blobs(batch.column(1))]
+                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", *names, *more])
 
     schema = "".join(f", {m} long" for m in more)
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"), *more), run, f"doc_id long, {fields}{schema}")
@@ -346,20 +348,11 @@ def _able(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose whole sets (node, hashes: sorted longs as bytes) overlap enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-                shared = int((both[1:] == both[:-1]).sum())
-                kept.append(shared >= similarity * (len(both) - shared) - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
+    """The pairs a, b whose whole sets (node, hashes: distinct longs) overlap enough."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
+    shared = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("s"))
+    return materialize(shared.where(F.col("s") >= similarity * (F.col("n") + F.col("m") - F.col("s")) - 1e-6).select("a", "b"), "links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = MEET_SETS) -> DataFrame:
@@ -414,15 +407,15 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     bits = made.select("node", "n", "bits").join(small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
     bits = materialize(bits.groupBy("node", "n").agg(F.first("bits").alias("bits")), "bits")
 
-    def whole_set(text: bytes) -> tuple[int, bytes]:
+    def whole_set(text: bytes) -> tuple[int, np.ndarray]:
         hashes = np.unique(shingle_hashes(text, k))
-        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), hashes.tobytes()
+        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), hashes.view(np.int64)
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("p_node")).union(pairs.select("b")).distinct()
         needed = materialize(nodes.join(asked, F.col("node") == F.col("p_node"), "left_semi").select("x_id", "x_key"), "needed")
         again = source.join(small(needed), (F.col("doc_id") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
-        sets = _prints(again, whole_set, "node long, hashes binary", [pa.int64(), pa.binary()], "doc_id", "t")
+        sets = _prints(again, whole_set, "node long, hashes array<long>", [pa.int64(), pa.list_(pa.int64())], "doc_id", "t")
         return _verified(pairs, materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets"), similarity)
 
     # Short lists stay whole; a long one, which a third of all rows may share, goes on over many tasks.

@@ -210,9 +210,11 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
-            scores = [scorer.score(t) for t in blobs(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, score_col])
+        for whole_batch in batches:
+            for i in range(0, whole_batch.num_rows, 500):
+                batch = whole_batch.slice(i, 500)
+                scores = [scorer.score(t) for t in blobs(batch.column(at))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, score_col])
 
     return map_arrow(docs, run, f"{kinds}, `{score_col}` double")
 
