@@ -44,6 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Caches that a worker process keeps between tasks, by the operator that fills them.
+CACHES: dict[str, dict] = {}
+
+
+def only_cache(of: str) -> None:
+    """Empty the caches of all other operators: a worker process serves many stages, and its memory is one."""
+    for name, cache in CACHES.items():
+        if name != of:
+            cache.clear()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, named in one place."""
     return df.mapInArrow(fn, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, blobs, map_arrow, materialize, whole
+from quarry.llm.common import ALNUM, blobs, map_arrow, materialize, only_cache, whole
 
 WINDOW = 13
 #: Bytes of benchmark text in a block; a block's windows take about fifteen times as much.
@@ -128,6 +128,7 @@ def _scan(docs: DataFrame, index: dict, id_col: str, text_col: str) -> DataFrame
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("decontam")
         for batch in batches:
             n_words, starts, ends, items = [], [], [], []
             for text in blobs(batch.column(2)):

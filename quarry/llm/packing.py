@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blobs, map_arrow, materialize, whole
+from quarry.llm.common import CACHES, blobs, map_arrow, only_cache, materialize, whole
 
 CAPACITY = 2048
 #: A bin with at most so much room counts as nearly full.
@@ -114,7 +114,7 @@ def split_digest(path: str) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[str, WordTokenizer] = CACHES.setdefault("packing", {})
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -183,6 +183,7 @@ def _first_round(path: str, capacity: int, end_id: int, slack: int, chunk: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("packing")
         encode = tokenizer(path).encode
         packer = _Packer(TaskContext.get().partitionId() << 32, capacity, slack)
         for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER_AZ, blobs, join_counted, map_arrow, materialize, small, whole
+from quarry.llm.common import LOWER_AZ, blobs, join_counted, map_arrow, materialize, only_cache, small, whole
 from quarry.llm.graph import components
 
 #: Rows of one key that meet in one task; beyond it the key is cut into chunks of half as many.
@@ -148,6 +148,7 @@ def _prints(docs: DataFrame, make: Callable[[bytes], tuple], fields: str, arrow:
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("simhash")
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 500):  # what is made may be as large as the texts
                 batch = whole_batch.slice(at, 500)

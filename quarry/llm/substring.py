@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, blobs, join_counted, map_arrow, materialize, small, whole
+from quarry.llm.common import BROADCAST_ROWS, CACHES, blobs, join_counted, map_arrow, materialize, small, whole
 
 SIZE, GRAM = 50, 12
 #: Windows in a super-k-mer at most; a longer run is several.
@@ -51,7 +51,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
+_HASHES = CACHES.setdefault("substring", _Hashes())
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

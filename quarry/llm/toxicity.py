@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blobs, map_arrow, whole
+from quarry.llm.common import blobs, map_arrow, only_cache, whole
 
 #: Bound of the training sample.
 PER_CLASS, MOST_BYTES = 1500, 16_384
@@ -209,6 +209,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("toxicity")
         scorer = Scorer(held.value)
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, 500):
