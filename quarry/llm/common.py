@@ -93,6 +93,13 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], n
     return left.join(often, keys).unionByName(rest)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for what takes each text apart: a batch of texts in pieces is many times as large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, blobs, map_arrow, materialize, only_cache, whole
+from quarry.llm.common import ALNUM, blobs, map_arrow, materialize, only_cache, slices, whole
 
 WINDOW = 13
 #: Bytes of benchmark text in a block; a block's windows take about fifteen times as much.
@@ -45,7 +45,7 @@ def _count(first: dict[bytes, set], single: set):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in blobs(batch.column(0)):
                 words = words_of(text)
                 seen.update(w for w in words if w in single)
@@ -129,7 +129,7 @@ def _scan(docs: DataFrame, index: dict, id_col: str, text_col: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("decontam")
-        for batch in batches:
+        for batch in slices(batches):
             n_words, starts, ends, items = [], [], [], []
             for text in blobs(batch.column(2)):
                 words = words_of(text)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import CACHES, blobs, map_arrow, only_cache, materialize, whole
+from quarry.llm.common import CACHES, blobs, map_arrow, materialize, only_cache, slices, whole
 
 CAPACITY = 2048
 #: A bin with at most so much room counts as nearly full.
@@ -50,7 +50,7 @@ class WordTokenizer:
     """
 
     PLAIN = re.compile(r"[\t-\r\x20-\x7E¡-¬®-įı-ňŊ-ž]*")
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,7 +186,7 @@ def _first_round(path: str, capacity: int, end_id: int, slack: int, chunk: int):
         only_cache("packing")
         encode = tokenizer(path).encode
         packer = _Packer(TaskContext.get().partitionId() << 32, capacity, slack)
-        for batch in batches:
+        for batch in slices(batches):
             ids_of = encode(blobs(batch.column(1)))
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
                 ids += tail
