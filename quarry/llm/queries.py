@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact, license, packing, pii, simhash, substring, toxicity, urls, warc
+from quarry.llm import decontam, exact, langid, license, packing, pii, simhash, substring, toxicity, trie, urls, warc, whitening
 
 #: The rules that op4 is judged by.
 URL_RULES = [
@@ -67,8 +67,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector and component: what is the same in all rows is a literal."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    rows = whitening.whiten(vectors, model).select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = trie.number_turns(_table(spark, sf_dir, "conversations"))
+    return trie.build(*trie.graft(numbered, every=5, most=9))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    model = langid.train(langid.sample(docs.where(~held_out)))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def queries() -> dict:
-    found = [op1_substring_dedup, op2_license_scan, op3_toxicity, op4_url_filters, op5_simhash, op6_pii, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination]
+    found = [op1_substring_dedup, op2_license_scan, op3_toxicity, op4_url_filters, op5_simhash, op6_pii, op7_warc, op8_exact_dedup, op9_packing, op10_decontamination, op11_whitening, op12_prefix_trie, op13_language]
     return {f.__name__: f for f in found}
 
 
@@ -121,6 +146,25 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l F
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_prefix_trie": """
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id FROM o),
+b AS (SELECT conv_id, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT) AS bytes FROM c),
+h AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(bytes, lambda x: [x, -1::BIGINT, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda r, x: CASE WHEN x = -1 THEN xor(r >> 1, (r & 1) * 3988292384) ELSE xor(r, x) END), 4294967295::BIGINT) % 9 AS h FROM b),
+g AS (SELECT h.conv_id, o.p, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5 AND o.p <= h.h),
+r AS (SELECT conv_id, 0 AS own, p, role, text FROM g UNION ALL SELECT o.conv_id, 1, o.p, o.role, o.text FROM o JOIN h USING (conv_id) WHERE o.p > h.h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM r),
+w AS (SELECT conv_id, depth, bytes, sha256(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS n FROM w GROUP BY 1),
+m AS (SELECT w.*, e.n, min(w.conv_id) OVER (PARTITION BY depth, path) AS node FROM w JOIN e USING (conv_id)),
+u AS (SELECT depth, path, node, count(*) AS n_convs, min(bytes) AS bytes, string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY 1, 2, 3),
+k AS (SELECT u.*, p.path AS up, p.node AS parent FROM u LEFT JOIN m p ON p.conv_id = u.node AND p.depth = u.depth - 1),
+n AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN n ON n.depth = k.depth AND n.path = k.path),
+s AS (SELECT a.depth, a.path, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved FROM f JOIN m a ON a.conv_id = f.node AND a.depth <= f.depth GROUP BY 1, 2)
+SELECT f.node AS conv_id, f.depth::BIGINT AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s ON s.depth = f.depth AND s.path = f.path""",
 }
 
 
