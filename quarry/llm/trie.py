@@ -91,29 +91,57 @@ def graft(numbered: DataFrame, every: int = 5, most: int = 9) -> tuple[DataFrame
     return materialize(begun.unionByName(own).sortWithinPartitions("depth"), "grafted"), materialize(total, "lengths")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """Each run of rows of one (depth, node), the first two columns: the node, where it begins and where it ends."""
+    depth, node = (np.asarray(batch.column(i)) for i in (0, 1))
+    bounds = [0, *(np.flatnonzero((depth[1:] != depth[:-1]) | (node[1:] != node[:-1])) + 1).tolist(), batch.num_rows]
+    for low, high in zip(bounds, bounds[1:]):
+        if low < high:
+            yield (int(depth[low]), int(node[low])), low, high
+
+
+#: conv_ids in one written-out piece.
+PIECE = 1 << 16
+
+
 def _digests(ends: DataFrame) -> DataFrame:
-    """depth, node, ends_sha256: a node's conv_ids stream through one digest in their order; a task holds one batch."""
+    """depth, node, ends_sha256. conv_ids are sorted by ranges and written out in pieces there; a node's pieces stream through one digest in order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, digest = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([x]) for x in (*at, digest.hexdigest())], ["depth", "node", "ends_sha256"])
+    A digest has to be of one task, so a node with very many ends costs it the reading of their pieces, one at a time.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the node of the ids held
+        piece = lambda: pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (*at, held[0])), pa.array([b",".join(b"%d" % i for i in held)], pa.binary())], ["depth", "node", "first", "ids"])
+        for batch in batches:
+            for node, low, high in _runs(batch):
+                ids = np.asarray(batch.column(2))[low:high].tolist()
+                if held and (node != at or len(held) + len(ids) > PIECE):
+                    yield piece()
+                    held = []
+                at, held = node, held + ids
+        if held:
+            yield piece()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([x]) for x in (*at, found.hexdigest())], ["depth", "node", "ends_sha256"])
         for batch in batches:
-            columns = [np.asarray(c) for c in batch.columns]
-            same = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
-            bounds = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-            for low, high in zip(bounds, bounds[1:]):
-                node, ids = (int(columns[0][low]), int(columns[1][low])), b",".join(b"%d" % i for i in columns[2][low:high].tolist())
-                if node == at:
-                    digest.update(b"," + ids)
-                else:
+            for node, low, high in _runs(batch):
+                for ids in batch.column(3).slice(low, high - low):
+                    if node == at:
+                        found.update(b"," + ids.as_py())
+                        continue
                     if at is not None:
                         yield out()
-                    at, digest = node, hashlib.sha256(ids)
+                    at, found = node, hashlib.sha256(ids.as_py())
         if at is not None:
             yield out()
 
-    ordered = ends.select("depth", "node", "conv_id").repartition("depth", "node").sortWithinPartitions("depth", "node", "conv_id")
-    return map_arrow(ordered, run, "depth long, node long, ends_sha256 string")
+    order = ["depth", "node", "conv_id"]
+    pieces = map_arrow(ends.select(*order).repartitionByRange(*order).sortWithinPartitions(*order), write, "depth long, node long, first long, ids binary")
+    pieces = materialize(pieces, "pieces")
+    return map_arrow(pieces.repartition("depth", "node").sortWithinPartitions("depth", "node", "first"), digest, "depth long, node long, ends_sha256 string")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -167,7 +195,7 @@ def build(turns: DataFrame, lengths: DataFrame) -> DataFrame:
         here = materialize(here, "rolled")
         rolled.append(here.withColumn("depth", long(depth)))
         below = here.select("parent", "leaves", "saved")
-    digests = materialize(_digests(_union(ends)), "ends").withColumnsRenamed({"depth": "d", "node": "c"})
+    digests = materialize(_digests(materialize(_union(ends), "ends")), "digests").withColumnsRenamed({"depth": "d", "node": "c"})
     top = _union(rolled).join(digests, (F.col("depth") == F.col("d")) & (F.col("node") == F.col("c")), "left")
     found = top.select(
         F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"),

@@ -115,6 +115,7 @@ def test_empty_and_a_conversation_without_turns(spark):
 
 
 def test_many_ends_at_one_node(spark):
+    """They are sorted by ranges: several pieces make one digest."""
     rows = [(c, 0, "user", "same", None, None, None) for c in range(-3000, 3000)]
     got = _got(trie.build(*trie.whole_conversations(trie.number_turns(spark.createDataFrame(rows, SCHEMA)))))
     assert got == _nodes(_ordered(rows))
