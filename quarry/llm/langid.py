@@ -147,16 +147,21 @@ def _cut(window: bytes, rng: np.random.Generator) -> bytes:
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_text: int = PER_TEXT, most_langs: int = MOST_LANGS) -> list[tuple[str, bytes]]:
     """The bounded training sample, (language, window): at most most_langs * per_lang * per_text windows reach the driver.
 
-    Equal texts of a language are drawn once. docs are the learnable rows alone.
+    Equal texts of a language are drawn once. Of a language with more than 2 * (per_lang + 50) texts fewer than
+    per_lang may come, if rarely. docs are the learnable rows alone.
     """
     told = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = [r.lang for r in told.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    if not langs:
+    told = told.withColumn("key", F.xxhash64("text"))
+    counts = told.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("different")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not counts:
         return []
-    light = told.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("text").alias("key")).distinct()
+    # Keys are drawn by a hash: a language's share of it is one that holds per_lang of its texts with much to spare, so that few are sorted.
+    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2 * (per_lang + 50) / max(1, r.different)))) for r in counts], F.lit(0.0))
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 32)) / float(1 << 32)
+    light = told.where(drawn < share).select("lang", "key").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = light.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang).drop("at")  # pruned before the shuffle
-    texts = told.join(F.broadcast(chosen.withColumnsRenamed({"lang": "of", "key": "k"})), (F.col("lang") == F.col("of")) & (F.xxhash64("text") == F.col("k")))
+    chosen = light.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang).drop("at")
+    texts = told.join(F.broadcast(chosen.withColumnsRenamed({"lang": "of", "key": "k"})), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("k")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
