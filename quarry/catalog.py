@@ -16,10 +16,10 @@ from quarry.functions import text as T
 from quarry.operators import answers as A
 from quarry.operators import bundles
 from quarry.operators import evaluation as E
-from quarry.operators import feedback, sampling
+from quarry.operators import feedback, reranked, sampling
 from quarry.operators import scoring as C
 from quarry.operators import search as S
-from quarry.plans import models, rag, reports
+from quarry.plans import models, pareto, rag, reports
 from quarry.sources import tables
 
 SIZE, OVERLAP = 600, 50
@@ -468,22 +468,42 @@ def ablation_table(spark, d):
     return rows.select("config", F.round("m", 6).alias("ndcg"), F.round(F.col("m") - F.col("base"), 6).alias("gain"), F.round(F.when(F.col("base") == 0, 0.0).otherwise((F.col("m") - F.col("base")) / F.col("base") * 100), 4).alias("gain_pct"))
 
 
-def _sweep_sql(size: int) -> str:
-    """One row of the sweep: chunks take the documents' place, sparse lists of 20 are judged to the tenth."""
+def _sweep_sql(size: int, fused: bool = False) -> str:
+    """One row of the sweep: chunks take the documents' place, sparse lists of 20 are judged to the tenth, alone or fused with the dense ones."""
     chunk = _chunk_sql(size, size // 10, "sweep")
-    return f"""(WITH ch AS ({chunk}), docs AS (SELECT chunk_id AS doc_id, chunk AS text FROM ch), {_bm25_sql(_RAW, False, 20).replace("documents", "docs")},
-qr AS (SELECT item_id AS query_id, chunk_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN ch USING (doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM qr GROUP BY 1), {_metric_sql("bm", k=10)}
+    lists = f""", dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+  SELECT s.query_id, ch.chunk_id AS doc_id, s.score FROM sims s JOIN ch ON ch.doc_id = s.doc_id)) WHERE rank <= 20), {_fuse_sql('0.5', 10)}""" if fused else ""
+    return f"""(WITH ch AS ({chunk}), docs AS (SELECT chunk_id AS doc_id, chunk AS text FROM ch), {_bm25_sql(_RAW, False, 20).replace("documents", "docs")}{lists},
+qr AS (SELECT item_id AS query_id, chunk_id AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN ch USING (doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM qr GROUP BY 1), {_metric_sql("fu" if fused else "bm", k=10)}
 SELECT {size} AS chunk_size, {size // 10} AS chunk_overlap, (SELECT count(*) FROM ch) AS num_chunks, round((SELECT avg(length(chunk)) FROM ch), 6) AS avg_chunk_length,
   round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(f1), 6) AS f1 FROM me)"""
 
 
-def _sweep(spark, d):
-    return rag.sweep(_docs(spark, d), _items(spark, d), _qrels(spark, d), SWEEP)
+_SIMS_SQL = """WITH nv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+sims AS (SELECT b.item_id AS query_id, d.doc_id, list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(d.v, d.v)) AS score FROM benchmark b JOIN nv q ON q.doc_id = b.item_id CROSS JOIN nv d) """
+
+
+def _sweep(spark, d, fused=False):
+    def dense(chunks: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+        """A chunk's vector is its document's, a query's that of its id; documents beyond the table of vectors have none."""
+        vectors = _read(spark, d, "embeddings")
+        asked = queries.join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+        return S.dense(chunks.join(vectors, F.col("of") == F.col("vec_id")).select("chunk_size", "doc_id", "embedding"), asked, depth, by="chunk_size")
+
+    return rag.sweep(_docs(spark, d), _items(spark, d), _qrels(spark, d), SWEEP, dense=dense if fused else None)
+
+
+_SWEPT = ("ndcg", "precision", "recall", "mrr", "f1")
 
 
 @_q(" UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s)}" for s in SWEEP))
 def chunk_size_sweep(spark, d):
-    return _sweep(spark, d).select("chunk_size", "chunk_overlap", "num_chunks", _r("avg_chunk_length"), *[_r(m) for m in ("ndcg", "precision", "recall", "mrr", "f1")])
+    return _sweep(spark, d).select("chunk_size", "chunk_overlap", "num_chunks", _r("avg_chunk_length"), *[_r(m) for m in _SWEPT])
+
+
+@_q(_SIMS_SQL + " UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s, True)}" for s in SWEEP))
+def chunk_size_sweep_fused(spark, d):
+    return _sweep(spark, d, True).select("chunk_size", "chunk_overlap", "num_chunks", _r("avg_chunk_length"), *[_r(m) for m in _SWEPT])
 
 
 @_q("SELECT chunk_size, chunk_overlap, ndcg FROM (" + " UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s)}" for s in SWEEP) + ") ORDER BY ndcg DESC, chunk_size LIMIT 1")
@@ -667,14 +687,62 @@ def configurations_by_queries(spark, d):
     return means.select("weight", "n", _r("mean"), F.round(F.col("mean") - first, 6).alias("gain"))
 
 
+def _candidates(spark, d):
+    """The score matrix of a prompt search, with the fusion weights for its candidates."""
+    return _grid(spark, d).select(F.round(F.col("weight") * 10).cast("long").alias("candidate"), "query_id", F.col("f1").alias("score"))
+
+
+_CANDIDATES_SQL = _GRID_SQL + """, x AS (SELECT round(weight * 10)::BIGINT AS candidate, query_id, f1 AS score FROM me),
+fr AS (SELECT candidate, query_id, score FROM (SELECT *, max(round(score, 9)) OVER (PARTITION BY query_id) AS b FROM x) WHERE round(score, 9) = b)"""
+
+
+@_q(_CANDIDATES_SQL + " SELECT candidate, query_id, round(score, 6) AS score FROM fr")
+def prompt_frontier(spark, d):
+    return pareto.frontier(_candidates(spark, d)).select("candidate", "query_id", _r("score"))
+
+
+@_q(_CANDIDATES_SQL + """, s AS (SELECT candidate, list_sort(list(query_id)) AS q, count(*) AS wins FROM fr GROUP BY 1), n AS (SELECT s.*, m FROM s JOIN (SELECT candidate, round(avg(score), 9) AS m FROM x GROUP BY 1) USING (candidate))
+SELECT candidate, wins, round(m, 6) AS mean FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.candidate <> a.candidate AND list_has_all(b.q, a.q) AND (b.wins > a.wins OR b.m > a.m OR (b.m = a.m AND b.candidate < a.candidate)))""")
+def prompt_parents(spark, d):
+    return pareto.parents(_candidates(spark, d)).select("candidate", "wins", _r("mean"))
+
+
+_RERANKED_SQL = _LIST_SQL.split(", l AS")[0] + r""", b AS (SELECT query_id, rank, doc_id, text, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM bm JOIN documents USING (doc_id) WHERE rank <= 10),
+c AS (SELECT query_id, count(*) AS n FROM b GROUP BY 1),
+a AS (SELECT query_id, n - rank + 1 AS rank, k FROM b JOIN c USING (query_id) UNION ALL SELECT query_id, n + 1, md5('a text of nobody') FROM c UNION ALL SELECT query_id, n + 2, k FROM b JOIN c USING (query_id) WHERE rank = 1),
+bn AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY rank) AS nth FROM b), an AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY rank) AS nth FROM a)"""
+
+
+def _reranked(spark, d):
+    """The ten best of an item, and a list that reverses them, has a text of nobody, and the first text once more."""
+    before = _bm25(spark, d).where("rank <= 10").join(_docs(spark, d), "doc_id").select("query_id", "rank", "doc_id", "text")
+    sizes = before.groupBy("query_id").agg(F.count("*").alias("n"))
+    of = before.join(sizes, "query_id")
+    after = of.select("query_id", (F.col("n") - F.col("rank") + 1).alias("rank"), "text")
+    after = after.unionByName(sizes.select("query_id", (F.col("n") + 1).alias("rank"), F.lit("a text of nobody").alias("text")))
+    return before, after.unionByName(of.where("rank = 1").select("query_id", (F.col("n") + 2).alias("rank"), "text"))
+
+
+@_q(_RERANKED_SQL + " SELECT an.query_id, an.rank, coalesce(bn.doc_id, -1) AS doc_id, bn.rank AS was FROM an LEFT JOIN bn ON bn.query_id = an.query_id AND bn.k = an.k AND bn.nth = an.nth")
+def reranked_places(spark, d):
+    return reranked.match(*_reranked(spark, d))
+
+
+@_q(_RERANKED_SQL + """, p AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, x.k IS DISTINCT FROM y.k AS other FROM (FROM b WHERE rank <= 5) x FULL JOIN (FROM a WHERE rank <= 5) y ON x.query_id = y.query_id AND x.rank = y.rank),
+g AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, k, count(*) AS m FROM b WHERE rank <= 5 GROUP BY 1, 2) x, (SELECT 1) LEFT JOIN (SELECT query_id AS q, k AS kk, count(*) AS mm FROM a WHERE rank <= 5 GROUP BY 1, 2) y ON q = query_id AND kk = k, range(1000) r(i) WHERE i < greatest(0, m - coalesce(mm, 0)) GROUP BY 1)
+SELECT p.query_id, count(*) FILTER (other) AS n_changed, coalesce(max(g.n), 0) AS n_left FROM p LEFT JOIN g USING (query_id) GROUP BY 1""")
+def reranked_changes(spark, d):
+    return reranked.changed(*_reranked(spark, d))
+
+
 _ALL = [
     chunk_index, chunk_sweep, normalize_digits, tokenize_a, tokenize_b, query_hash, doc_key_dedup, prefix_key, bm25_stats, bm25_topk, bm25_sweep_topk, dense_topk, l2_normalize,
     multiquery_dedup, hybrid_subqueries, wrrf_fusion, wrrf_sweep, distinct_docs_first_seen, qrels, qrels_chunk, qrels_stats, queries_without_relevant, corpus_semi, rank_metrics, ndcg_at_10,
     rank_metrics_at_k, rerank_improvement, weight_grid, weight_best, weight_per_query, metric_mean_std, confidence_interval, paired_t, split_counts, retrieval_pattern,
     generation_basic, context_usage, query_addressing, hedging, query_diversity, position_changes, query_overlap, length_bias, numbered_docs, text_preview, ablation_table,
-    chunk_size_sweep, chunk_size_best, representative_queries, rag_answers, rag_quality, end_to_end_score, reflection_records, evaluation_inputs, rank_to_score, module_scores,
+    chunk_size_sweep, chunk_size_sweep_fused, chunk_size_best, representative_queries, rag_answers, rag_quality, end_to_end_score, reflection_records, evaluation_inputs, rank_to_score, module_scores,
     prefix_lookup, label_lists, query_structure, prompt_hash, report_table, retrieval_bundle, reranker_bundle, planner_bundle, generation_against_truth, batch_summary, context_scores,
-    generator_feedback, configurations_by_queries,
+    generator_feedback, configurations_by_queries, prompt_frontier, prompt_parents, reranked_places, reranked_changes,
 ]
 
 

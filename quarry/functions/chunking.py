@@ -60,3 +60,20 @@ def chunk_table(docs: DataFrame, size: int, overlap: int, kind: str = "index", i
     source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.col(text_col) if kind == "index" else T.normalize(F.col(text_col))).alias("t"))
     rows = source.select("doc_id", F.posexplode(chunks("t", size, overlap, kind)).alias("chunk_index", "chunk"))
     return rows.select(T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "chunk")
+
+
+def sweep_table(docs: DataFrame, settings: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk_size, chunk_overlap, chunk_id, doc_id, chunk_index, chunk for every (size, overlap), each text read and normalised once."""
+    if any(size < overlap + BACK for size, overlap in settings):
+        raise ValueError("chunk size must be at least the overlap and 100")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [cuts(t, size, overlap, "sweep") for size, overlap in settings])
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    every = F.pandas_udf(run, "array<array<string>>")
+    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), T.normalize(F.col(text_col)).alias("t"))
+    sizes = F.array(*[F.struct(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap")) for size, overlap in settings])
+    by_size = source.select("doc_id", F.posexplode(every("t")).alias("which", "pieces")).select("doc_id", F.get(sizes, F.col("which")).alias("s"), "pieces")
+    rows = by_size.select("s.*", "doc_id", F.posexplode(F.filter(F.transform("pieces", T.strip), lambda x: x != "")).alias("chunk_index", "chunk"))
+    return rows.select("chunk_size", "chunk_overlap", T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "chunk")

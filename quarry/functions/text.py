@@ -49,6 +49,19 @@ def numbered(docs: Column) -> Column:
     return F.array_join(F.transform(docs, lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), d)), "\n\n")
 
 
+#: What stands between the documents of a context.
+BETWEEN = "\n\n"
+
+
+def join_context(docs: Column) -> Column:
+    return F.array_join(docs, BETWEEN)
+
+
+def split_context(context: Column) -> Column:
+    """The documents of a joined context; an empty one has none. A document that holds a blank line comes back in parts."""
+    return F.when(F.coalesce(context, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(context, BETWEEN))
+
+
 def preview(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 

@@ -66,18 +66,21 @@ def _ideal(n: Column) -> Column:
 
 
 def rank_metrics(run: DataFrame, qrels: DataFrame, k: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per labelled query: precision, recall, f1, mrr, ndcg, map of the first k results; queries without results score 0."""
-    keys = [*by, "query_id"]
-    n_rel = qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_rel"))
+    """Per labelled query: precision, recall, f1, mrr, ndcg, map of the first k results; queries without results score 0.
+
+    Labels hold for every configuration of ``by``, or have its columns too.
+    """
+    keys, own = [*by, "query_id"], [c for c in by if c in qrels.columns]
+    n_rel = qrels.groupBy(*own, "query_id").agg(F.countDistinct("doc_id").alias("n_rel"))
     judged = run if k is None else run.where(F.col("rank") <= k)
-    judged = judged.join(qrels.distinct().withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    judged = judged.join(qrels.distinct().withColumn("rel", F.lit(1)), [*own, "query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     hits = F.sum("rel").over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     judged = judged.withColumn("hits", hits)
     summed = judged.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum("rel").alias("hit"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
         F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"),
     )
-    base = n_rel if not by else run.select(*by).distinct().crossJoin(n_rel)  # few configurations
+    base = n_rel if len(own) == len(by) else run.select(*by).distinct().crossJoin(n_rel)  # few configurations
     out = base.join(summed, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     p, r = zero(F.col("hit") / F.col("n")), zero(F.col("hit") / F.col("n_rel"))
@@ -119,13 +122,13 @@ def interval(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*by, "n", "mean", F.coalesce("sd", F.lit(0.0)).alias("std"), (F.col("mean") - margin).alias("ci_low"), (F.col("mean") + margin).alias("ci_high"))
 
 
-def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
+def paired_t(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, t and the approximate p of the differences a - b; fewer than two pairs give (0, 1)."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
+    d = df.select(*by, (F.col(a) - F.col(b)).alias("d")).groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
     t = F.when(F.col("n") < 2, 0.0).when(F.col("s") == 0, F.when(F.col("m") != 0, float("inf")).otherwise(0.0)).otherwise(F.col("m") / (F.col("s") / F.sqrt("n")))
     ratio = F.abs(t) / (F.abs(t) + F.col("n") - 1)
     p = F.when(F.col("n") < 2, 1.0).when(F.col("s") == 0, F.when(F.col("m") != 0, 0.0).otherwise(1.0)).otherwise(2 * (1 - F.least(F.lit(0.9999), ratio)))
-    return d.select("n", t.alias("t_stat"), p.alias("p_approx"))
+    return d.select(*by, "n", t.alias("t_stat"), p.alias("p_approx"))
 
 
 def stars(p: Column) -> Column:

@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry import storage
 from quarry.functions import text as T
@@ -62,14 +61,18 @@ def of_terms(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def term_stats(tf: DataFrame, lengths: DataFrame) -> DataFrame:
     """term, df, idf, raw: a negative raw idf becomes EPSILON times the mean over all terms."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return weigh(tf.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n")))
+
+
+def weigh(df: DataFrame, n: DataFrame | int) -> DataFrame:
+    """term, df, idf, raw of counts (term, df) over n documents, a number or a table of one row."""
+    one = df.crossJoin(F.broadcast(n)) if isinstance(n, DataFrame) else df.withColumn("n", F.lit(n))
+    raw = one.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "raw")
 
 
-def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, score: str = "score", by: str | list[str] = "query_id", tie: str = "doc_id") -> DataFrame:
     """rank 1 to k by rounded score: Spark prunes each group before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.round(score, 9).desc(), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -79,89 +82,209 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 20, tokenize=T.to
     """The k best documents of each query (query_id, text); query terms count as often as they occur.
 
     docs is a table or an Index of it. While the weighted query terms are few they are broadcast, and
-    the postings of a common term stay where they are. With positive_only False, documents without any
-    query term compete with a score of 0 (the sweep's way): of those only the smallest ids can matter.
+    the postings of a common term stay where they are; beyond that the terms of most postings are dealt over
+    many tasks. With positive_only False, documents without any query term compete with a score of 0
+    (the sweep's way): of those only each query's k smallest ids can matter.
     """
     index = docs if isinstance(docs, Index) else Index.build(docs, tokenize)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    weighted = asked.join(index.stats, "term").select("query_id", "term", "df", (F.col("qtf") * F.col("idf")).alias("weight"))
     weighted = storage.write(weighted, "query-terms")
-    weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_ROWS else weighted
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average))
-    scored = index.postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    scored = meet(index.postings, weighted).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     if positive_only:
         return top_k(scored.where("score > 0"), k)
-    below = 0
-    if index.mean < 0:  # scored documents may lie below those without a term: as many more of these can matter
-        scored = storage.write(scored, "scores")
-        below = scored.where("score < 0").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    least = index.documents.orderBy("doc_id").limit(2 * k + below)
-    zero = queries.select("query_id").crossJoin(F.broadcast(least)).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(scored.unionByName(zero), k)
+    scored = storage.write(scored, "scores")
+    zero = without_score(storage.place(index.documents, "doc_id"), scored, queries.select("query_id"), k)
+    return top_k(scored.unionByName(zero.withColumn("score", F.lit(0.0))), k)
+
+
+#: A term with more postings than this is dealt over several tasks where the query terms are too many to broadcast.
+HOT_POSTINGS = 1 << 20
+
+
+def meet(postings: DataFrame, weighted: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+    """Postings joined to the written weighted query terms (with df): broadcast, or by term, a common term in df / HOT_POSTINGS parts."""
+    if weighted.count() <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(weighted.drop("df")), list(keys))
+    parts = F.ceil(F.col("df") / HOT_POSTINGS)
+    hot = weighted.where(parts > 1).groupBy(*keys).agg(F.max(parts).alias("parts"))  # at most all postings / HOT_POSTINGS terms
+    salted = postings.join(F.broadcast(hot), list(keys), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
+    asked = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("df")
+    return salted.join(asked, [*keys, "salt"]).drop("salt")
+
+
+def without_score(placed: DataFrame, scored: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each query (and group) its k smallest ids that have no score: what lies between the places of the scored ones.
+
+    placed (by, doc_id, place from 0 in each group), scored (by, query_id, doc_id). Of the gaps in a query's places
+    only the first k ids are written out, so nothing grows with queries times documents.
+    """
+    keys = [*by, "query_id"]
+    ends = placed.groupBy(*by).agg((F.max("place") + 1).alias("n"))  # one row a group
+    every = queries.crossJoin(F.broadcast(ends)).select(*keys, F.lit(-1).cast("long").alias("place"), "n")
+    last = every.select(*keys, F.col("n").alias("place"))
+    known = scored.select(*keys, "doc_id").join(placed, [*by, "doc_id"]).select(*keys, "place")
+    marks = every.select(*keys, "place").unionByName(known).unionByName(last)
+    w = Window.partitionBy(*keys).orderBy("place")
+    gaps = marks.withColumns({"low": F.col("place") + 1, "high": F.lead("place").over(w) - 1})
+    gaps = gaps.where("high >= low").withColumn("size", F.col("high") - F.col("low") + 1)
+    before = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    due = gaps.withColumn("due", F.least("size", F.lit(k) - F.coalesce(before, F.lit(0)))).where("due > 0")
+    places = due.select(*keys, F.explode(F.sequence("low", F.col("low") + F.col("due") - 1)).alias("place"))
+    return places.join(placed, [*by, "place"]).select(*keys, "doc_id")
+
+
+def bm25_by(docs: DataFrame, queries: DataFrame, by: str, k: int = 20, tokenize=T.tokens, positive_only: bool = True) -> DataFrame:
+    """As bm25, for all groups (column ``by`` of docs) at once: by, query_id, doc_id, score, rank. Statistics are those of a group's documents.
+
+    An id may recur in other groups. Groups are few: their totals are broadcast.
+    """
+    ids = docs.select(F.struct(F.col(by), F.col("doc_id")).alias("doc_id"), "text")
+    counted = storage.write(terms(storage.spread(ids), tokenize), "terms")
+    flat = counted.select(F.col(f"doc_id.{by}").alias(by), F.col("doc_id.doc_id").alias("doc_id"), "dl", "terms")
+    totals = flat.groupBy(by).agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
+    postings = flat.select(by, "doc_id", F.explode("terms").alias("t"), "dl").select(by, "doc_id", "t.term", "t.tf", "dl")
+    raw = postings.groupBy(by, "term").agg(F.count("*").alias("df")).join(F.broadcast(totals.select(by, "n")), by)
+    raw = storage.write(raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n"), "stats")
+    means = raw.groupBy(by).agg(F.avg("raw").alias("mean"))
+    idf = raw.join(F.broadcast(means), by).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighted = asked.join(idf, "term").join(F.broadcast(totals.select(by, "average")), by).select(by, "query_id", "term", "df", "average", (F.col("qtf") * F.col("idf")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
+    scored = meet(postings, storage.write(weighted, "query-terms"), (by, "term")).groupBy(by, "query_id", "doc_id").agg(F.sum(part).alias("score"))
+    if positive_only:
+        return top_k(scored.where("score > 0"), k, by=[by, "query_id"])
+    scored = storage.write(scored, "scores")
+    zero = without_score(storage.place(flat.select(by, "doc_id"), "doc_id", by=by), scored, queries.select("query_id"), k, (by,))
+    return top_k(scored.unionByName(zero.withColumn("score", F.lit(0.0))), k, by=[by, "query_id"])
+
+
+#: Bytes of query vectors that are broadcast, and of one side of a cell beyond that.
+VECTOR_BYTES = 32 << 20
+
+
+class _Best:
+    """The k best of each query so far, by group: ids and scores as arrays."""
+
+    def __init__(self, k: int):
+        self.k, self.of = k, {}
+
+    def add(self, group, docs: np.ndarray, scores: np.ndarray) -> None:
+        k, held = self.k, self.of.get(group)
+        all_docs, all_scores = np.broadcast_to(docs, scores.shape), scores
+        if held is not None:
+            all_docs, all_scores = np.concatenate((held[0], all_docs), 1), np.concatenate((held[1], all_scores), 1)
+        if all_scores.shape[1] > 4 * k:  # the kth best score bounds what is sorted
+            floor = np.partition(all_scores, -k, axis=1)[:, -k:].min(axis=1) - 1e-8
+            wide = int((all_scores >= floor[:, None]).sum(axis=1).max())
+            some = np.argpartition(-all_scores, wide - 1, axis=1)[:, :wide]
+            all_docs, all_scores = np.take_along_axis(all_docs, some, 1), np.take_along_axis(all_scores, some, 1)
+        order = np.lexsort((all_docs, -np.round(all_scores, 9)), axis=1)[:, :k]
+        self.of[group] = (np.take_along_axis(all_docs, order, 1), np.take_along_axis(all_scores, order, 1))
+
+    def meet(self, ids: np.ndarray, groups: np.ndarray | None, vectors: np.ndarray, matrix: np.ndarray, step: int = 1024) -> None:
+        """Vectors against all queries, some at a time."""
+        for group in [None] if groups is None else np.unique(groups):
+            at = np.arange(len(ids)) if groups is None else np.flatnonzero(groups == group)
+            for low in range(0, len(at), step):
+                some = at[low : low + step]
+                self.add(None if groups is None else group.item(), ids[some], np.round(matrix @ vectors[some].T, 12))
+
+    def rows(self, asked: pa.Array, names: list[str], group_type: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+        for group, (docs, scores) in self.of.items():
+            n = docs.shape[1]
+            columns = [asked.take(pa.array(np.repeat(np.arange(len(docs)), n))), pa.array(docs.ravel()), pa.array(scores.ravel())]
+            if group_type is not None:
+                columns.append(pa.array([group] * (n * len(docs)), group_type))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _one(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _vectors(column) -> np.ndarray:
+    column = _one(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _ids(column) -> np.ndarray:
+    column = _one(column)
+    return np.array(column.to_pylist(), np.str_) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else np.asarray(column)
+
+
+def vector_status(rows: DataFrame, size: int | Column) -> Column:
+    """Why a row's embedding can't be searched with: missing, invalid (another length, or an entry that is null or no number), else success."""
+    v = F.col("embedding")
+    bad = (F.size(v) != size) | F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+    return F.when(v.isNull(), "missing").when(bad, "invalid").otherwise("success")
+
+
+def dense_size(vectors: DataFrame) -> int:
+    """The length that most vectors have; of equally common ones the larger; 0 without any."""
+    row = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
+    return row.s if row else 0
+
+
+def dense_statuses(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, status of every query: those that aren't success have no result, and leave the others theirs."""
+    return queries.select("query_id", vector_status(queries, dense_size(vectors)).alias("status"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """The k best vectors (doc_id, embedding) for each query vector (query_id, embedding) by cosine.
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, by: str | None = None, vector_bytes: int = VECTOR_BYTES) -> DataFrame:
+    """The k best vectors (doc_id, embedding) for each query vector (query_id, embedding) by cosine, in each group of column ``by``.
 
-    Blocks of query vectors meet every partition as one matrix product; a partition sends the k best
-    of each query, so what is shuffled doesn't grow with a partition's rows.
+    While the query vectors are few they are broadcast and vectors stay where they are: a partition sends the k
+    best of each query. Beyond ``vector_bytes`` or ``block`` rows both sides are dealt on a grid of blocks; a cell holds one
+    block of either, and the cells' k best are merged. Rows whose vector is missing or invalid (dense_statuses)
+    are left out.
     """
-    unit = vectors.select("doc_id", T.l2_normalize(F.col("embedding")).alias("v"))
-    rows = queries.select("query_id", T.l2_normalize(F.col("embedding")).alias("v"))
-    out = None
-    chunk: list = []
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType
-    simple = query_type.simpleString() in ("bigint", "int", "string")
-
-    def search(part: list) -> DataFrame:
-        ids = [r.query_id for r in part]
-        held = vectors.sparkSession.sparkContext.broadcast((ids if simple else range(len(ids)), np.array([r.v for r in part], float)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            best: list | None = None
+    size = dense_size(vectors)
+    unit = lambda rows: rows.where(vector_status(rows, size) == "success").withColumn("v", T.l2_normalize(F.col("embedding")))
+    docs = unit(vectors).select("doc_id", "v", *([F.col(by).alias("g")] if by else []))
+    asked = unit(queries).select("query_id", "v")
+    names = ["query_id", "doc_id", "score", *([by] if by else [])]
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString(), "double", *([vectors.schema[by].dataType.simpleString()] if by else [])]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True))
+    n_asked, most = asked.count(), max(1, min(block, vector_bytes // max(1, 8 * size)))
+    group_type = (lambda t: t.column("g").type) if by else (lambda t: None)
+    if n_asked <= most:
+        held = vectors.sparkSession.sparkContext.broadcast(asked.toArrow())  # one bounded block
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, matrix, kind = _Best(k), None, None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                docs = np.asarray(batch.column(0)) if kind != "string" else np.array(batch.column(0).to_pylist(), np.str_)
-                scores = np.round(matrix @ np.array(batch.column(1).to_pylist(), float).T, 12)
-                all_docs, all_scores = np.broadcast_to(docs, scores.shape), scores
-                if best is not None:
-                    all_docs, all_scores = np.concatenate((best[0], all_docs), 1), np.concatenate((best[1], all_scores), 1)
-                if all_scores.shape[1] > 4 * k:  # the kth best score bounds what is sorted
-                    floor = np.partition(all_scores, -k, axis=1)[:, -k:].min(axis=1) - 1e-8
-                    wide = int((all_scores >= floor[:, None]).sum(axis=1).max())
-                    some = np.argpartition(-all_scores, wide - 1, axis=1)[:, :wide]
-                    all_docs, all_scores = np.take_along_axis(all_docs, some, 1), np.take_along_axis(all_scores, some, 1)
-                order = np.lexsort((all_docs, -np.round(all_scores, 9)), axis=1)[:, :k]
-                best = [np.take_along_axis(all_docs, order, 1), np.take_along_axis(all_scores, order, 1)]
-            if best is not None:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], ["query_id", "doc_id", "score"])
-
-        found = unit.mapInArrow(run, f"query_id {query_type.simpleString() if simple else 'bigint'}, doc_id {kind}, score double")
-        if simple:
-            return found
-        numbers = StructType([StructField("number", LongType()), StructField("asked", query_type)])
-        named = F.broadcast(vectors.sparkSession.createDataFrame(list(enumerate(ids)), numbers))  # one block
-        return found.join(named, F.col("query_id") == F.col("number")).select(F.col("asked").alias("query_id"), "doc_id", "score")
-
-    for row in rows.toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == block:
-            out = search(chunk) if out is None else out.unionByName(search(chunk))
-            chunk = []
-    if chunk or out is None:
-        out = search(chunk) if out is None else out.unionByName(search(chunk))
-    return top_k(out, k)
-
-
-def fuse(sparse: DataFrame, dense_run: DataFrame, weight: Column | float = 0.5, k: int | None = 20, by: tuple[str, ...] = ("query_id",), normalise: bool = True) -> DataFrame:
+                if batch.num_rows and held.value.num_rows:
+                    matrix, kind = _vectors(held.value["v"]) if matrix is None else matrix, group_type(batch)
+                    best.meet(_ids(batch.column("doc_id")), _ids(batch.column("g")) if by else None, _vectors(batch.column("v")), matrix)
+            yield from best.rows(_one(held.value["query_id"]), names, kind)
+
+        found = docs.mapInArrow(stream, schema)
+    else:
+        rows, across = max(1, vector_bytes // (8 * size)), -(-n_asked // most)
+        down = max(1, -(-docs.count() // rows))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("across", F.pmod(F.xxhash64("query_id", "v"), F.lit(across)).cast("int")).withColumn("down", every(down))
+        right = docs.withColumn("down", F.pmod(F.xxhash64("doc_id", "v"), F.lit(down)).cast("int")).withColumn("across", every(across))
+
+        def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = _Best(k)
+            if a.num_rows and b.num_rows:
+                best.meet(_ids(b["doc_id"]), _ids(b["g"]) if by else None, _vectors(b["v"]), _vectors(a["v"]))
+            parts = list(best.rows(_one(a["query_id"]), names, group_type(b)))
+            kind = [a["query_id"].type, b["doc_id"].type, pa.float64(), *([b["g"].type] if by else [])]
+            return pa.Table.from_batches(parts).cast(pa.schema(list(zip(names, kind)))) if parts else pa.schema(list(zip(names, kind))).empty_table()
+
+        found = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(cell, schema)
+    return top_k(found, k, by=[*([by] if by else []), "query_id"])
+
+
+def fuse(sparse: DataFrame, dense_run: DataFrame, weight: Column | float = 0.5, k: int | None = 20, by: tuple[str, ...] = ("query_id",), normalise: bool = True, rrf_k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion: (1 - w) / (60 + rank) and w / (60 + rank) summed, over the list's maximum."""
     w = F.lit(weight) if isinstance(weight, float | int) else weight
     both = sparse.withColumn("src", F.lit("s")).unionByName(dense_run.withColumn("src", F.lit("d")))
-    share = F.when(F.col("src") == "d", w).otherwise(1 - w) / (RRF_K + F.col("rank"))
+    share = F.when(F.col("src") == "d", w).otherwise(1 - w) / (rrf_k + F.col("rank"))
     summed = both.groupBy(*by, "doc_id").agg(F.sum(share).alias("raw"), F.max(F.col("src") == "s").alias("in_bm25"), F.max(F.col("src") == "d").alias("in_dense"))
     most = F.max("raw").over(Window.partitionBy(*by))
     score = F.when(most > 0, F.col("raw") / most).otherwise(0.0) if normalise else F.col("raw")

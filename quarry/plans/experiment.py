@@ -21,15 +21,18 @@ from quarry.operators import bundles, feedback
 from quarry.operators import evaluation as E
 from quarry.operators import scoring as C
 from quarry.operators import search as S
-from quarry.plans import models, rag, reports
+from quarry.plans import models, pareto, rag, reports
 from quarry.sources import tables
 
 MODULES = ("query_planner", "reranker", "generator")
 STEP = {"query_planner": "plan", "reranker": "rerank", "generator": "generate"}
-# Models that a step may ask, dimensions of embeddings by model, and the folders of an experiment.
+# Models that a step may ask, dimensions of embeddings by model, and the folders of an experiment, by what is written there.
 MODELS = ("gpt-4o-mini", "gpt-4o", "gpt-5-nano", "gpt-5-mini")
 DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
-FOLDERS = ("checkpoints", "metrics", "prompts/query_planner", "prompts/reranker", "prompts/generator", "traces", "analysis", "ablations", "latex", "per_example")
+FOLDERS = {
+    "checkpoint": "checkpoints", "metric": "metrics", "query_planner": "prompts/query_planner", "reranker": "prompts/reranker", "generator": "prompts/generator",
+    "trace": "traces", "analysis": "analysis", "ablation": "ablations", "latex": "latex", "example": "per_example",
+}
 LEAST_BUDGET, FAILURE_SCORE = 100, 0.0
 
 
@@ -50,16 +53,21 @@ class Config:
     seed: int = 42
     train_ratio: float = 0.6
     val_ratio: float = 0.2
+    test_ratio: float = 0.2
     chunk_size: int = 600
     chunk_overlap: int = 50
     retrieval_k: int = 20
     rerank_k: int = 10
     weight: float = 0.5
+    search: str = "pareto"
+    minibatch: int = pareto.MINIBATCH
     retry: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.model not in MODELS:
             raise ValueError(f"unknown model {self.model}: one of {', '.join(MODELS)}")
+        if self.train_ratio + self.val_ratio + self.test_ratio > 1 + 1e-9:
+            raise ValueError("the shares of training, validation and test add up to more than 1")
 
     def settings(self) -> dict:
         return {k: v for k, v in asdict(self).items() if k not in ("name", "output", "retry")}
@@ -72,6 +80,10 @@ class Config:
     def folder(self) -> str:
         return f"{self.output}/{self.id}"
 
+    def at(self, what: str) -> str:
+        """The folder of an experiment for one kind of result."""
+        return f"{self.folder}/{FOLDERS[what]}"
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
@@ -284,7 +296,7 @@ class GeneratorAdapter(_Adapter):
 
     def score(self, ran):
         asked = ran.join(self.corpus.truths.select("query_id", "ground_truth"), "query_id", "left")
-        judged = models.judge(asked, self.client, **self.config.retry).where("status = 'success'")
+        judged = models.judge(asked, self.client, **self.config.retry).where("status <> 'error'")
         return bundles.generator(judged.select("query_id", *models.JUDGED)).withColumn("score", F.col("generation_quality"))
 
     def record(self, scored):
@@ -307,18 +319,9 @@ def adapter(module: str, corpus: Corpus, client, config: Config, prompts: dict[s
     return ADAPTERS[module](corpus, client, config, prompts, module, **more)
 
 
-def optimise_module(of: _Adapter, train: DataFrame, validation: DataFrame, propose: Callable[[str, DataFrame], str], budget: int) -> dict:
-    """The record of a module's search for a better prompt.
-
-    propose(prompt, records) gives a candidate from reflections on training rows. Every evaluation of a
-    row counts against the budget (below 100 it is too small to tell much). The best candidate of the
-    training rows replaces the seed only if it is strictly better on the validation rows.
-    """
-    began, seed = time.time(), of.prompts[of.module]
-    n_train, n_val = train.count(), validation.count()
-    base = of.evaluate(validation, {of.module: seed})
-    base_mean = E.interval(base, "score").first()["mean"] or 0.0
-    best, best_scores, spent, tried = seed, of.evaluate(train, {of.module: seed}), n_train, []
+def _greedy(of: _Adapter, train: DataFrame, n_train: int, n_val: int, propose: Callable[[str, DataFrame], str], budget: int) -> tuple[str, list[dict]]:
+    """The best prompt by the training rows' mean, and what was tried: each candidate comes from the best one's records."""
+    best, best_scores, spent, tried = of.prompts[of.module], of.evaluate(train, {of.module: of.prompts[of.module]}), n_train, []
     best_mean = E.interval(best_scores, "score").first()["mean"] or 0.0
     while n_train and spent + n_train + n_val <= budget:
         prompt = propose(best, of.reflective(best_scores, [of.module]))
@@ -328,18 +331,44 @@ def optimise_module(of: _Adapter, train: DataFrame, validation: DataFrame, propo
         tried.append({"iteration": len(tried) + 1, "prompt": prompt, "score": mean, "accepted": mean > best_mean})
         if mean > best_mean:
             best, best_mean, best_scores = prompt, mean, scores
-    found = of.evaluate(validation, {of.module: best}) if best != seed else base
+    return best, tried
+
+
+SEARCHES = ("pareto", "greedy")
+
+
+def optimise_module(of: _Adapter, train: DataFrame, validation: DataFrame, propose: Callable[[str, DataFrame], str], budget: int, search: str = "greedy", minibatch: int = pareto.MINIBATCH, seed: int = 42) -> dict:
+    """The record of a module's search for a better prompt.
+
+    propose(prompt, records) gives a candidate from reflections on training rows. Every evaluation of a
+    row counts against the budget (below 100 it is too small to tell much). "pareto" draws parents from the
+    frontier of a pool and tries candidates on minibatches first; "greedy" climbs by the mean of all
+    training rows. The best candidate replaces the seed only if it is strictly better on the validation rows.
+    """
+    if search not in SEARCHES:
+        raise ValueError(f"unknown search {search}: one of {', '.join(SEARCHES)}")
+    began, first, more = time.time(), of.prompts[of.module], {}
+    base = of.evaluate(validation, {of.module: first})
+    base_mean = E.interval(base, "score").first()["mean"] or 0.0
+    if search == "pareto":
+        pool = pareto.search(of, first, train, validation, propose, budget, minibatch, random_seed=seed)
+        best, tried = pool.prompts[pool.best], pool.steps
+        more = {"candidates": [{"prompt": p, "parent": c, "mean": m} for p, c, m in zip(pool.prompts, pool.came_from, pool.means, strict=True)], "spent": pool.spent}
+    else:
+        best, tried = _greedy(of, train, train.count(), validation.count(), propose, budget)
+    found = of.evaluate(validation, {of.module: best}) if best != first else base
     mean = E.interval(found, "score").first()["mean"] or 0.0
-    reverted = best != seed and not mean > base_mean
+    reverted = best != first and not mean > base_mean
     if reverted:
-        best, found, mean = seed, base, base_mean
+        best, found, mean = first, base, base_mean
     ci = {k: E.interval(x, "score").first() for k, x in (("baseline", base), ("best", found))}
     both = found.select("query_id", F.col("score").alias("a")).join(base.select("query_id", F.col("score").alias("b")), "query_id")
     t = E.paired_t(both, "a", "b").first()
     return {
-        "module": of.module, "seed_prompt": seed, "best_prompt": best, "baseline": base_mean, "best": mean, "reverted": reverted, "low_budget": budget < LEAST_BUDGET, "seconds": time.time() - began,
+        "module": of.module, "seed_prompt": first, "best_prompt": best, "baseline": base_mean, "best": mean, "reverted": reverted, "low_budget": budget < LEAST_BUDGET, "seconds": time.time() - began,
         **{f"{k}_ci_lower": x.ci_low for k, x in ci.items()}, **{f"{k}_ci_upper": x.ci_high for k, x in ci.items()}, "improvement": mean - base_mean,
         "improvement_pct": (mean - base_mean) / base_mean * 100 if base_mean > 0 else 0.0, "t_stat": t.t_stat, "p_value": t.p_approx, "is_significant": t.p_approx < 0.05, "iterations": tried, "accepted": sum(x["accepted"] for x in tried),
+        "search": search, **more,
     }
 
 
@@ -352,24 +381,61 @@ def ablation_configs(seed: dict[str, str], best: dict[str, str]) -> dict[str, di
     return sets
 
 
+def run_configurations(configs: dict[str, dict[str, str]], test: DataFrame, corpus: Corpus, client, config: Config) -> DataFrame:
+    """config, query_id, the judged metrics, overall_quality of every configuration (a set of prompts) over the test rows, as one plan.
+
+    A step's rows are keyed by the prompts that it depends on: the planner's by its own, the reranker's by
+    both, the answer's by all three. Configurations that begin with the same prompts share those rows, so no
+    step is asked twice for the same prompts and query.
+    """
+    spark, known = test.sparkSession, sorted({p[m] for p in configs.values() for m in MODULES})
+    number = {text: f"p{i}" for i, text in enumerate(known)}
+    every = spark.createDataFrame([(name, *[number[p[m]] for m in MODULES]) for name, p in configs.items()], "config string, planner string, ranker string, writer string")
+    prompts = spark.createDataFrame([(number[t], t) for t in known], "number string, prompt string")
+    steps = ("planner", "ranker", "writer")
+
+    def asked(rows: DataFrame, depth: int) -> DataFrame:
+        """rows for each distinct run of a step, with its prompt and a key."""
+        of, before = list(steps[: depth + 1]), list(steps[:depth])
+        runs = every.select(*of).distinct().join(prompts, F.col(of[-1]) == F.col("number")).drop("number")  # a row a set of prompts
+        met = rows.join(F.broadcast(runs), before) if before else rows.crossJoin(F.broadcast(runs))
+        return met.withColumn("key", F.concat_ws(":", *of, F.col("query_id").cast("string")))
+
+    def answered(step: DataFrame, name: str, **columns) -> DataFrame:
+        return storage.write(step.select(F.col("query_id").alias("key"), *[F.col(c).alias(n) for n, c in columns.items()]), name)
+
+    keyed = lambda rows, *more: rows.select(F.col("key").alias("query_id"), "text", *more, "prompt")
+    first = storage.write(asked(test.select("query_id", "text"), 0), "asked")
+    planned = storage.write(models.plan(keyed(first), client, None, **config.retry), "planned")
+    lists = answered(run_retrieval(planned, corpus, config), "lists", listed="doc_ids", before="documents")
+    plans = planned.select(F.col("query_id").alias("key"), F.col("status").alias("planned"))
+    second = storage.write(asked(first.drop("prompt").join(lists, "key").join(plans, "key").drop("key"), 1), "to-rank")
+    lists_of = second.withColumnsRenamed({"listed": "doc_ids", "before": "documents"})
+    ranked = answered(models.rerank(keyed(lists_of, "doc_ids", "documents"), client, None, config.rerank_k, **config.retry), "ranked", documents="documents")
+    third = storage.write(asked(second.drop("prompt", "before").join(ranked, "key").drop("key"), 2), "to-answer")
+    written = storage.write(models.generate(keyed(third, "documents"), client, None, **config.retry), "written")
+    run = lists.join(first.select("key", "planner", "query_id"), "key").select("planner", "query_id", F.posexplode("listed").alias("rank", "doc_id"))
+    metrics = E.rank_metrics(run.withColumn("rank", F.col("rank") + 1), corpus.qrels, by=("planner",))
+    keys = third.select("key", "planner", "query_id")
+    truths = keys.join(corpus.truths, "query_id").select(F.col("key").alias("query_id"), "ground_truth")
+    found = metrics.join(keys, ["planner", "query_id"]).select(F.col("key").alias("query_id"), "precision", "recall")
+    judged = storage.write(rag.evaluate(written, truths, client, found, **config.retry).withColumnRenamed("query_id", "key"), "judged")
+    told = third.select("key", *steps, "query_id").join(judged, "key").drop("key")
+    return every.join(told, list(steps)).drop(*steps)
+
+
 def ablate(configs: dict[str, dict[str, str]], test: DataFrame, corpus: Corpus, client, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(one row a config: score, interval, gain and test against the first; scores by config and query). Queries are paired by id."""
-    scores = None
-    for name, prompts in configs.items():
-        one = evaluate_split(contexts(test, corpus, client, prompts, config), corpus, client, prompts, config)
-        one = one.select(F.lit(name).alias("config"), "query_id", F.col("overall_quality").alias("score"))
-        scores = one if scores is None else scores.unionByName(one)
-    scores = storage.write(scores, "ablation")
-    first = next(iter(configs))
-    base = scores.where(F.col("config") == first).select("query_id", F.col("score").alias("b"))
-    rows = None
-    for name in configs:  # four
-        mine = scores.where(F.col("config") == name)
-        i = E.interval(mine, "score").select(F.lit(name).alias("config"), F.coalesce("mean", F.lit(0.0)).alias("score"), "ci_low", "ci_high")
-        t = E.paired_t(mine.withColumnRenamed("score", "a").join(base, "query_id"), "a", "b")
-        row = i.crossJoin(t.select("t_stat", F.col("p_approx").alias("p_value"))).crossJoin(base.agg(F.coalesce(F.avg("b"), F.lit(0.0)).alias("base")))  # one row each
-        rows = row if rows is None else rows.unionByName(row)
-    out = rows.select("config", "score", "ci_low", "ci_high", (F.col("score") - F.col("base")).alias("gain"), "t_stat", "p_value", (F.col("p_value") < 0.05).alias("is_significant"))
+    """(one row a config, in their order: score, interval, gain and test against the first; scores by config and query). Queries are paired by id."""
+    told = run_configurations(configs, test, corpus, client, config)
+    scores = storage.write(told.select("config", "query_id", F.col("overall_quality").alias("score")), "ablation")
+    base = scores.where(F.col("config") == next(iter(configs))).select("query_id", F.col("score").alias("b"))
+    i = E.interval(scores, "score", ("config",)).withColumnRenamed("config", "c")
+    t = E.paired_t(scores.withColumnRenamed("score", "a").join(base, "query_id"), "a", "b", ("config",)).withColumnRenamed("config", "d")
+    order = test.sparkSession.createDataFrame([*enumerate(configs)], "place int, config string")  # one row a config
+    rows = order.join(i, F.col("config") == F.col("c"), "left").join(t, F.col("config") == F.col("d"), "left").crossJoin(base.agg(F.coalesce(F.avg("b"), F.lit(0.0)).alias("base")))
+    score, p = F.coalesce("mean", F.lit(0.0)), F.coalesce("p_approx", F.lit(1.0))
+    low, high = F.coalesce("ci_low", F.lit(0.0)), F.coalesce("ci_high", F.lit(0.0))
+    out = rows.orderBy("place").select("config", score.alias("score"), low.alias("ci_low"), high.alias("ci_high"), (score - F.col("base")).alias("gain"), F.coalesce("t_stat", F.lit(0.0)).alias("t_stat"), p.alias("p_value"), (p < 0.05).alias("is_significant"))
     return out, scores
 
 
@@ -381,7 +447,7 @@ def run(spark: SparkSession, config: Config, queries: DataFrame, corpus: Corpus,
     searched with the best prompts of those before it, whose contexts are made anew.
     """
     asked = E.split(first_queries(queries, config.n_queries), config.seed, (config.train_ratio, config.val_ratio))
-    at = f"{config.folder}/checkpoints"
+    at = config.at("checkpoint")
     state = tables.load_checkpoint(spark, at, resume_from - 1, config.settings()) if resume_from > 0 else None
     start = resume_from if state else 0
     ids = state["ids"] if state else {s: [str(r.query_id) for r in asked.where(F.col("split") == s).select("query_id").collect()] for s in ("train", "validation", "test")}
@@ -395,21 +461,23 @@ def run(spark: SparkSession, config: Config, queries: DataFrame, corpus: Corpus,
     for phase, module in enumerate(MODULES, 1):
         if start <= phase:
             made = adapter(module, corpus, client, config, state["prompts"])
-            record = optimise_module(made, of["train"], of["validation"], propose, config.budget)
+            record = optimise_module(made, of["train"], of["validation"], propose, config.budget, config.search, config.minibatch, config.seed)
             state = {**state, "prompts": with_prompt(state["prompts"], module, record["best_prompt"]), "modules": [*state["modules"], record]}
+            tables.write_text(spark, record["best_prompt"], f"{config.at(module)}/best.txt")
             tables.save_checkpoint(spark, at, phase, state, config.settings())
     if start <= 4:
-        table, scores = ablate(ablation_configs(state["seed"], state["prompts"]), of["test"], corpus, client, config)
+        sets = ablation_configs(state["seed"], state["prompts"])
+        table, scores = ablate(sets, of["test"], corpus, client, config)
         table = storage.write(table, "ablation-table")
         save_prompts(spark, f"{config.folder}/prompts", state["prompts"], "best")
-        state = {**state, "ablation": [r.asDict() for r in table.collect()]}
+        state = {**state, "ablation": sorted((r.asDict() for r in table.collect()), key=lambda r: list(sets).index(r["config"]))}
         report(spark, config, state, table, scores)
         tables.save_checkpoint(spark, at, 4, state, config.settings())
     return state
 
 
 def report(spark: SparkSession, config: Config, state: dict, ablation: DataFrame, scores: DataFrame) -> None:
-    """summary.json, the module and ablation tables as CSV and LaTeX, the configuration as LaTeX, scores by example."""
+    """summary.json; in their folders the module and ablation tables as CSV, LaTeX and JSON, the configuration as LaTeX, each search's trace, scores by example."""
     modules = spark.createDataFrame(
         [tuple(r[k] for k in ("module", "baseline", "baseline_ci_lower", "baseline_ci_upper", "best", "best_ci_lower", "best_ci_upper", "t_stat", "p_value", "is_significant")) for r in state["modules"]],
         "module string, baseline double, baseline_ci_lower double, baseline_ci_upper double, best double, best_ci_lower double, best_ci_upper double, t_stat double, p_value double, is_significant boolean",
@@ -417,10 +485,15 @@ def report(spark: SparkSession, config: Config, state: dict, ablation: DataFrame
     module_table, ablation_table = reports.module_table(modules), reports.ablation_table(ablation)
     settings = spark.createDataFrame([(k, str(v)) for k, v in config.settings().items()], "Setting string, Value string")
     for name, table in (("module_results", module_table), ("ablation_results", ablation_table)):
-        reports.write_csv(table, f"{config.folder}/metrics/{name}.csv")
+        reports.write_csv(table, f"{config.at('metric')}/{name}.csv")
     for name, table, caption in (("modules", module_table, "Modules"), ("ablation", ablation_table, "Ablation"), ("config", settings, "Configuration")):
-        tables.write_text(spark, reports.latex(table, caption, f"tab:{name}"), f"{config.folder}/latex/{name}.tex")
-    reports.write_examples(scores, f"{config.folder}/per_example")
+        tables.write_text(spark, reports.latex(table, caption, f"tab:{name}"), f"{config.at('latex')}/{name}.tex")
+    reports.write_examples(scores, config.at("example"))
+    for record in state["modules"]:
+        reports.write_json(spark, {k: record[k] for k in ("module", "search", "iterations", "candidates") if k in record}, f"{config.at('trace')}/{record['module']}.json")
+    told = ("module", "baseline", "best", "improvement", "improvement_pct", "t_stat", "p_value", "is_significant", "reverted", "accepted")
+    reports.write_json(spark, [{k: r[k] for k in told} for r in state["modules"]], f"{config.at('analysis')}/modules.json")
+    reports.write_json(spark, state["ablation"], f"{config.at('ablation')}/ablation.json")
     brief = {"experiment": config.id, "config": config.settings(), "baseline": state["baseline"], "ablation": state["ablation"], "modules": [{k: v for k, v in r.items() if k not in ("iterations", "seed_prompt", "best_prompt")} for r in state["modules"]]}
     reports.write_json(spark, brief, f"{config.folder}/summary.json")
 
@@ -434,10 +507,11 @@ def options(args: list[str] | None = None) -> tuple[Config, argparse.Namespace]:
     p.add_argument("--resume_from", type=int, default=0)
     p.add_argument("--model", default=MODELS[0])
     p.add_argument("--chunk_size_config")
-    for name, kind, default in (("n_queries", int, 100), ("budget", int, 100), ("seed", int, 42), ("train_ratio", float, 0.6), ("val_ratio", float, 0.2), ("chunk_size", int, 600), ("chunk_overlap", int, 50), ("retrieval_k", int, 20), ("rerank_k", int, 10)):
+    for name, kind, default in (("n_queries", int, 100), ("budget", int, 100), ("seed", int, 42), ("train_ratio", float, 0.6), ("val_ratio", float, 0.2), ("test_ratio", float, 0.2), ("max_concurrent", int, models.CONCURRENT), ("chunk_size", int, 600), ("chunk_overlap", int, 50), ("retrieval_k", int, 20), ("rerank_k", int, 10)):
         p.add_argument(f"--{name}", type=kind, default=default)
     a = p.parse_args(args)
-    return Config(a.experiment_name, a.output_dir, a.n_queries, a.budget, a.model, a.seed, a.train_ratio, a.val_ratio, a.chunk_size, a.chunk_overlap, a.retrieval_k, a.rerank_k), a
+    known = ("n_queries", "budget", "model", "seed", "train_ratio", "val_ratio", "test_ratio", "chunk_size", "chunk_overlap", "retrieval_k", "rerank_k")
+    return Config(a.experiment_name, a.output_dir, **{k: getattr(a, k) for k in known}, retry={"concurrent": a.max_concurrent}), a
 
 
 def load(spark: SparkSession, config: Config, a: argparse.Namespace) -> tuple[Config, DataFrame, Corpus]:

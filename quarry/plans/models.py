@@ -12,7 +12,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,7 +84,7 @@ class RuleClient:
         return {"faithfulness": of(asked["answer"], context), "answer_accuracy": of(truth, asked["answer"]), "context_precision": of(context, truth), "context_recall": of(truth, context)}
 
 
-def ask_rows(df: DataFrame, keep: list[str], need: list[str], one: Callable[[dict], dict], schema: str, fallback: Callable[[dict], dict], tries: int = 5, delay: float = 1.0) -> DataFrame:
+def ask_rows(df: DataFrame, keep: list[str], need: list[str], one: Callable[[dict], dict], schema: str, fallback: Callable[[dict], dict], tries: int = 5, delay: float = 1.0, concurrent: int = CONCURRENT) -> DataFrame:
     """The ``keep`` columns of df and what ``one`` makes of each row, with status and error."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     columns = [*keep, *[c for c in need if c not in keep]]
@@ -97,65 +97,73 @@ def ask_rows(df: DataFrame, keep: list[str], need: list[str], one: Callable[[dic
             except Exception as problem:  # the row's failure is its result
                 return {**{k: row[k] for k in keep}, **fallback(row), "status": "error", "error": str(problem)[:80]}
 
-        with ThreadPoolExecutor(CONCURRENT) as pool:
+        with ThreadPoolExecutor(concurrent) as pool:
             for frame in frames:
                 yield pd.DataFrame(list(pool.map(made, frame.to_dict("records"))), columns=out)
 
     return df.select(*columns).mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keep], schema, "status string, error string"]))
 
 
-def plan(queries: DataFrame, client: Client, prompt: str = PROMPTS["plan"], **retry) -> DataFrame:
+def _prompted(prompt: str | None) -> tuple[list[str], Callable[[dict], str]]:
+    """A step's prompt: one for all rows, or for None each row's own, in column ``prompt``."""
+    return (["prompt"], lambda row: row["prompt"]) if prompt is None else ([], lambda row: prompt)
+
+
+def plan(queries: DataFrame, client: Client, prompt: str | None = PROMPTS["plan"], **retry) -> DataFrame:
     """query_id, text, mode, queries: one query or several; the query itself on failure."""
+    need, of = _prompted(prompt)
 
     def one(row):
-        found = client.ask("plan", prompt, json.dumps({"query": row["text"]}))
+        found = client.ask("plan", of(row), json.dumps({"query": row["text"]}))
         asked = found["query"]
         return {"mode": found["mode"], "queries": [asked] if isinstance(asked, str) else list(asked)}
 
-    return ask_rows(queries, ["query_id", "text"], [], one, "mode string, queries array<string>", lambda r: {"mode": "reformulation", "queries": [r["text"]]}, **retry)
+    return ask_rows(queries, ["query_id", "text"], need, one, "mode string, queries array<string>", lambda r: {"mode": "reformulation", "queries": [r["text"]]}, **retry)
 
 
-def rerank(lists: DataFrame, client: Client, prompt: str = PROMPTS["rerank"], k: int = 10, **retry) -> DataFrame:
+def rerank(lists: DataFrame, client: Client, prompt: str | None = PROMPTS["rerank"], k: int = 10, **retry) -> DataFrame:
     """query_id, text, doc_ids, documents, scores of lists (query_id, text, doc_ids, documents): the k first after ranking.
 
-    A text that the model returns is the first listed document of that text; other texts have no id
-    and are left out. On failure the order stays.
+    Of equal texts the nth that the model returns is the nth listed; a text that was not listed, or not as
+    often, keeps its place and has a null id. On failure the order stays.
     """
+    need, of = _prompted(prompt)
 
     def one(row):
         docs, ids = list(row["documents"]), list(row["doc_ids"])
         if not docs:
             return {"doc_ids_ranked": [], "ranked": [], "scores": []}
-        filled = prompt.replace("{query}", row["text"]).replace("{num_documents}", str(len(docs)))
+        filled = of(row).replace("{query}", row["text"]).replace("{num_documents}", str(len(docs)))
         ranked = client.ask("rerank", filled, json.dumps({"query": row["text"], "documents": docs}))["ranked_documents"]
         at: dict = {}
         for i, d in enumerate(docs):
             at.setdefault(" ".join(d.split()), []).append(i)
-        places = [at[key].pop(0) for d in ranked if at.get(key := " ".join(d.split()))]
-        return {"doc_ids_ranked": [ids[i] for i in places][:k], "ranked": [docs[i] for i in places][:k], "scores": [1 - i / len(places) for i in range(len(places))][:k]}
+        places = [(at[key].pop(0) if at.get(key := " ".join(d.split())) else None, d) for d in ranked]
+        return {"doc_ids_ranked": [None if i is None else ids[i] for i, _ in places][:k], "ranked": [d if i is None else docs[i] for i, d in places][:k], "scores": [1 - i / len(places) for i in range(len(places))][:k]}
 
     def same(row):
         return {"doc_ids_ranked": list(row["doc_ids"])[:k], "ranked": list(row["documents"])[:k], "scores": [1 / (i + 1) for i in range(len(row["documents"]))][:k]}
 
     kind = lists.schema["doc_ids"].dataType.simpleString()
-    got = ask_rows(lists, ["query_id", "text"], ["doc_ids", "documents"], one, f"doc_ids_ranked {kind}, ranked array<string>, scores array<double>", same, **retry)
+    got = ask_rows(lists, ["query_id", "text"], ["doc_ids", "documents", *need], one, f"doc_ids_ranked {kind}, ranked array<string>, scores array<double>", same, **retry)
     return got.withColumnsRenamed({"doc_ids_ranked": "doc_ids", "ranked": "documents"})
 
 
-def generate(contexts: DataFrame, client: Client, prompt: str = PROMPTS["generate"], **retry) -> DataFrame:
+def generate(contexts: DataFrame, client: Client, prompt: str | None = PROMPTS["generate"], **retry) -> DataFrame:
     """query_id, text, documents with answer, reference, rationale; empty ones on failure."""
+    need, of = _prompted(prompt)
 
     def one(row):
         context = "\n\n".join(row["documents"])
-        filled = prompt.replace("{context}", context).replace("{query}", row["text"])
+        filled = of(row).replace("{context}", context).replace("{query}", row["text"])
         found = client.ask("generate", filled, json.dumps({"query": row["text"], "context": context}))
         return {x: found[x] for x in ("answer", "reference", "rationale")}
 
-    return ask_rows(contexts, ["query_id", "text", "documents"], [], one, "answer string, reference string, rationale string", lambda r: {"answer": "", "reference": "", "rationale": ""}, **retry)
+    return ask_rows(contexts, ["query_id", "text", "documents"], need, one, "answer string, reference string, rationale string", lambda r: {"answer": "", "reference": "", "rationale": ""}, **retry)
 
 
 def contextualize(chunks: DataFrame, docs: DataFrame, client: Client, prompt: str = PROMPTS["context"], **retry) -> DataFrame:
-    """chunk_id, doc_id, chunk_index, chunk, contextualized, has_context; the chunk alone where a call fails."""
+    """chunk_id, doc_id, chunk_index, chunk, context, contextualized, has_context, status; the chunk alone where a call fails."""
 
     def one(row):
         filled = prompt.replace("{document}", row["document"]).replace("{chunk}", row["chunk"])
@@ -163,11 +171,11 @@ def contextualize(chunks: DataFrame, docs: DataFrame, client: Client, prompt: st
 
     joined = chunks.join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
     got = ask_rows(joined, ["chunk_id", "doc_id", "chunk_index", "chunk"], ["document"], one, "context string", lambda r: {"context": ""}, **retry)
-    return got.select("chunk_id", "doc_id", "chunk_index", "chunk", T.with_context(F.col("context"), F.col("chunk")).alias("contextualized"), (F.coalesce("context", F.lit("")) != "").alias("has_context"))
+    return got.select("chunk_id", "doc_id", "chunk_index", "chunk", "context", T.with_context(F.col("context"), F.col("chunk")).alias("contextualized"), (F.coalesce("context", F.lit("")) != "").alias("has_context"), "status")
 
 
 def embed(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], size: int, id_col: str = "chunk_id", text_col: str = "chunk", batch: int = 512) -> DataFrame:
-    """id, embedding: blank texts, and batches that fail after the retries, have a zero vector."""
+    """id, embedding, status: blank texts (blank), and batches that fail after the retries (error), have a zero vector."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,29 +183,64 @@ def embed(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], siz
             texts = frame[text_col].tolist()
             made = [[0.0] * size for _ in texts]
             full = [i for i, t in enumerate(texts) if t and t.strip()]
+            status = ["blank"] * len(texts)
+            for i in full:
+                status[i] = "success"
             for at in range(0, len(full), batch):
                 part = full[at : at + batch]
                 try:
                     for i, v in zip(part, with_retry(lambda part=part: encode([texts[i] for i in part])), strict=True):
                         made[i] = [float(x) for x in v]
-                except Exception:  # noqa: S110 (the zero vectors stand)
-                    pass
-            yield pd.DataFrame({id_col: frame[id_col], "embedding": made})
+                except Exception:  # the zero vectors stand
+                    for i in part:
+                        made[i], status[i] = [0.0] * size, "error"
+            yield pd.DataFrame({id_col: frame[id_col], "embedding": made, "status": status})
+
+    return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, embedding array<double>, status string")
+
+
+class Metric(NamedTuple):
+    """What a judged metric needs of an answer; without it the metric is 0 and nobody is asked."""
+
+    name: str
+    contexts: bool
+    truth: bool
 
-    return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, embedding array<double>")
 
+#: The judged metrics. A caller may judge by others: any client that answers {name: value} will do.
+METRICS = (Metric("faithfulness", True, False), Metric("answer_accuracy", False, True), Metric("context_precision", True, True), Metric("context_recall", True, True))
 
-def judge(answers: DataFrame, client: Client, prompt: str = PROMPTS["judge"], **retry) -> DataFrame:
-    """answers (query_id, text, documents, answer, ground_truth) with the four judged metrics; 0 on failure.
 
-    Without a ground truth only faithfulness counts; without contexts that isn't judged.
+def judge_each(answers: DataFrame, client: Client, prompt: str = PROMPTS["judge"], metrics: tuple[Metric, ...] = METRICS, **retry) -> DataFrame:
+    """query_id, metric, value, status, error: one row, and one call with its own retries, for each answer and metric that is due.
+
+    answers are (query_id, text, documents, answer, ground_truth), a query_id once. A call that fails has value 0.
     """
+    contexts = F.filter(F.coalesce("documents", F.array().cast("array<string>")), lambda c: c.isNotNull() & (F.trim(c) != ""))
+    truth = F.trim(F.coalesce("ground_truth", F.lit("")))
+    due = [F.when((F.size(contexts) > 0 if m.contexts else F.lit(True)) & (truth != "" if m.truth else F.lit(True)), m.name) for m in metrics]
+    rows = answers.select("query_id", "text", contexts.alias("contexts"), "answer", F.nullif(truth, F.lit("")).alias("truth"), F.explode(F.array_compact(F.array(*due))).alias("metric"))
 
     def one(row):
-        contexts = [c for c in row["documents"] if c and c.strip()]
-        truth = (row["ground_truth"] or "").strip() or None
-        found = client.ask("judge", prompt, json.dumps({"query": row["text"], "answer": row["answer"] or "", "contexts": contexts, "ground_truth": truth}))
-        due = {"faithfulness": bool(contexts), "answer_accuracy": truth is not None, "context_precision": bool(truth and contexts), "context_recall": bool(truth and contexts)}
-        return {m: float(found[m]) if due[m] else 0.0 for m in JUDGED}
+        asked = {"query": row["text"], "answer": row["answer"] or "", "contexts": list(row["contexts"]), "ground_truth": row["truth"], "metric": row["metric"]}
+        return {"value": float(client.ask("judge", prompt, json.dumps(asked))[row["metric"]])}
+
+    return ask_rows(rows, ["query_id", "metric"], ["text", "contexts", "answer", "truth"], one, "value double", lambda r: {"value": 0.0}, **retry)
+
 
-    return ask_rows(answers, ["query_id", "text", "documents", "answer"], ["ground_truth"], one, ", ".join(f"{m} double" for m in JUDGED), lambda r: dict.fromkeys(JUDGED, 0.0), **retry)
+def judge(answers: DataFrame, client: Client, prompt: str = PROMPTS["judge"], metrics: tuple[Metric, ...] = METRICS, **retry) -> DataFrame:
+    """query_id, text, documents, answer, a column for each metric, status, error, failed (the names of the metrics whose call failed).
+
+    Metrics are judged one by one: a failure costs that metric, which is 0, and no other. status is
+    success, partial, or error where every call failed; error is a failed call's message.
+    """
+    each = judge_each(answers, client, prompt, metrics, **retry)
+    bad = F.col("status") == "error"
+    wide = each.groupBy(F.col("query_id").alias("q")).agg(
+        *[F.max(F.when(F.col("metric") == m.name, F.col("value"))).alias(m.name) for m in metrics],
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(bad, F.col("metric")))).alias("failed"), F.min(F.when(bad, F.col("error"))).alias("error"),
+    )
+    n_bad = F.coalesce(F.size("failed"), F.lit(0))
+    status = F.when(n_bad == 0, "success").when(n_bad < F.col("n"), "partial").otherwise("error")
+    joined = answers.select("query_id", "text", "documents", "answer").join(wide, F.col("query_id") == F.col("q"), "left")
+    return joined.select("query_id", "text", "documents", "answer", *[F.coalesce(m.name, F.lit(0.0)).alias(m.name) for m in metrics], F.when(F.col("n").isNull(), "success").otherwise(status).alias("status"), "error", F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))

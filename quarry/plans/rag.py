@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import storage
 from quarry.functions import chunking
 from quarry.functions import text as T
 from quarry.operators import evaluation as E
@@ -80,26 +81,28 @@ def optimise(seed: str, score: Callable[[str], DataFrame], propose: Callable[[st
     return best, tried
 
 
-def sweep(docs: DataFrame, queries: DataFrame, qrels: DataFrame, sizes: tuple[int, ...] = (256, 512, 1024, 2048), ratio: float = 0.1, k: int = 10, weight: float = 0.5, dense: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """chunk_size, chunk_overlap, num_chunks, avg_chunk_length and mean metrics of the first k, for every size.
+def sweep(docs: DataFrame, queries: DataFrame, qrels: DataFrame, sizes: tuple[int, ...] = (256, 512, 1024, 2048), ratio: float = 0.1, k: int = 10, weight: float = 0.5, dense: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, rrf_k: int = S.RRF_K) -> DataFrame:
+    """chunk_size, chunk_overlap, num_chunks, avg_chunk_length and mean metrics of the first k, for every size, as one plan.
 
-    dense(chunks, queries, depth) gives a run over chunk ids; without one the sparse list stands alone.
-    Queries without relevant chunks don't count.
+    Texts are read once for all sizes; statistics, lists and metrics have chunk_size among their keys.
+    dense(chunks, queries, depth) gives a run (chunk_size, query_id, doc_id, score, rank) over chunks (chunk_size, doc_id,
+    text, of), whose doc_id is the chunk's and ``of`` the document's; both lists are fused. Without it the sparse list
+    stands alone. Queries without relevant chunks don't count.
     """
-    out = None
-    for size in sizes:
-        overlap = int(size * ratio)
-        chunks = chunking.chunk_table(docs, size, overlap, "sweep")
-        texts = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk").alias("text"))
-        run = S.bm25(texts, queries, 2 * k, T.tokens_raw, positive_only=False)
-        if dense is not None:
-            run = S.fuse(run, dense(texts, queries, 2 * k), weight, k, normalise=False)
-        relevant = qrels.join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", F.col("chunk_id").alias("doc_id"))
-        means = E.rank_metrics(run, relevant, k).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("ndcg", "precision", "recall", "mrr", "f1")])
-        sizes_row = chunks.agg(F.count("*").alias("num_chunks"), F.coalesce(F.avg(F.length("chunk")), F.lit(0.0)).alias("avg_chunk_length"))
-        row = sizes_row.crossJoin(means).select(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), "*")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    settings = [(size, int(size * ratio)) for size in sizes]
+    chunks = storage.write(chunking.sweep_table(storage.spread(docs), settings), "sweep-chunks")
+    texts = chunks.select("chunk_size", F.col("chunk_id").alias("doc_id"), F.col("chunk").alias("text"), F.col("doc_id").alias("of"))
+    run = S.bm25_by(texts.drop("of"), queries, "chunk_size", 2 * k, T.tokens_raw, positive_only=False)
+    if dense is not None:
+        run = S.fuse(run, dense(texts, queries, 2 * k), weight, k, ("chunk_size", "query_id"), normalise=False, rrf_k=rrf_k)
+    relevant = qrels.join(chunks.select("chunk_size", "doc_id", "chunk_id"), "doc_id").select("chunk_size", "query_id", F.col("chunk_id").alias("doc_id"))
+    names = ("ndcg", "precision", "recall", "mrr", "f1")
+    means = E.rank_metrics(run, storage.write(relevant, "sweep-labels"), k, ("chunk_size",)).groupBy(F.col("chunk_size").alias("size")).agg(*[F.avg(m).alias(m) for m in names])
+    counted = chunks.groupBy("chunk_size").agg(F.count("*").alias("n"), F.avg(F.length("chunk")).alias("length"))
+    every = docs.sparkSession.createDataFrame(settings, "chunk_size int, chunk_overlap int")  # one row a size
+    found = every.join(counted, "chunk_size", "left").join(means, F.col("chunk_size") == F.col("size"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return found.select("chunk_size", "chunk_overlap", F.coalesce("n", F.lit(0)).alias("num_chunks"), F.coalesce("length", F.lit(0.0)).alias("avg_chunk_length"), *[zero(m) for m in names])
 
 
 def best_size(results: DataFrame) -> DataFrame:

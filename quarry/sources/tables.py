@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import warnings
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import chunking
+from quarry.functions import text as T
 
 DOCUMENTS = "id string, doc_id string, text string, content string, chunk_id string, chunk_index int, parent_doc_id string"
 QUERIES = "query_id string, query string, ground_truth string, reference_doc_ids array<string>, reference_chunk_ids array<string>, reference_evidence_texts array<string>"
@@ -73,14 +77,72 @@ def resolve_labels(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return direct.unionByName(as_chunk.select("query_id", "chunk_id")).unionByName(by_doc).distinct()
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, system = _file_system(spark, path)
+    return system.exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop, system = _file_system(spark, path)
+    system.delete(hadoop, True)
+
+
 def save_index(path: str, **tables: DataFrame) -> None:
-    """chunks, postings, lengths, embeddings: each a Parquet table below path."""
+    """chunks, postings, lengths, embeddings: each a Parquet table below path, and their manifest, written last."""
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        write_manifest(spark, path, {name: spark.read.parquet(f"{path}/{name}") for name in tables}, {})
+
+
+def load_index(spark: SparkSession, path: str, *names: str, make: dict[str, Callable[[], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """The tables of an index. With ``make`` they are verified: one that is missing or altered is made anew, or is an error if it can't be."""
+    if make is not None:
+        manifest = read_manifest(spark, path)
+        bad = [n for n in broken_parts(spark, path, manifest) if n in names]
+        for name in bad:
+            if name not in make:
+                raise ValueError(f"{name} of {path} is missing or altered")
+            make[name]().write.mode("overwrite").parquet(f"{path}/{name}")
+        if bad:
+            write_manifest(spark, path, {n: spark.read.parquet(f"{path}/{n}") for n in manifest["parts"]}, manifest["state"])
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
-def load_index(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def digest(table: DataFrame) -> dict:
+    """rows, and a sum of hashes over all columns that no order of rows changes."""
+    row = table.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)")).alias("sum")).first()
+    return {"rows": row.rows, "sum": str(row["sum"]), "schema": table.schema.simpleString()}
+
+
+def write_manifest(spark: SparkSession, path: str, parts: dict[str, DataFrame], state: dict) -> None:
+    """What each part of an index holds, and the state of the whole; a part that a manifest doesn't tell of isn't there yet."""
+    write_text(spark, json.dumps({"parts": {name: digest(table) for name, table in parts.items()}, "state": state}), f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    if not exists(spark, f"{path}/manifest/_SUCCESS"):
+        raise ValueError(f"{path} has no manifest: its build didn't end")
+    return json.loads(_unmarked(read_text(spark, f"{path}/manifest")))
+
+
+def broken_parts(spark: SparkSession, path: str, manifest: dict) -> list[str]:
+    """The parts that are missing, can't be read, or hold other rows than the manifest tells."""
+    bad = []
+    for name, told in manifest["parts"].items():  # a handful
+        try:
+            fine = digest(spark.read.parquet(f"{path}/{name}")) == told
+        except (AnalysisException, Py4JError, PySparkException):
+            fine = False
+        if not fine:
+            bad.append(name)
+    return bad
 
 
 def fingerprint(config: dict) -> str:
@@ -96,8 +158,7 @@ def cached_embeddings(spark: SparkSession, path: str, chunk_size: int, chunks: D
     content = chunks.agg(F.count("*").alias("n"), F.sum(F.xxhash64("chunk_id", "chunk").cast("decimal(38,0)")).alias("h")).first()
     key = fingerprint({"model": model, "overlap": overlap, "n": content.n, "hash": str(content.h)})[:16]
     folder = f"{path}/chunk_size={chunk_size}/{key}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder + "/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, folder + "/_SUCCESS"):
         make(chunks).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
 
@@ -109,8 +170,7 @@ def save_checkpoint(spark: SparkSession, folder: str, phase: int, state: dict, c
 def load_checkpoint(spark: SparkSession, folder: str, phase: int, config: dict) -> dict | None:
     """The state of a phase, None without one; another configuration's gives a warning."""
     path = f"{folder}/checkpoint_phase_{phase}.json"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return None
     state = json.loads(_unmarked(read_text(spark, path)))
     if state["config_hash"] != fingerprint(config):
@@ -125,6 +185,18 @@ def restore_queries(queries: DataFrame, ids: list[str]) -> DataFrame:
     return queries.join(F.broadcast(listed), queries["query_id"].cast("string") == listed["query_id"]).drop(listed["query_id"]).orderBy("place")
 
 
+def labels_by_hash(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """hash, doc_id: labels of queries (query_id, text) registered under their hash, so that a query finds them by its text. Labels of equal queries are joined."""
+    hashed = queries.select("query_id", T.query_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return qrels.join(hashed, "query_id").select("hash", "doc_id").distinct()
+
+
+def registered(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id, doc_id of queries (query_id, text) whose text has registered labels, whatever their ids were then."""
+    hashed = asked.select("query_id", T.query_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return hashed.join(labels, "hash").select("query_id", "doc_id")
+
+
 def missing_from_cache(queries: DataFrame, cache: DataFrame, key: str = "hash") -> DataFrame:
     return queries.join(cache.select(key), key, "left_anti")
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _MADE: dict[tuple, str] = {}
 
@@ -61,3 +62,17 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if size <= LIGHT * cores else df
+
+
+def place(df: DataFrame, *order: str, by: str | None = None, name: str = "place") -> DataFrame:
+    """df with its place (from 0) in the order of the columns, in each group of ``by``: a range sort, counted a part at a time."""
+    keys = [*([by] if by else []), *order]
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    parts = write(parts, "ordered").withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND((1 << 33) - 1))
+    w = Window.partitionBy(F.lit(0)).orderBy("__part")  # one row a part
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(w) - F.col("__n")).drop("__n")
+    placed = parts.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__in"))
+    if by:
+        first = placed.groupBy(by).agg(F.min(name).alias("__first"))  # one row a group
+        placed = placed.join(F.broadcast(first), by).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+    return write(placed.drop("__at", "__part", "__in", "__before"), "placed")

@@ -189,3 +189,41 @@ def test_retry_only_what_may_pass():
     with pytest.raises(KeyError):
         models.with_retry(bug, sleep=lambda s: None)
     assert len(calls) == 1 and models.retryable(TimeoutError()) and models.retryable(Exception("Rate limit reached"))
+
+
+class Logged(Prompted):
+    """Writes every call down, with its prompt."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def ask(self, task, prompt, text):
+        with open(self.path, "a") as f:
+            f.write(json.dumps([task, prompt, text]) + "\n")
+        return super().ask(task, prompt, text)
+
+
+def test_no_step_is_asked_twice(spark, tmp_path):
+    config = X.Config(retrieval_k=4, rerank_k=2, retry=RETRY)
+    seed = X.default_prompts()
+    best = {m: p + " best" for m, p in seed.items()}
+    sets = X.ablation_configs(seed, best)
+    test = queries(spark).where("query_id < 5")
+    table, scores = X.ablate(sets, test, corpus(spark), Logged(tmp_path / "calls"), config)
+    calls = [tuple(json.loads(x)) for x in (tmp_path / "calls").read_text().splitlines()]
+    by_task = {t: [c for c in calls if c[0] == t] for t in ("plan", "rerank", "generate", "judge")}
+    assert {t: len(c) for t, c in by_task.items()} == {"plan": 10, "rerank": 15, "generate": 20, "judge": 80}
+    assert len({c[1:] for c in by_task["plan"]}) == 10
+    # The same figures as one configuration after the other.
+    for name, prompts in sets.items():
+        alone = X.evaluate_split(X.contexts(test, corpus(spark), Prompted(), prompts, config), corpus(spark), Prompted(), prompts, config)
+        want = {r.query_id: r.overall_quality for r in alone.collect()}
+        assert {r.query_id: r.score for r in scores.where(F.col("config") == name).collect()} == pytest.approx(want)
+    rows = {r.config: r for r in table.collect()}
+    assert list(rows) == list(sets) and rows["baseline"].gain == 0 and rows["baseline"].p_value == 1 and rows["M1+M2"].score == pytest.approx(rows["M1+M2+M3"].score)
+
+
+def test_ablation_of_nothing(spark):
+    config = X.Config(retrieval_k=4, rerank_k=2, retry=RETRY)
+    table, scores = X.ablate({"a": X.default_prompts(), "b": X.default_prompts()}, queries(spark).limit(0), corpus(spark), models.RuleClient(), config)
+    assert [(r.config, r.score, r.p_value) for r in table.collect()] == [("a", 0.0, 1.0), ("b", 0.0, 1.0)] and scores.count() == 0
