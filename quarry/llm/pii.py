@@ -7,17 +7,20 @@ distinct entities distinct and one entity one, in all documents and on all execu
 of what has been seen; it has no fixed point, so nothing stays as it was. ``collisions`` checks that
 over a whole corpus: no two entities of a kind with one surrogate, no entity with two.
 
-Names are found after an honorific, and where a listed first name precedes a capitalised word; their
-words are then replaced wherever they stand alone in the same document, each by the same surrogate.
+Names are found after an honorific, and where a listed first name precedes a capitalised word, on one line; a
+function word ends a name, a possessive 's is no part of it. Their words are then replaced wherever they
+stand alone in the same document, each by the same surrogate.
 
 The permutation of a set of n forms, numbered 0 to n - 1, is x -> D(E(x) + c mod n), where E is a
-Feistel network with keyed rounds, walked until it falls below n, D its inverse and c a keyed shift
-from 1 to n - 1.
+Feistel network with keyed rounds as wide as its halves, walked until it falls below n, D its inverse and
+c a keyed shift from 1 to n - 1. A longer entity is permuted in blocks, forward and back, each under a tweak
+that holds all that lies before it in its direction: every place depends on the whole, at any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -71,28 +74,52 @@ def letters_like(c: str) -> str | None:
     return "".join(x for x in map(chr, range(row, row + 64)) if _steady(x, category))
 
 
-_NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+(?!\w)"
+# Words that no name has, in the languages of the honorifics.
+FUNCTION_WORDS = frozenset("""a about after all also am an and are as at be because before but by can did do does for from had has have he her here his how i if in into is it its me my no not of on one or our she so some that the their them then there these they this those to too was we were what when where which while who why with you your
+aber als am auch auf aus bei bin bist das dass dem den der des die doch du ein eine einen einer er es für hat ich ihr im ist mit nach nicht noch oder sie sind und uns von war warum was wenn wer wie wir wo zu zum zur
+au aux avec ce ces cette dans de des du elle elles en est et eux il ils je la le les leur leurs mais nous où ou par pas pour puis que qui sa ses son sont sur tu un une vous
+al como con cuando del donde el ella ellos era esta este los las más muy nos para pero por porque qué que se si sin su sus también un una yo""".split())
+
+_NAME = r"[^\W\d_](?:[^\W\d_]|(?!['’][sS](?!\w))['’-](?=[^\W\d_]))+(?!\w)"
+#: What may stand between the words of a name: a line's end may not.
+_GAP = "[ \\t\\xa0]"
 #: Patterns in order of precedence where two begin at one place; the group "it", where there is one, is the entity.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)["']?\s*[:=]\s*["']?(?P<it>[A-Za-z0-9_\-+/=]{8,})""",
+    "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)["']?(?:\s+is)?\s*[:=]\s*["']?(?P<it>[A-Za-z0-9_\-+/=]{8,})""",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "number": r"(?<![\w.-])\d(?:[ -]?\d){8,18}(?![\w-])",
     "passport": r"(?i:\bpassport(?: no\.?| number)?)[:#\s]{1,3}(?P<it>[A-Z]{1,2}\d{6,8})(?!\w)",
     "address": r"(?<![\w.-])\d{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|Avenue|Road|Lane|Boulevard|Drive)\b",
-    "name": rf"(?i:\b(?:{'|'.join(HONORIFICS)})\b)\.?\s(?P<it>(?=[^\W\d_])(?-i:{_NAME}(?:\s{_NAME}){{0,2}}))",
+    "name": rf"(?i:\b(?:{'|'.join(HONORIFICS)})\b)\.?{_GAP}(?P<it>(?=[^\W\d_])(?-i:{_NAME}(?:{_GAP}{_NAME}){{0,2}}))",
 }
 #: A listed first name, as it is or in capitals, before another capital (letters first: that makes the search fast), and up to three words of one line.
 _FIRST = re.compile("(?:" + "|".join(re.escape(x) for names in FIRST_NAMES.values() for name in names for x in (name, name.upper())) + r")(?=[ \t\xa0][^\W\d_a-z])")
-_ON_LINE = re.compile(rf"(?:{_NAME})(?:[ \t\xa0](?:{_NAME})){{1,2}}")
+_ON_LINE = re.compile(rf"(?:{_NAME})(?:{_GAP}(?:{_NAME})){{1,2}}")
 _WORD = re.compile(rf"(?<![\w])(?:{_NAME})")
 
 
-def _round(key: bytes, tweak: str, i: int, value: int) -> int:
-    return int.from_bytes(hashlib.blake2b(b"%d|%d|" % (i, value) + tweak.encode(), key=key, digest_size=32).digest(), "big")
+#: A round is one block of the hash up to so many bits, and a stream of it beyond.
+HASH_BITS = 256
+#: Digits that are permuted together; a longer list is taken in blocks.
+BLOCK = 512
+
+
+def _bytes(value: int) -> bytes:
+    return value.to_bytes((value.bit_length() + 7) // 8, "big")
+
+
+def _round(key: bytes, tweak: str, i: int, value: int, bits: int = HASH_BITS) -> int:
+    """A keyed number of at least so many bits."""
+    if bits <= HASH_BITS:
+        return int.from_bytes(hashlib.blake2b(b"%d|%d|" % (i, value) + tweak.encode(), key=key, digest_size=32).digest(), "big")
+    told = tweak.encode()
+    stream = hashlib.shake_256(key + b"%d|%d|%d|" % (i, bits, len(told)) + told + _bytes(value))
+    return int.from_bytes(stream.digest((bits + 7) // 8), "big")
 
 
 def _feistel(key: bytes, tweak: str, n: int, x: int, forward: bool) -> int:
@@ -103,9 +130,9 @@ def _feistel(key: bytes, tweak: str, n: int, x: int, forward: bool) -> int:
         left, right = x >> half, x & mask
         for i in range(ROUNDS) if forward else reversed(range(ROUNDS)):
             if forward:
-                left, right = right, left ^ (_round(key, tweak, i, right) & mask)
+                left, right = right, left ^ (_round(key, tweak, i, right, half) & mask)
             else:
-                left, right = right ^ (_round(key, tweak, i, left) & mask), left
+                left, right = right ^ (_round(key, tweak, i, left, half) & mask), left
         x = left << half | right
         if x < n:
             return x
@@ -115,14 +142,16 @@ def permute(key: bytes, tweak: str, n: int, x: int) -> int:
     """Where x of 0 .. n - 1 goes: never to itself if n is over 1."""
     if n < 2:
         return x
-    shift = 1 + _round(key, tweak, -1, n) % (n - 1)
+    bits = n.bit_length()
+    shift = 1 + _round(key, tweak, -1, n, bits + 64 if bits > 2 * HASH_BITS else HASH_BITS) % (n - 1)
     return _feistel(key, tweak, n, (_feistel(key, tweak, n, x, True) + shift) % n, False)
 
 
 def _mixed(key: bytes, tweak: str, radices: list[int], digits: list[int]) -> list[int]:
     """Permutes all lists of digits below radices."""
-    n = x = 0
-    n = 1
+    if len(digits) > BLOCK:
+        return _chained(key, tweak, radices, digits)
+    n, x = 1, 0
     for r, d in zip(radices, digits, strict=True):
         n, x = n * r, x * r + d
     x = permute(key, f"{tweak}|{radices}", n, x)
@@ -133,6 +162,20 @@ def _mixed(key: bytes, tweak: str, radices: list[int], digits: list[int]) -> lis
     return out[::-1]
 
 
+def _chained(key: bytes, tweak: str, radices: list[int], digits: list[int]) -> list[int]:
+    """A permutation of long lists: block by block from the front, then from the back, each under what precedes it."""
+    whole = hashlib.blake2b(f"{tweak}|{radices}".encode(), digest_size=32).hexdigest()
+    starts = range(0, len(digits), BLOCK)
+    for turn, order in enumerate((starts, reversed(starts))):
+        before, out = hashlib.blake2b(b"%d" % turn, digest_size=32), list(digits)
+        for at in order:
+            part = slice(at, at + BLOCK)
+            out[part] = _mixed(key, f"{whole}|{turn}|{at}|{before.hexdigest()}", radices[part], digits[part])
+            before.update(b",".join(b"%d" % d for d in digits[part]) + b";")
+        digits = out
+    return digits
+
+
 def _shape(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str:
     """Permutes the digits and letters of a lower-case text, each within its class; all else stays and is part of the shape."""
     classes = ["0123456789abcdef" if hexadecimal and c in "0123456789abcdef" else "0123456789" if c in "0123456789" else letters_like(c) for c in text]
@@ -190,6 +233,12 @@ def _ip(key: bytes, old: str) -> str:
     return ".".join(map(str, _mixed(key, "ip", [256] * 4, [int(x) for x in old.split(".")])))  # 01 is 1
 
 
+def _ipv6(key: bytes, old: str) -> str:
+    """An address in full, however it is written; link-local and other prefixes are not kept."""
+    groups = [int(g, 16) for g in ipaddress.IPv6Address(old).exploded.split(":")]
+    return ":".join(f"{g:x}" for g in _mixed(key, "ipv6", [65536] * 8, groups))
+
+
 def _iban(key: bytes, old: str) -> str:
     flat = old.replace(" ", "")
     body = _shape(key, "iban" + flat[:2], flat[4:].lower()).upper()
@@ -246,7 +295,7 @@ def _name(key: bytes, old: str) -> str:
     return re.sub(_NAME, lambda m: _word(key, m[0]), old)
 
 
-MAKERS: dict[str, Callable[[bytes, str], str]] = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "ssn": lambda k, x: _pour(_digits(k, "ssn", x.replace("-", "")), x), "phone": _phone, "number": _number, "passport": _passport, "address": _address, "name": _name}
+MAKERS: dict[str, Callable[[bytes, str], str]] = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "ipv6": _ipv6, "ssn": lambda k, x: _pour(_digits(k, "ssn", x.replace("-", "")), x), "phone": _phone, "number": _number, "passport": _passport, "address": _address, "name": _name}
 
 
 def canonical(kind: str, text: str) -> str:
@@ -256,12 +305,21 @@ def canonical(kind: str, text: str) -> str:
         return digits[-10:] if kind == "phone" else digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
     return re.sub(r"\s+", "" if kind == "iban" else " ", low(text))
 
 
 def _opens(word: str) -> bool:
-    """Whether a word may be a name's: it begins with a capital, or its script has none."""
-    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
+    """Whether a word may be a name's: it begins with a capital, or its script has none, and it is no function word."""
+    return (word[0].isupper() or unicodedata.category(word[0]) == "Lo") and low(word) not in FUNCTION_WORDS
+
+
+def _is_ipv6(text: str) -> bool:
+    try:
+        return int(ipaddress.IPv6Address(text)) > 1  # neither :: nor ::1
+    except ValueError:
+        return False
 
 
 _DIGIT, _SECRET_MARKS = re.compile(r"[0-9]"), ("token", "secret", "passw", "key")
@@ -277,19 +335,21 @@ class Surrogates:
         """(start, end, kind) of the entities, none overlapping: the earliest first, then by precedence."""
         found = []
         plain, digits = text.lower(), _DIGIT.search(text) is not None
-        may = {"email": "@" in text, "secret": any(x in plain for x in _SECRET_MARKS), "name": True, "passport": digits and "passport" in plain}
+        may = {"email": "@" in text, "secret": any(x in plain for x in _SECRET_MARKS), "name": True, "passport": digits and "passport" in plain, "ipv6": "::" in text or text.count(":") > 6}
         for rank, (kind, pattern) in enumerate(self.patterns):
             if not may.get(kind, digits):  # what every match must hold
                 continue
             for m in pattern.finditer(text):
                 start, end = m.span("it") if "it" in pattern.groupindex else m.span()
+                if kind == "ipv6" and not _is_ipv6(m[0]):
+                    continue
                 if kind == "name":
-                    kept = re.match(rf"{_NAME}(?:\s{_NAME})*", text[start:end])
+                    kept = re.match(rf"{_NAME}(?:{_GAP}{_NAME})*", text[start:end])
                     words = kept[0].split() if kept else []
                     n = next((i for i, w in enumerate(words) if not _opens(w)), len(words))
                     if not n:
                         continue
-                    end = start + len(re.match(rf"{_NAME}(?:\s{_NAME}){{{n - 1}}}", text[start:end])[0])
+                    end = start + len(re.match(rf"{_NAME}(?:{_GAP}{_NAME}){{{n - 1}}}", text[start:end])[0])
                 found.append((start, rank, end, kind))
         found += self._bare_names(text)
         out, at = [], 0
@@ -305,8 +365,8 @@ class Surrogates:
             start = first.start()
             m = None if start and (text[start - 1].isalnum() or text[start - 1] in "_'’-") else _ON_LINE.match(text, start)
             words = [*_WORD.finditer(text, start, m.end())] if m else []
-            if len(words) > 1 and words[0][0] == first[0] and words[1][0][0].isupper() and words[1][0] != words[0][0]:
-                last = 2 if len(words) > 2 and words[2][0][0].isupper() else 1
+            if len(words) > 1 and words[0][0] == first[0] and words[1][0][0].isupper() and _opens(words[1][0]) and words[1][0] != words[0][0]:
+                last = 2 if len(words) > 2 and words[2][0][0].isupper() and _opens(words[2][0]) else 1
                 yield start, len(self.patterns), words[last].end(), "name"
 
     def _carried(self, text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

@@ -64,3 +64,52 @@ def test_corpus_check_and_edges(spark):
     assert long.n_entities == 20_000 and long.n_distinct == 1
     assert pii.collisions(docs, "k").count() == 0 and pii.collisions(docs.limit(0), "k").count() == 0
 
+
+
+def test_entities_of_any_length():
+    """No character of a long entity stays in place beyond chance, one changed character changes all, and nothing stops."""
+    rng = random.Random(2)
+    for length in (10, 60, 200, 400, 1000, 2000, 6000, 100_000):
+        old = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=length))
+        new = S.replace(f"token={old} end")[0][6:-4]
+        assert len(new) == length and [c.isdigit() for c in new] == [c.isdigit() for c in old]
+        kept = sum(a == b for a, b in zip(old, new))
+        assert kept < length * 0.13 + 5 * length**0.5, (length, kept)
+        assert not any(old[i : i + 12] == new[i : i + 12] for i in range(0, length - 12, 6))
+        at = rng.randrange(length)
+        other = old[:at] + ("1" if old[at] == "0" else "0" if old[at].isdigit() else "q" if old[at].lower() == "x" else "x") + old[at + 1 :]
+        again = S.replace(f"token={other} end")[0][6:-4]
+        if [c.isdigit() for c in other] == [c.isdigit() for c in old] and length > 60:
+            assert again != new and sum(a == b for a, b in zip(again, new)) < length * 0.2 + 5 * length**0.5
+    digits = "".join(rng.choices("0123456789", k=5000))
+    assert S.replace(f"mail {digits}@x.org")[0].split("@")[0][5:] != digits
+
+
+def test_long_lists_are_permuted(monkeypatch):
+    """Blocks: every list of a small space has an image of its own."""
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    lists = [[a, b, c, d, e] for a in range(3) for b in range(2) for c in range(4) for d in range(2) for e in range(3)]
+    images = {tuple(pii._mixed(S.key, "t", [3, 2, 4, 2, 3], x)) for x in lists}
+    assert images == {tuple(x) for x in lists}
+
+
+def test_names_end_with_their_line_and_before_function_words():
+    new, kinds, _ = S.replace("Signed, Mr. Smith\nThe dog ran. The cat sat. The end.")
+    assert kinds == ["name"] and new.endswith("\nThe dog ran. The cat sat. The end.") and "Smith" not in new
+    new, kinds, _ = S.replace("Mrs. Jones The house. The end. Herr\nMeyer")
+    assert kinds == ["name"] and new.endswith(" The house. The end. Herr\nMeyer") and "Jones" not in new
+    assert S.replace("John The man came") == ("John The man came", [], 0)
+
+
+def test_possessives_are_the_same_person():
+    new, kinds, distinct = S.replace("Mr. Smith met Smith's wife. Smith left. Mr. Smith’s dog; Mrs. O'Neil's cat, O'Neil")
+    words = new.replace(".", "").replace(";", "").replace(",", "").split()
+    assert "Smith" not in new and "Neil" not in new and kinds == ["name"] * 6 and distinct == 2
+    assert words[1] == words[5] and words[3] == words[1] + "'s" and words[8] == words[1] + "’s" and words[11].endswith("'s") and words[13] == words[11][:-2]
+
+
+def test_version_six_addresses_and_worded_secrets():
+    new, kinds, distinct = S.replace("2001:db8::1 is 2001:0DB8:0:0:0:0:0:1, not fe80::abcd; ::1 stays, at 10:20:30, a::b::c. password is: hunter2hunter2")
+    parts = new.split()
+    assert kinds == ["ipv6", "ipv6", "ipv6", "secret"] and distinct == 3 and parts[0] == parts[2].rstrip(",") != parts[4].rstrip(";")
+    assert "db8" not in new.lower().split("::1")[0] and "::1 stays, at 10:20:30" in new and "hunter2" not in new
