@@ -16,7 +16,7 @@ from quarry.functions import text as T
 from quarry.operators import answers as A
 from quarry.operators import bundles
 from quarry.operators import evaluation as E
-from quarry.operators import feedback, reranked, sampling
+from quarry.operators import feedback, impacts, reranked, sampling
 from quarry.operators import scoring as C
 from quarry.operators import search as S
 from quarry.plans import models, pareto, rag, reports
@@ -221,11 +221,10 @@ def prefix_key(spark, d):
     return _docs(spark, d).where("text <> ''").groupBy(F.substring("text", 1, 200).alias("prefix")).agg(F.min("doc_id").alias("first_doc"))
 
 
-@_q(f"""WITH t AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY 1),
-r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM t, (SELECT count(*) AS n FROM documents)), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m""")
+@_q(f"WITH {_bm25_sql()} SELECT df, count(*) AS n_terms, sum(length(term))::BIGINT AS n_chars, min(term) AS first_term, max(term) AS last_term, round(min(idf), 6) AS idf FROM idf GROUP BY df")
 def bm25_stats(spark, d):
-    return _index(spark, d).stats.select("term", "df", _r("idf"))
+    """The statistics of all terms, by document frequency: terms of one frequency have one idf."""
+    return _index(spark, d).stats.groupBy("df").agg(F.count("*").alias("n_terms"), F.sum(F.length("term")).alias("n_chars"), F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.round(F.min("idf"), 6).alias("idf"))
 
 
 @_q(f"WITH {_bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
@@ -233,6 +232,18 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", "rank", _r("score"))
 
 
+_IMPACTS: dict[tuple, impacts.Impacts] = {}
+
+
+@_q(f"WITH {_bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
+def bm25_impact_topk(spark, d):
+    """bm25_topk over postings by impact: levels that can't reach a query's best are not gathered from."""
+    key = (spark.sparkContext.applicationId, d, storage.stamp(spark, d))
+    if key not in _IMPACTS:
+        _IMPACTS[key] = impacts.Impacts.build(_index(spark, d))
+    return impacts.bm25(_IMPACTS[key], _items(spark, d)).select("query_id", "doc_id", "rank", _r("score"))
+
+
 @_q(f"WITH {_bm25_sql(_RAW, False, 40)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
 def bm25_sweep_topk(spark, d):
     return _bm25(spark, d, k=40, tokenize=T.tokens_raw, positive_only=False).select("query_id", "doc_id", "rank", _r("score"))
@@ -736,7 +747,7 @@ def reranked_changes(spark, d):
 
 
 _ALL = [
-    chunk_index, chunk_sweep, normalize_digits, tokenize_a, tokenize_b, query_hash, doc_key_dedup, prefix_key, bm25_stats, bm25_topk, bm25_sweep_topk, dense_topk, l2_normalize,
+    chunk_index, chunk_sweep, normalize_digits, tokenize_a, tokenize_b, query_hash, doc_key_dedup, prefix_key, bm25_stats, bm25_topk, bm25_impact_topk, bm25_sweep_topk, dense_topk, l2_normalize,
     multiquery_dedup, hybrid_subqueries, wrrf_fusion, wrrf_sweep, distinct_docs_first_seen, qrels, qrels_chunk, qrels_stats, queries_without_relevant, corpus_semi, rank_metrics, ndcg_at_10,
     rank_metrics_at_k, rerank_improvement, weight_grid, weight_best, weight_per_query, metric_mean_std, confidence_interval, paired_t, split_counts, retrieval_pattern,
     generation_basic, context_usage, query_addressing, hedging, query_diversity, position_changes, query_overlap, length_bias, numbered_docs, text_preview, ablation_table,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import storage
 from quarry.functions import text as T
+from quarry.operators import impacts
 from quarry.operators import search as S
 
 
@@ -107,6 +108,52 @@ def test_salted_terms_change_nothing(spark, monkeypatch):
     assert sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in S.bm25(d, q, 5).collect()) == want
 
 
+def _long_tail(seed, n=400):
+    rng = random.Random(seed)
+    pick = lambda: f"w{int(rng.paretovariate(0.7))}"
+    return {f"d{i:03d}": [pick() for _ in range(rng.randrange(5, 60))] for i in range(n)}
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_impacts_give_the_same_best(spark, k):
+    """As every score does, while queries of a rare and a common word read part of their postings."""
+    docs = _long_tail(k)
+    queries = {1: ["w200", "w1"], 2: ["w1", "w2", "w3"], 3: ["w37", "w1", "w2"], 4: ["nobody"], 5: ["w1"], 6: ["w5", "w5", "w90", "w1"]}
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(ws)) for i, ws in queries.items()], "query_id long, text string")
+    made = impacts.Impacts.build(S.Index.build(d, T.tokens_raw))
+    got = {(r.query_id, r.doc_id, r["rank"]) for r in impacts.bm25(made, q, k, T.tokens_raw).collect()}
+    assert got == _bm25_by_hand(docs, queries, k, True) and made.safe
+    told = {r.query_id: r for r in impacts.report(made, q, k, T.tokens_raw).collect()}
+    n = lambda word: sum(word in ws for ws in docs.values())
+    assert {x: r.n_postings for x, r in told.items()} == {x: sum(n(w) for w in set(ws)) for x, ws in queries.items() if any(n(w) for w in ws)}
+    assert all(r.n_read <= r.n_postings for r in told.values()) and sum(r.n_read for r in told.values()) < 0.8 * sum(r.n_postings for r in told.values())
+    print({x: (r.n_read, r.n_postings) for x, r in told.items()})
+
+
+def test_impacts_without_a_bound(spark, monkeypatch):
+    """Where weights are negative all levels are read."""
+    docs = _texts(30, 30)
+    queries = {1: ["word1", "common0"], 2: ["common0"]}
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(ws)) for i, ws in queries.items()], "query_id long, text string")
+    made = impacts.Impacts.build(S.Index.build(d, T.tokens_raw))
+    assert not made.safe
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in impacts.bm25(made, q, 5, T.tokens_raw).collect()} == _bm25_by_hand(docs, queries, 5, True)
+
+
+def test_all_statistics_against_counts(spark):
+    """Every term's count and idf, with words that most texts have and words that one has."""
+    docs = _texts(5, 12)
+    index = S.Index.build(spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id string, text string"))
+    df = {t: sum(t in ws for ws in docs.values()) for ws in docs.values() for t in ws}
+    raw = {t: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    want = {t: (df[t], round(x if x >= 0 else 0.25 * mean, 9)) for t, x in raw.items()}
+    assert {r.term: (r.df, round(r.idf, 9)) for r in index.stats.collect()} == want
+    assert index.average == pytest.approx(sum(map(len, docs.values())) / len(docs)) and index.mean == pytest.approx(mean)
+
+
 def test_places(spark):
     rows = spark.createDataFrame([(i % 3, f"k{(i * 7) % 50:02d}") for i in range(50)], "g int, k string").repartition(6)
     assert [r.k for r in storage.place(rows, "k").orderBy("place").collect()] == sorted(r.k for r in rows.collect())
