@@ -76,18 +76,19 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], n: str, how: str = "inner") -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], n: str, how: str = "inner", least: int = 1) -> DataFrame:
     """left joined to right (inner or left), a written table with one row a key and n, how many rows of left have the key.
 
-    Keys with over 1 / HOT_KEYS of the rows, at most HOT_KEYS of them, are broadcast and their rows stay
+    Keys with over 1 / HOT_KEYS of the rows and more than ``least``, at most HOT_KEYS of them, are broadcast and their rows stay
     where they are; the rest is shuffled by key, where no key is large. left is read twice; it should be
     light and written.
     """
     total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     keys = [F.col(a) == F.col(b) for a, b in on]
-    if most <= max(1, total / HOT_KEYS):
+    bound = max(least, total / HOT_KEYS)
+    if most <= bound:
         return left.join(right, keys, how)
-    hot = F.col(n) > total / HOT_KEYS
+    hot = F.col(n) > bound
     often = F.broadcast(right.where(hot))
     rest = left.join(often, keys, "left_anti").join(right.where(~hot), keys, how)
     return left.join(often, keys).unionByName(rest)

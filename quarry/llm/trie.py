@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_counted, map_arrow, materialize, whole
+from quarry.llm.common import HOT_KEYS, join_counted, map_arrow, materialize, whole
 
+#: A key with so many rows or fewer is never taken for a hot one.
+FEW = 4096
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -85,7 +87,7 @@ def graft(numbered: DataFrame, every: int = 5, most: int = 9) -> tuple[DataFrame
     given = materialize(given, "grafts")
     begun = given.select("conv_id", F.explode("head").alias("t")).select("conv_id", (F.col("t.place") + 1).alias("depth"), "t.key", "t.bytes")
     shifts = materialize(given.select(F.col("conv_id").alias("c"), "n", "h", F.size("head").cast("long").alias("got")), "shifts")
-    own = join_counted(numbered, shifts, [("conv_id", "c")], "n").where("place >= h")
+    own = join_counted(numbered, shifts, [("conv_id", "c")], "n", least=FEW).where("place >= h")
     own = own.select("conv_id", (F.col("place") - F.col("h") + F.col("got") + 1).alias("depth"), "key", "bytes")
     total = shifts.select(F.col("c").alias("conv_id"), (F.col("got") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
     return materialize(begun.unionByName(own).sortWithinPartitions("depth"), "grafted"), materialize(total, "lengths")
@@ -165,20 +167,24 @@ def build(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     live = lengths.select("conv_id", long(least).alias("parent"), "length")
     while True:
         depth = len(shared)
-        step = live.join(turns.where(F.col("depth") == depth).drop("depth"), "conv_id")
-        step = materialize(step, "step")
+        step = live.where(F.col("length") >= depth).join(turns.where(F.col("depth") == depth).drop("depth"), "conv_id")
         group = step.groupBy("parent", "key").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), F.min("bytes").alias("size"))
         group = materialize(group.withColumnsRenamed({"parent": "of", "key": "by"}), "level")
-        nodes, many = group.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+        nodes, many, members, most = group.agg(F.count("*"), F.count_if(F.col("n") > 1), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         if nodes:
             alone.append(group.where("n = 1").select(F.col("node").alias("conv_id"), long(depth).alias("since"), F.col("of").alias("parent")))
         if not many:
             break
         together = group.where("n > 1")
         shared.append(together.select("node", F.col("of").alias("parent"), "n", F.col("size").alias("bytes")))
-        placed = join_counted(step, together, [("parent", "of"), ("key", "by")], "n").select("conv_id", "node", "length")
-        ends.append(placed.where(F.col("length") == depth).select(long(depth).alias("depth"), "node", "conv_id"))
-        live = placed.where(F.col("length") > depth).select("conv_id", F.col("node").alias("parent"), "length")
+        keys = [("parent", "of"), ("key", "by")]
+        if most > max(FEW, members / HOT_KEYS):
+            placed = join_counted(materialize(step, "step"), together, keys, "n", least=FEW)
+        else:
+            placed = step.join(together, [F.col(a) == F.col(b) for a, b in keys])
+        placed = materialize(placed.select("conv_id", F.col("node").alias("parent"), "length"), "placed")
+        ends.append(placed.where(F.col("length") == depth).select(long(depth).alias("depth"), F.col("parent").alias("node"), "conv_id"))
+        live = placed
     # Level by level up.
     rolled, below = [], None
     for depth in range(len(shared) - 1, -1, -1):
@@ -195,7 +201,7 @@ def build(turns: DataFrame, lengths: DataFrame) -> DataFrame:
         here = materialize(here, "rolled")
         rolled.append(here.withColumn("depth", long(depth)))
         below = here.select("parent", "leaves", "saved")
-    digests = materialize(_digests(materialize(_union(ends), "ends")), "digests").withColumnsRenamed({"depth": "d", "node": "c"})
+    digests = materialize(_digests(_union(ends)), "digests").withColumnsRenamed({"depth": "d", "node": "c"})
     top = _union(rolled).join(digests, (F.col("depth") == F.col("d")) & (F.col("node") == F.col("c")), "left")
     found = top.select(
         F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"),
@@ -207,7 +213,7 @@ def build(turns: DataFrame, lengths: DataFrame) -> DataFrame:
 def _chains(turns: DataFrame, lengths: DataFrame, single: DataFrame) -> DataFrame:
     """The nodes of conversations from where they are alone."""
     held = single.withColumnRenamed("conv_id", "c").join(lengths.withColumnRenamed("conv_id", "l"), F.col("c") == F.col("l")).select("c", "since", "parent", "length")
-    rows = join_counted(turns.select("conv_id", "depth"), materialize(held, "alone"), [("conv_id", "c")], "length").where("depth >= since")
+    rows = join_counted(turns.select("conv_id", "depth"), materialize(held, "alone"), [("conv_id", "c")], "length", least=FEW).where("depth >= since")
     last: Column = F.col("depth") == F.col("length")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     return rows.select(

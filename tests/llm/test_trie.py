@@ -119,3 +119,10 @@ def test_many_ends_at_one_node(spark):
     rows = [(c, 0, "user", "same", None, None, None) for c in range(-3000, 3000)]
     got = _got(trie.build(*trie.whole_conversations(trie.number_turns(spark.createDataFrame(rows, SCHEMA)))))
     assert got == _nodes(_ordered(rows))
+
+
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(trie, "FEW", 1)
+    rows = _random(3)
+    numbered = trie.number_turns(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert _got(trie.build(*trie.graft(numbered))) == _nodes(_grafted(_ordered(rows)))
