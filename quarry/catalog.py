@@ -48,7 +48,7 @@ _INDEXES: dict[tuple, S.Index] = {}
 def _index(spark, d, tokenize=T.tokens):
     """The index of the documents, built at its first use in the application: a corpus is indexed once, not for every query."""
     key = (spark.sparkContext.applicationId, d, storage.stamp(spark, d), tokenize.__name__)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not storage.alive(_INDEXES[key].stats):
         _INDEXES[key] = S.Index.build(_docs(spark, d), tokenize)
     return _INDEXES[key]
 
@@ -239,7 +239,7 @@ _IMPACTS: dict[tuple, impacts.Impacts] = {}
 def bm25_impact_topk(spark, d):
     """bm25_topk over postings by impact: levels that can't reach a query's best are not gathered from."""
     key = (spark.sparkContext.applicationId, d, storage.stamp(spark, d))
-    if key not in _IMPACTS:
+    if key not in _IMPACTS or not storage.alive(_IMPACTS[key].bounds):
         _IMPACTS[key] = impacts.Impacts.build(_index(spark, d))
     return impacts.bm25(_IMPACTS[key], _items(spark, d)).select("query_id", "doc_id", "rank", _r("score"))
 

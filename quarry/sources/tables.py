@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import chunking
 from quarry.functions import text as T
+from quarry.storage import exists
 
 DOCUMENTS = "id string, doc_id string, text string, content string, chunk_id string, chunk_index int, parent_doc_id string"
 QUERIES = "query_id string, query string, ground_truth string, reference_doc_ids array<string>, reference_chunk_ids array<string>, reference_evidence_texts array<string>"
@@ -82,11 +83,6 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, system = _file_system(spark, path)
-    return system.exists(hadoop)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     hadoop, system = _file_system(spark, path)
     system.delete(hadoop, True)

@@ -41,10 +41,21 @@ def stamp(spark: SparkSession, path: str) -> str:
     return f"{content.getLength()}-{content.getFileCount()}-{max(changed, default=0)}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def alive(df: DataFrame) -> bool:
+    """Whether the files of a written table are still there."""
+    files = df.inputFiles()
+    return bool(files) and exists(df.sparkSession, files[0])
+
+
 def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that make gives, written at its first use in the application for this state of the folder source."""
     key = (spark.sparkContext.applicationId, source, stamp(spark, source), name)
-    if key not in _MADE:
+    if key not in _MADE or not exists(spark, f"{_MADE[key]}/_SUCCESS"):  # the shared folder may have been cleared
         df = make()
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)

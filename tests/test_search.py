@@ -160,3 +160,16 @@ def test_places(spark):
     for g in range(3):
         got = storage.place(rows, "k", by="g").where(F.col("g") == g).orderBy("place").collect()
         assert [r.place for r in got] == list(range(len(got))) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_a_shared_table_is_made_again_where_it_was_cleared(spark, tmp_path):
+    import shutil
+
+    made = []
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    make = lambda: made.append(1) or spark.range(5)
+    first = storage.once(spark, f"{tmp_path}/in", "x", make)
+    assert storage.once(spark, f"{tmp_path}/in", "x", make).count() == 5 and len(made) == 1 and storage.alive(first)
+    folder = first.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    shutil.rmtree("/" + folder.lstrip("/"))
+    assert not storage.alive(first) and storage.once(spark, f"{tmp_path}/in", "x", make).count() == 5 and len(made) == 2
