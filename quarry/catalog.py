@@ -614,12 +614,28 @@ def prompt_hash(spark, d):
     return _items(spark, d).select(F.substring(F.md5(F.concat(F.lit("Question: "), "text").cast("binary")), 1, 12).alias("prompt_hash"), "query_id")
 
 
-@_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, {_metric_sql('fu')}, s AS (SELECT count(*) AS n, avg(ndcg) AS mean, coalesce(stddev_samp(ndcg), 0) AS sd FROM me), t AS (SELECT *, CASE WHEN n >= 2 THEN {_T_SQL} * sd / sqrt(n) ELSE 0 END AS h FROM s) SELECT 'hybrid' AS configuration, printf('%.4f', mean) AS score, printf('[%.4f, %.4f]', mean - h, mean + h) AS ci, printf('%+.4f', 0.0) AS gain, 'No' AS significant FROM t")
+@_q(f"""WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, {_metric_sql('bm', 'm0')}, {_metric_sql('dn', 'm1')}, {_metric_sql('fu', 'm2')},
+x AS (SELECT 'bm25' AS config, query_id, ndcg FROM m0 UNION ALL SELECT 'dense', query_id, ndcg FROM m1 UNION ALL SELECT 'hybrid', query_id, ndcg FROM m2),
+s AS (SELECT config, count(*) AS n, avg(x.ndcg) AS mean, coalesce(stddev_samp(x.ndcg), 0) AS sd, avg(x.ndcg - m0.ndcg) AS dm, stddev_samp(x.ndcg - m0.ndcg) AS ds FROM x JOIN m0 USING (query_id) GROUP BY 1),
+t AS (SELECT *, CASE WHEN n >= 2 THEN {_T_SQL} * sd / sqrt(n) ELSE 0 END AS h, CASE WHEN n < 2 THEN 0 WHEN ds = 0 THEN CASE WHEN dm <> 0 THEN 1e300 ELSE 0 END ELSE abs(dm / (ds / sqrt(n))) END AS t FROM s),
+p AS (SELECT *, CASE WHEN n < 2 OR t = 0 THEN CASE WHEN n < 2 OR ds = 0 THEN 1 ELSE 2 END WHEN t = 1e300 THEN 0 ELSE 2 * (1 - least(0.9999, t / (t + n - 1))) END AS p FROM t)
+SELECT config AS configuration, printf('%.4f', mean) AS score, printf('[%.4f, %.4f]', mean - h, mean + h) AS ci, printf('%+.4f', dm) AS gain, printf('%.4f', p) AS p_value, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM p""")
 def report_table(spark, d):
-    i = E.interval(E.rank_metrics(_fused(spark, d), _qrels(spark, d)), "ndcg")
-    rows = i.select(F.lit("hybrid").alias("config"), F.col("mean").alias("score"), "ci_low", "ci_high", F.lit(0.0).alias("gain"), F.lit(1.0).alias("p_value"), F.lit(False).alias("is_significant"))
+    """Three configurations against the first: mean, interval, gain, and the paired test of the gain."""
+    q = _qrels(spark, d)
+    runs = {"bm25": _bm25(spark, d), "dense": _dense(spark, d), "hybrid": _fused(spark, d)}
+    scores = None
+    for name, run in runs.items():  # three
+        one = E.rank_metrics(run, q).select(F.lit(name).alias("config"), "query_id", F.col("ndcg").alias("a"))
+        scores = one if scores is None else scores.unionByName(one)
+    scores = storage.write(scores, "report-scores")
+    base = scores.where("config = 'bm25'").select("query_id", F.col("a").alias("b"))
+    both = scores.join(base, "query_id")
+    i, gains = E.interval(both, "a", ("config",)), both.groupBy("config").agg(F.avg(F.col("a") - F.col("b")).alias("gain"))
+    rows = i.join(E.paired_t(both, "a", "b", ("config",)).drop("n"), "config").join(gains, "config")
+    rows = rows.select("config", F.col("mean").alias("score"), "ci_low", "ci_high", "gain", F.col("p_approx").alias("p_value"), (F.col("p_approx") < 0.05).alias("is_significant"))
     t = reports.ablation_table(rows)
-    return t.select(F.col("Configuration").alias("configuration"), F.col("Test Score").alias("score"), F.col("95% CI").alias("ci"), F.col("vs Baseline").alias("gain"), F.col("Significant").alias("significant"))
+    return t.select(F.col("Configuration").alias("configuration"), F.col("Test Score").alias("score"), F.col("95% CI").alias("ci"), F.col("vs Baseline").alias("gain"), F.col("p-value").alias("p_value"), F.col("Significant").alias("significant"))
 
 
 @_q(f"WITH {_BASE_SQL}, {_QRELS_SQL}, {_fuse_sql()}, g AS (SELECT query_id, count(*) AS n, count(qr.doc_id) AS h FROM fu LEFT JOIN qr USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(h / n, 6) AS retrieval_precision, round(h / n_rel, 6) AS retrieval_recall, round(CASE WHEN h > 0 THEN 2 * (h / n) * (h / n_rel) / (h / n + h / n_rel) ELSE 0 END, 6) AS retrieval_f1, n AS chunks_retrieved, n_rel AS chunks_relevant, h AS chunks_hit, round(h / n, 6) AS id_precision, round(h / n_rel, 6) AS id_recall FROM g JOIN nr USING (query_id)")
