@@ -9,7 +9,8 @@ draws, prediction in batches of windows inside Spark's tasks.
 Learning reads at most ``per_lang`` texts of each of at most ``most_langs`` languages (the commonest; of
 equally common ones the first by name), chosen by a hash of the text, and of each text at most ``per_text`` windows
 chosen by a hash. Texts without a letter, null languages and null texts are not learned from. Without any
-learnable text no language is learned and every prediction is ``und``.
+learnable text no language is learned and every prediction is ``und``. Of equally likely languages the first by
+name is predicted; repeated rows are predicted alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ components. A third pass measures how far the whitened vectors' covariance is fr
 Rows whose vector is null, empty, or holds null or non-finite entries are dropped, as are vectors of another
 length than most have (of equally many the longer). Repeated rows count as often as they occur; an id may
 be null. 64 * c beyond 2^62 becomes 2^62 with its sign. Components whose variance is zero to double precision
-are left out, so a table without vectors, with a single one or with equal ones has no component.
+are left out, so a table without vectors, with a single one or with equal ones has no component. Components
+of one eigenvalue are some basis of its space, the same for all rows.
 """
 
 from __future__ import annotations
