@@ -28,7 +28,7 @@ Encode = Callable[[list[str]], list[list[float]]]
 
 def optimize_options(args: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="optimize", description="Search for the prompts of all three modules, one after the other")
-    for name, default in (("data_path", "data/train"), ("output_dir", "gepa_runs_v2"), ("model", X.MODELS[0])):
+    for name, default in (("data_path", "data/train"), ("output_dir", "prompt_runs"), ("model", X.MODELS[0])):
         p.add_argument(f"--{name}", default=default)
     for name, default in (("chunk_size", 600), ("chunk_overlap", 50), ("retrieval_k", 20), ("final_k", 10), ("budget", 100)):
         p.add_argument(f"--{name}", type=int, default=default)

@@ -55,7 +55,7 @@ def test_options():
     a = commands.chunk_size_options(["--chunk_sizes", "300", "500", "--no-cache"])
     assert a.chunk_sizes == [300, 500] and not a.cache and a.rrf_k == 60 and a.retrieval_k == 20 and commands.chunk_size_options([]).chunk_sizes == [256, 512, 1024, 2048]
     b = commands.optimize_options([])
-    assert (b.output_dir, b.budget, b.final_k, b.use_context) == ("gepa_runs_v2", 100, 10, False)
+    assert (b.output_dir, b.budget, b.final_k, b.use_context) == ("prompt_runs", 100, 10, False)
     c, _ = X.options(["--max_concurrent", "3", "--test_ratio", "0.1"])
     assert c.retry == {"concurrent": 3} and c.test_ratio == 0.1
     with pytest.raises(ValueError):
