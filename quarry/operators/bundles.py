@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +78,39 @@ def batch_summary(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-#: What evaluates each kind of step.
-KINDS: dict[str, Callable[..., DataFrame]] = {"query_planner": planner, "retrieval": retrieval, "reranker": reranker, "generator": generator}
+class Evaluator(Protocol):
+    """What judges a kind of step: tables in, one row a query out."""
+
+    kind: str
+
+    def evaluate(self, *frames: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Judged:
+    """An evaluator made of a function of tables, of which the first has a row a query."""
+
+    kind: str
+    of: Callable[..., DataFrame]
+    frames: int  # how many tables it takes
+
+    def evaluate(self, *frames: DataFrame) -> DataFrame:
+        if len(frames) != self.frames:
+            raise ValueError(f"{self.kind} is judged by {self.frames} tables, not {len(frames)}")
+        return self.of(*frames)
+
+
+#: What evaluates each kind of step; register adds to it.
+KINDS: dict[str, Evaluator] = {e.kind: e for e in (Judged("query_planner", planner, 1), Judged("retrieval", retrieval, 2), Judged("reranker", reranker, 3), Judged("generator", generator, 1))}
+
+
+def register(evaluator: Evaluator) -> None:
+    """An evaluator for a new kind of step; a kind that there is already is an error."""
+    if evaluator.kind in KINDS:
+        raise ValueError(f"{evaluator.kind} has an evaluator")
+    KINDS[evaluator.kind] = evaluator
 
 
 def evaluate(kind: str, *frames: DataFrame) -> DataFrame:
     """The evaluation of a kind of step; of an unknown kind the rows without metrics."""
-    return KINDS[kind](*frames) if kind in KINDS else frames[0].select("query_id")
+    return KINDS[kind].evaluate(*frames) if kind in KINDS else frames[0].select("query_id")

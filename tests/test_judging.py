@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import reranked
+from quarry.operators import bundles, reranked
 from quarry.plans import models, rag
 
 RETRY = {"tries": 2, "delay": 0.0}
@@ -97,3 +97,23 @@ def test_rerank_keeps_the_place_of_unknown_texts(spark):
     lists = spark.createDataFrame([(1, "q", [7, 8, 9], ["a", "b", "a"])], "query_id long, text string, doc_ids array<long>, documents array<string>")
     got = models.rerank(lists, Invents(), **RETRY).first()
     assert list(got.doc_ids) == [8, None, 7, 9, None] and list(got.documents) == ["b", "of nobody", "a", "a", "a"]
+
+
+def test_evaluators_by_kind(spark, monkeypatch):
+    monkeypatch.setattr(bundles, "KINDS", dict(bundles.KINDS))
+    planned = spark.createDataFrame([(1, "decomposition", ["a", "b"]), (2, "reformulation", ["c"])], "query_id long, mode string, queries array<string>")
+    assert {r.query_id: (r.num_queries, r.is_decomposition) for r in bundles.evaluate("query_planner", planned).collect()} == {1: (2, 1.0), 2: (1, 0.0)}
+
+    class Lengths:
+        kind = "lengths"
+
+        def evaluate(self, *frames):
+            return frames[0].select("query_id", F.size("queries").alias("n"))
+
+    assert bundles.evaluate("lengths", planned).columns == ["query_id"]  # unknown yet
+    bundles.register(Lengths())
+    assert {r.n for r in bundles.evaluate("lengths", planned).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        bundles.register(Lengths())
+    with pytest.raises(ValueError):
+        bundles.evaluate("retrieval", planned)
