@@ -68,11 +68,11 @@ LIGHT = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt over all cores: its file may be a single row group, which one task would read; large ones as they are."""
+    """A small table of few files dealt over all cores: a file may be a single row group, which one task would read; others as they are."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= LIGHT * cores else df
+    return df.repartition(cores) if size <= LIGHT * cores and len(df.inputFiles()) < cores else df
 
 
 def place(df: DataFrame, *order: str, by: str | None = None, name: str = "place") -> DataFrame:
