@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER_AZ, blobs, join_counted, map_arrow, materialize, only_cache, small, whole
+from quarry.llm.common import LOWER_AZ, blobs, join_counted, map_arrow, materialize, only_cache, slices, small, whole
 from quarry.llm.graph import components
 
 #: Rows of one key that meet in one task; beyond it the key is cut into chunks of half as many.
@@ -197,8 +197,8 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int
     return join_counted(prints, of, [("print", "p")], "n_rows").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Documents whose shingles are counted to tell common ones from rare ones, and common shingles that are kept.
-COUNTED, COMMON = 20_000, 500_000
+#: Slots in which shingles are counted to tell common ones from rare ones, and slots of one row that is shuffled.
+SLOTS, SLOT_ROW = 1 << 22, 1 << 14
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -206,32 +206,53 @@ def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray
     return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set in an order that all sets share: rare before common (sorted, with a rank each), then by hash.
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in an order that all sets share: rare before common by the counts of their slots, then by hash.
 
     Two sets that share similarity of their union share one of these: each lacks less than its prefix's length.
     """
-    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
-    order = np.lexsort((hashes, np.where(known, rank[at], 0) if len(common) else known))
+    order = np.lexsort((hashes, counts[_slots(hashes, len(counts))]))
     return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]]
 
 
-def _common(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than one of some COUNTED documents have, sorted, and in how many. They only order the prefixes: any choice is right."""
-    share = min(1.0, COUNTED / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("counted")), F.lit(1_000_000)) < int(share * 1_000_000)).select(whole(text_col).alias("t"))
+def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes >> np.uint64(11)).astype(np.int64) % slots  # the low bits are the parities'
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _counts(docs: DataFrame, k: int, text_col: str, slots: int = SLOTS) -> np.ndarray:
+    """How often the distinct shingles of all documents fall on each slot.
+
+    Every shingle of every document is counted; those of one slot together. The table has one size whatever the input, a
+    task sends it once, and Spark adds up its rows. The counts only order the prefixes: any would be right, but the
+    rarer the shingles of a prefix, the fewer candidates it has.
+    """
+    row = min(slots, SLOT_ROW)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("simhash")
+        held, at = np.zeros(slots, np.uint32), []
+        for batch in slices(batches, 500):
             for t in blobs(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, k)).view(np.int64))], ["key"])
+                at.append(_slots(np.unique(shingle_hashes(t, k)), slots))
+            np.add.at(held, np.concatenate(at), np.uint32(1))
+            at = []
+        for i in range(0, slots, row):
+            if held[i : i + row].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // row], pa.int32()), pa.array([held[i : i + row].tobytes()], pa.binary())], ["part", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[part] = held.get(part, 0) + np.frombuffer(n, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([n.tobytes() for n in held.values()], pa.binary())], ["part", "n"])
 
-    counts = map_arrow(some, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).toArrow()
-    hashes, n = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    made = map_arrow(docs.select(whole(text_col).alias("t")), count, "part int, n binary")
+    out = np.zeros(slots, np.uint32)
+    found = map_arrow(made.repartition("part"), add, "part int, n binary").toArrow()  # one table of bounded size
+    for part, n in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[part * row : (part + 1) * row] = np.frombuffer(n, np.uint32)
+    return out
 
 
 def _longs(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -348,6 +369,16 @@ def _able(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a long, b long")
 
 
+def _one_of_each_list(rows: DataFrame) -> DataFrame:
+    """s_key, n_rows: of the shingles of rows (key, node, pos) that the very same nodes share, two at least, the first one.
+
+    The shingles of a passage have one list of nodes: each would give its pairs again. All sets have them in one order, so
+    the first has the smallest place in every node and rules out the least. Lists are told apart by 128 bits.
+    """
+    lists = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min(F.struct("node", "pos")).alias("first"))
+    return lists.where("n_rows > 1").groupBy("n_rows", "x", "y").agg(F.min(F.struct("first.pos", "key")).alias("k")).select(F.col("k.key").alias("s_key"), "n_rows")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose whole sets (node, hashes: distinct longs) overlap enough."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
@@ -375,11 +406,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
 
     Texts without words and rows with a null id are in no group.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_common(docs, k, id_col, text_col))
+    held = docs.sparkSession.sparkContext.broadcast(_counts(docs.where(F.col(id_col).isNotNull()), k, text_col))
 
     def make(text: bytes) -> tuple[int, int, bytes, bytes]:
         hashes = np.unique(shingle_hashes(text, k))
-        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), prefix(hashes, *held.value, similarity).tobytes() if len(hashes) else b"", parity(hashes)
+        return _signed(xxhash.xxh64_intdigest(hashes.tobytes())), len(hashes), prefix(hashes, held.value, similarity).tobytes() if len(hashes) else b"", parity(hashes)
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"), F.xxhash64(whole(text_col)).alias("text_key"))
     made = _prints(source, make, "node long, n int, first binary, bits binary", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], "doc_id", "t", "text_key")
@@ -403,7 +434,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     if alone.count() > nodes.count():  # rows that repeat both id and text
         alone = alone.dropDuplicates(["node"])
     rows = map_arrow(alone.select("node", "n", "first"), expand, "key long, node long, n int, pos int")
-    often = materialize(rows.groupBy(F.col("key").alias("s_key")).agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "shared-keys")
+    often = materialize(_one_of_each_list(rows), "shared-keys")
     shared = materialize(join_counted(rows, often, [("key", "s_key")], "n_rows").select("key", "node", "n", "pos", "n_rows"), "shared")
     bits = made.select("node", "n", "bits").join(small(materialize(shared.select(F.col("node").alias("s_node")).distinct(), "sharing")), F.col("node") == F.col("s_node"), "left_semi")
     bits = materialize(bits.groupBy("node", "n").agg(F.first("bits").alias("bits")), "bits")

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from test_operators import brute_groups, near_copies
 
 import corpus_pipeline
-from quarry.llm import decontam, toxicity
+from quarry.llm import decontam, simhash, toxicity
 
 CLASHING = "doc_id long, text string, x_id long, x_key string, keep_id int, text_key int, score double, row_id int, node string, n int, tags map<string,int>"
 
@@ -133,3 +134,20 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, at).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in got if r.piece == 0) == sorted((i is None, i) for i, _ in left)
     assert not {r.doc_id for r in got} & {1000, 1001, 1002, 1003, 1004}
+
+
+def test_shingles_of_all_documents_are_counted(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(60))) for i in range(300)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = np.zeros(1 << 10, np.uint32)
+    for _, t in rows:
+        for h in {int(x) for x in simhash.shingle_hashes((t or "").encode(), 5)}:
+            want[(h >> 11) % (1 << 10)] += 1
+    assert (simhash._counts(docs, 5, "text", 1 << 10) == want).all()
+
+
+def test_shingles_of_one_list_give_their_pairs_once(spark):
+    """Of a passage that the same nodes share the first shingle stays, and one of another list."""
+    rows = [(key, node, 100, key - 10 + node) for key in range(20, 60) for node in (1, 2, 3)] + [(99, 1, 100, 80), (99, 2, 100, 81), (7, 5, 100, 0)]
+    got = simhash._one_of_each_list(spark.createDataFrame(rows, "key long, node long, n int, pos int")).collect()
+    assert sorted(map(tuple, got)) == [(20, 3), (99, 2)]
