@@ -173,3 +173,12 @@ def test_a_shared_table_is_made_again_where_it_was_cleared(spark, tmp_path):
     folder = first.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
     shutil.rmtree("/" + folder.lstrip("/"))
     assert not storage.alive(first) and storage.once(spark, f"{tmp_path}/in", "x", make).count() == 5 and len(made) == 2
+
+
+def test_registered_statistics_have_every_term(spark):
+    from quarry import catalog
+
+    d = "/root/testdata/sf0.001"
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).distinct().count()
+    got = catalog.queries()["bm25_stats"](spark, d)
+    assert got.columns == ["term", "df", "idf"] and got.count() == words
