@@ -5,7 +5,11 @@ A fold in SQL would take each chunk from the text's start again, which is quadra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,10 @@ from quarry.functions import text as T
 
 # Sentence ends in order of precedence, and how far back one is looked for.
 MARKERS, BACK = (". ", "! ", "? ", "\n\n"), 100
+# What text.strip takes off.
+WHITE = " \t\n\x0b\f\r\xa0"
+#: Texts that are cut at once for all sizes.
+PART = 200
 
 
 def cuts(text: str, size: int, overlap: int, kind: str) -> list[str]:
@@ -67,13 +75,17 @@ def sweep_table(docs: DataFrame, settings: list[tuple[int, int]], id_col: str =
     if any(size < overlap + BACK for size, overlap in settings):
         raise ValueError("chunk size must be at least the overlap and 100")
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [cuts(t, size, overlap, "sweep") for size, overlap in settings])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):  # what is cut is several times as large
+                part = batch.slice(at, PART)
+                made = [[x for x in (c.strip(WHITE) for c in cuts(t, size, overlap, "sweep")) if x] for t in part.column(1).to_pylist() for size, overlap in settings]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(settings))))
+                which = pa.array(np.tile(np.arange(len(settings), dtype=np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([ids, which, pa.array(made, pa.list_(pa.string()))], ["doc_id", "which", "pieces"])
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    every = F.pandas_udf(run, "array<array<string>>")
     source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), T.normalize(F.col(text_col)).alias("t"))
     sizes = F.array(*[F.struct(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap")) for size, overlap in settings])
-    by_size = source.select("doc_id", F.posexplode(every("t")).alias("which", "pieces")).select("doc_id", F.get(sizes, F.col("which")).alias("s"), "pieces")
-    rows = by_size.select("s.*", "doc_id", F.posexplode(F.filter(F.transform("pieces", T.strip), lambda x: x != "")).alias("chunk_index", "chunk"))
+    by_size = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, which int, pieces array<string>")
+    rows = by_size.select(F.get(sizes, F.col("which")).alias("s"), "doc_id", F.posexplode("pieces").alias("chunk_index", "chunk")).select("s.*", "doc_id", "chunk_index", "chunk")
     return rows.select("chunk_size", "chunk_overlap", T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "chunk")

@@ -155,3 +155,14 @@ def test_registered_sweep_tries_every_size(spark):
     assert sorted((r.chunk_size, r.chunk_overlap) for r in found) == [(256, 25), (512, 51), (1024, 102), (2048, 204)]
     best = catalog.queries()["chunk_size_best"](spark, "/root/testdata/sf0.001").first()
     assert best.chunk_size == min(found, key=lambda r: (-r.ndcg, r.chunk_size)).chunk_size
+
+
+def test_sweep_keeps_no_texts_and_no_postings(spark, monkeypatch):
+    """Chunks of all sizes are several times the texts: of what is written none has a chunk's text, terms or every score."""
+    from quarry import storage
+
+    written, keep = {}, storage.write
+    monkeypatch.setattr(storage, "write", lambda df, name: written.update({name: df.columns}) or keep(df, name))
+    d = docs(spark).where("text is not null").withColumn("text", F.repeat("text", 30))
+    assert rag.sweep(d, asked(spark), spark.createDataFrame([(1, 1)], "query_id long, doc_id long"), (256, 512)).count() == 2
+    assert not {"terms", "scores"} & set(written) and not any({"chunk", "terms"} & set(c) for c in written.values())
