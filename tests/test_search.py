@@ -182,3 +182,28 @@ def test_registered_statistics_have_every_term(spark):
     words = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).distinct().count()
     got = catalog.queries()["bm25_stats"](spark, d)
     assert got.columns == ["term", "df", "idf"] and got.count() == words
+
+
+@pytest.mark.parametrize("positive", [True, False])
+def test_queries_go_to_the_documents(spark, monkeypatch, positive):
+    """In steps of few documents, with many ties, as against every score; no score is kept but those of the best."""
+    docs = _texts(7, 3)
+    queries = {i: [f"word{i % 9}", f"common{i % 3}"] for i in range(12)} | {20: ["nobody"]}
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id string, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(ws)) for i, ws in queries.items()], "query_id long, text string")
+    index, written = S.Index.build(d, T.tokens_raw), []
+    keep = storage.write
+    monkeypatch.setattr(S, "CELLS", 4 * len(queries))
+    monkeypatch.setattr(storage, "write", lambda df, name: written.append(name) or keep(df, name))
+    got = {(r.query_id, r.doc_id, r["rank"]) for r in S.bm25(index, q, 5, T.tokens_raw, positive).collect()}
+    assert got == _bm25_by_hand(docs, queries, 5, positive) and written == ["query-terms"]
+
+
+def test_a_shorter_list_is_the_head_of_the_longest(spark):
+    from quarry import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda run: {(r.query_id, r.doc_id, r["rank"]) for r in run.collect()}
+    long = rows(catalog._bm25(spark, d))
+    assert rows(catalog._bm25(spark, d, k=5)) == {x for x in long if x[2] <= 5}
+    assert catalog._bm25(spark, d, k=5).inputFiles() == catalog._bm25(spark, d).inputFiles()
