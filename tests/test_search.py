@@ -207,3 +207,12 @@ def test_a_shorter_list_is_the_head_of_the_longest(spark):
     long = rows(catalog._bm25(spark, d))
     assert rows(catalog._bm25(spark, d, k=5)) == {x for x in long if x[2] <= 5}
     assert catalog._bm25(spark, d, k=5).inputFiles() == catalog._bm25(spark, d).inputFiles()
+
+
+def test_terms_are_counted_in_their_row(spark, monkeypatch):
+    """In order, each with its count, whatever shares a step; no text and no word give an empty list."""
+    monkeypatch.setattr(S, "COUNTED", 3)
+    texts = ["b a b", None, "", "Éa éa zz", "a", "...", "zz zz zz b"] * 2
+    rows = S.terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), T.tokens_raw).collect()
+    words = {i: [w for w in (t or "").lower().split() if len(w) > 1] for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.dl, [(t.term, t.tf) for t in r.terms]) for r in rows} == {i: (len(ws), sorted((w, ws.count(w)) for w in set(ws))) for i, ws in words.items()}
