@@ -247,7 +247,8 @@ def _counts(docs: DataFrame, k: int, text_col: str, slots: int = SLOTS) -> np.nd
                 held[part] = held.get(part, 0) + np.frombuffer(n, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([n.tobytes() for n in held.values()], pa.binary())], ["part", "n"])
 
-    made = map_arrow(docs.select(whole(text_col).alias("t")), count, "part int, n binary")
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # as many tables are sent, however many parts the input has
+    made = map_arrow(docs.select(whole(text_col).alias("t")).coalesce(cores), count, "part int, n binary")
     out = np.zeros(slots, np.uint32)
     found = map_arrow(made.repartition("part"), add, "part int, n binary").toArrow()  # one table of bounded size
     for part, n in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
@@ -373,10 +374,11 @@ def _one_of_each_list(rows: DataFrame) -> DataFrame:
     """s_key, n_rows: of the shingles of rows (key, node, pos) that the very same nodes share, two at least, the first one.
 
     The shingles of a passage have one list of nodes: each would give its pairs again. All sets have them in one order, so
-    the first has the smallest place in every node and rules out the least. Lists are told apart by 128 bits.
+    the first has the smallest place in every node and rules out the least. Lists are told apart by length, least node and 64 bits
+    of all nodes, which are hashes: for the many keys of one node, which are shuffled too, they repeat it, so it is packed.
     """
-    lists = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min(F.struct("node", "pos")).alias("first"))
-    return lists.where("n_rows > 1").groupBy("n_rows", "x", "y").agg(F.min(F.struct("first.pos", "key")).alias("k")).select(F.col("k.key").alias("s_key"), "n_rows")
+    lists = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.bit_xor("node").alias("x"), F.min(F.struct("node", "pos")).alias("first"))
+    return lists.where("n_rows > 1").groupBy("n_rows", "x", "first.node").agg(F.min(F.struct("first.pos", "key")).alias("k")).select(F.col("k.key").alias("s_key"), "n_rows")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -448,7 +450,10 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
         needed = materialize(nodes.join(asked, F.col("node") == F.col("p_node"), "left_semi").select("x_id", "x_key"), "needed")
         again = source.join(small(needed), (F.col("doc_id") == F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left_semi")
         sets = _prints(again, whole_set, "node long, hashes array<long>", [pa.int64(), pa.list_(pa.int64())], "doc_id", "t")
-        return _verified(pairs, materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets"), similarity)
+        sets = materialize(sets, "sets")
+        if sets.count() > needed.count():  # rows that repeat both id and text
+            sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))
+        return _verified(pairs, sets, similarity)
 
     # Short lists stay whole; a long one, which a third of all rows may share, goes on over many tasks.
     short = shared.where(F.col("n_rows") <= STEPS + 1).repartition("key")

@@ -151,3 +151,12 @@ def test_shingles_of_one_list_give_their_pairs_once(spark):
     rows = [(key, node, 100, key - 10 + node) for key in range(20, 60) for node in (1, 2, 3)] + [(99, 1, 100, 80), (99, 2, 100, 81), (7, 5, 100, 0)]
     got = simhash._one_of_each_list(spark.createDataFrame(rows, "key long, node long, n int, pos int")).collect()
     assert sorted(map(tuple, got)) == [(20, 3), (99, 2)]
+
+
+def test_counts_are_sent_once_a_core(spark, monkeypatch):
+    """However many parts the documents have; the counts are the same."""
+    docs = spark.createDataFrame([(i, f"a b c d e f{i % 7} g h") for i in range(60)], "doc_id long, text string")
+    want, seen, make = simhash._counts(docs.coalesce(1), 5, "text", 64), [], simhash.map_arrow
+    monkeypatch.setattr(simhash, "map_arrow", lambda df, *rest: seen.append(df.rdd.getNumPartitions()) or make(df, *rest))
+    assert (simhash._counts(docs.repartition(40), 5, "text", 64) == want).all() and want.sum() == 60 * 4
+    assert seen[0] <= spark.sparkContext.defaultParallelism
