@@ -23,8 +23,8 @@ WHITE = " \t\n\x0b\f\r\xa0"
 PART = 200
 
 
-def cuts(text: str, size: int, overlap: int, kind: str) -> list[str]:
-    """The chunks of a text, not yet cleaned."""
+def spans(text: str, size: int, overlap: int, kind: str) -> list[tuple[int, int]]:
+    """Where each chunk of a text begins and ends, before it is cleaned."""
     out, start, n = [], 0, len(text)
     while start + size < n:
         low, end = max(start, start + size - BACK), start + size
@@ -34,9 +34,14 @@ def cuts(text: str, size: int, overlap: int, kind: str) -> list[str]:
         else:
             last = max(at for _, at in found)
             cut = last + 1 if last >= 0 else end
-        out.append(text[start:cut])
+        out.append((start, cut))
         start = cut - overlap
-    return [*out, text[start:]]
+    return [*out, (start, n)]
+
+
+def cuts(text: str, size: int, overlap: int, kind: str) -> list[str]:
+    """The chunks of a text, not yet cleaned."""
+    return [text[low:high] for low, high in spans(text, size, overlap, kind)]
 
 
 def _cutter(size: int, overlap: int, kind: str):
